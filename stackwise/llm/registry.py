@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from . import chat
+from .chat import op10_chat
+from .minhash import op2_minhash
+from .mixing import op6_mixing
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
+from .token_counts import op5_token_counts
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_minhash": op2_minhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat": chat.SQL}
