@@ -1,13 +1,62 @@
-"""Corpus cleaning in stages, each an operator of stackwise.llm."""
+"""Corpus cleaning in stages, each an operator of stackwise.llm; every stage works on all rows the one before kept.
+
+Documents need doc_id, text, lang, source and n_chars; n_chars follows the text where a stage changes it. Rows that a
+stage cannot judge (null text, null doc_id) are kept by it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stackwise.llm.common import materialise
+from stackwise.llm.decontaminate import decontaminate
+from stackwise.llm.minhash import near_duplicates
+from stackwise.llm.mixing import mix_sources
+from stackwise.llm.pii import pseudonymise
+from stackwise.llm.toxicity import toxicity
+
+
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), F.col("doc_id") == F.col("_bad"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scored.where("predicted = 1"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_duplicates(docs, percent=80).where("not kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pseudonymise(docs).drop("pii")
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", replace_pii),
+    ("mixing", mix),
+]
+
+#: no stage but the last two can be written in SQL
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

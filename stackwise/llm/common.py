@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,20 @@ def flat_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return b, o - o[0]
 
 
+def slices(batches, *columns: str, limit: int = 1 << 20):
+    """The batches in parts with about ``limit`` bytes of text each, so that working memory does not follow Arrow's
+    batch size; a longer text is a part of its own."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            size += pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy(zero_copy_only=False)
+        total, i = np.concatenate([[0], np.cumsum(size + 64)]), 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(total, total[i] + limit)) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def word_spans(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and n+1 offsets of the documents' words; no word crosses a document."""
     if not len(b):

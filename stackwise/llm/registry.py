@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from . import chat
 from .chat import op10_chat
+from .decontaminate import op7_decontaminate
 from .minhash import op2_minhash
 from .mixing import op6_mixing
+from .pii import op8_pii
+from .quality import op4_quality
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op5_token_counts
@@ -15,8 +18,11 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash": op2_minhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
 }
