@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import catalog_queries
+
+MODULES = [catalog_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return queries()["a2_recount"](spark, sf_dir)
