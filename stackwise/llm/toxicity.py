@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import C1, LOWER, U, flat_bytes, join2, mix64, word_hashes
+from .common import C1, LOWER, U, flat_bytes, join2, mix64, slices, word_hashes
 
 BITS = 18
 SAMPLE = 12_000
@@ -58,7 +58,7 @@ def feature_rows(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def featurise(batches):
-    for batch in batches:
+    for batch in slices(batches, "text"):
         flat, off = feature_rows(batch["text"])
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))], ["doc_id", "toxic", "features"])
 
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 def scorer(model):
     def step(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             score = np.zeros(batch.num_rows)
             if model is not None:
                 w, bias = model
