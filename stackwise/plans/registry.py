@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_queries
+from . import catalog_queries, function_queries, search_queries
 
-MODULES = [catalog_queries]
+MODULES = [catalog_queries, function_queries, search_queries]
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir: str):
-    return queries()["a2_recount"](spark, sf_dir)
+    return queries()["t14_search"](spark, sf_dir)
