@@ -62,35 +62,54 @@ def tokenise_udf(text):
 
 def ascii_tokens(c: Column) -> Column:
     """The built-in path for Latin text: words of a-z and 0-9."""
-    return F.transform(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.struct(t.alias("term"), F.when(t.rlike("^[0-9]+$"), "number").otherwise("latin").alias("kind")))
+    words = F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
+    return F.transform(words, lambda t: F.struct(t.alias("term"), F.when(t.rlike("^[0-9]+$"), "number").otherwise("latin").alias("kind")))
 
 
 def postings(docs: DataFrame, tokens=ascii_tokens) -> DataFrame:
-    """doc_id, field, term, kind, tf of a table with doc_id and one column for each field."""
+    """doc_id, term, kind, dl (tokens of the document), and tf_<field> for each field, one row for a document's term.
+
+    Documents are dealt by doc_id before they are split, so all that follows for one document happens in one place: the
+    far more numerous postings are counted without a shuffle.
+    """
     fields = [f for f in FIELD_WEIGHTS if f in docs.columns]
-    parts = [docs.select("doc_id", F.lit(f).alias("field"), F.explode(tokens(F.col(f))).alias("t")) for f in fields]
-    rows = reduce(DataFrame.unionByName, parts).select("doc_id", "field", "t.term", "t.kind")
-    return rows.groupBy("doc_id", "field", "term", "kind").agg(F.count("*").alias("tf"))
+    d = docs.select("doc_id", *fields).repartition("doc_id").select("doc_id", *[tokens(F.col(f)).alias(f) for f in fields])
+    d = d.withColumn("dl", sum((F.greatest(F.size(f), F.lit(0)) for f in fields[1:]), F.greatest(F.size(fields[0]), F.lit(0))).cast("long"))
+    marked = F.concat(*[_marked(f, i) for i, f in enumerate(fields)])
+    rows = d.select("doc_id", "dl", F.explode(marked).alias("t")).select("doc_id", "dl", "t.term", "t.kind", "t.field")
+    return rows.groupBy("doc_id", "term", "kind", "dl").agg(*[F.count_if(F.col("field") == i).alias(f"tf_{f}") for i, f in enumerate(fields)])
+
+
+def _marked(name: str, number: int) -> Column:
+    return F.transform(F.coalesce(F.col(name), F.array().cast(TOKENS)), lambda t: F.struct(t["term"].alias("term"), t["kind"].alias("kind"), F.lit(number).alias("field")))
 
 
-def document_lengths(p: DataFrame) -> DataFrame:
-    return p.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+def corpus_statistics(p: DataFrame) -> tuple[int, float]:
+    """Number of documents with a token, and their mean length."""
+    n, avgdl = p.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    return n, avgdl
 
 
 def document_frequencies(p: DataFrame) -> DataFrame:
+    """Distinct documents of a term; a term that is both of two kinds in a document counts once."""
     return p.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
 
 
 def build_index(p: DataFrame, n_docs: int, avgdl: float) -> DataFrame:
     """doc_id, field, term, kind, weight."""
-    field_w = F.create_map(*[x for k, v in FIELD_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
+    fields = [c[3:] for c in p.columns if c.startswith("tf_")]
     kind_w = F.create_map(*[x for k, v in KIND_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
-    rows = p.join(document_lengths(p), "doc_id").join(document_frequencies(p), "term")
+    rows = p.join(document_frequencies(p), "term")
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - B + B * F.col("dl") / avgdl
-    w = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm) * field_w[F.col("field")] * kind_w[F.col("kind")]
     stop = (F.col("kind") == "latin") & F.col("term").isin(*STOPWORDS)
-    return rows.select("doc_id", "field", "term", "kind", F.when(stop, 0.2 * field_w[F.col("field")]).otherwise(w).alias("weight"))
+
+    def entry(f: str) -> Column:
+        tf, fw = F.col(f"tf_{f}"), F.lit(FIELD_WEIGHTS[f])
+        w = idf * tf * (K1 + 1) / (tf + K1 * norm) * fw * kind_w[F.col("kind")]
+        return F.when(tf > 0, F.struct(F.lit(f).alias("field"), F.when(stop, 0.2 * fw).otherwise(w).alias("weight")))
+
+    return rows.select("doc_id", "term", "kind", F.explode(F.array_compact(F.array(*map(entry, fields)))).alias("e")).select("doc_id", "e.field", "term", "kind", "e.weight")
 
 
 def static_boost(has_primary: Column, links: Column, matched: Column) -> Column:
@@ -213,7 +232,7 @@ def suggest(keys: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
 def search(docs: DataFrame, text: str, keys: DataFrame, limit: int = RECALL) -> DataFrame:
     """Ranked documents for a text query; a query that finds nothing is corrected once and tried again."""
     p = postings(docs)
-    n, avgdl = document_lengths(p).agg(F.count("*"), F.avg("dl")).first()
+    n, avgdl = corpus_statistics(p)
     plan = parse_query(text)
     terms = classify(plan.text)
     if not n or not terms.all:

@@ -98,7 +98,7 @@ def a7_link_check_counts(c, spark, d):
     return liveness.provider_counts(c.links, c.checks)
 
 
-@query("SELECT provider, n, row_number() OVER (ORDER BY CASE provider WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 9 END, provider) AS position FROM (SELECT provider, sum(n)::BIGINT AS n FROM (SELECT edition_id, provider, count(*) AS n FROM live GROUP BY 1, 2) GROUP BY 1)")
+@query("SELECT provider, n, CAST(row_number() OVER (ORDER BY CASE provider WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 9 END, provider) AS INT) AS position FROM (SELECT provider, sum(n)::BIGINT AS n FROM (SELECT edition_id, provider, count(*) AS n FROM live GROUP BY 1, 2) GROUP BY 1)")
 def a8_provider_facets(c, spark, d):
     per = live_of(c).groupBy("edition_id", "provider").agg(F.count("*").alias("n")).groupBy("provider").agg(F.sum("n").alias("n"))
     return per.withColumn("position", F.row_number().over(Window.orderBy(*facets.provider_order("provider", ["R", "N"]))))
@@ -343,7 +343,7 @@ def w7_next_event(c, spark, d):
     return ranking.first_per_key(e, ["user_id"], ["ts", "event_id"]).select("user_id", "ts", "event_type")
 
 
-@query("SELECT turn, event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events) WHERE turn <= 17 ORDER BY turn, event_type LIMIT 17", base=False)
+@query("SELECT turn, event_type, event_id FROM (SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INT) AS turn FROM events) WHERE turn <= 17 ORDER BY turn, event_type LIMIT 17", base=False)
 def w8_round_robin(c, spark, d):
     return ranking.round_robin(table(spark, d, "events"), "event_type", ["ts", "event_id"], 17).select("turn", "event_type", "event_id")
 
@@ -377,7 +377,7 @@ _sorted("o2_page_three", "relevance", "has_primary DESC, link_count DESC, i.item
 _sorted("t17_browse", "relevance", "has_primary DESC, link_count DESC, i.item_id", 1)
 
 
-@query(EDITION_COUNTS + "SELECT item_id, edition_id, row_number() OVER (PARTITION BY item_id ORDER BY has_primary DESC, CASE quality WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 9 END, edition_id) AS position FROM (SELECT ec.*, quality FROM ec JOIN editions e ON e.edition_id = ec.edition_id)")
+@query(EDITION_COUNTS + "SELECT item_id, edition_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY has_primary DESC, CASE quality WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 9 END, edition_id) AS INT) AS position FROM (SELECT ec.*, quality FROM ec JOIN editions e ON e.edition_id = ec.edition_id)")
 def o4_group_order(c, spark, d):
     rank = F.when(F.col("quality") == "1-URGENT", 1).when(F.col("quality") == "2-HIGH", 2).when(F.col("quality") == "3-MEDIUM", 3).otherwise(9)
     rows = liveness.recount_editions(c.editions, live_of(c)).join(c.editions.select("edition_id", "quality"), "edition_id")
@@ -390,7 +390,7 @@ def o5_provider_order(c, spark, d):
     return got.select("edition_id", F.array_join(F.transform("ps", lambda p: p["provider"]), ",").alias("providers"))
 
 
-@query("SELECT edition_id, position, provider, created FROM (SELECT edition_id, provider, created, row_number() OVER (PARTITION BY edition_id ORDER BY provider = 'R' DESC, created DESC NULLS LAST, url_key, line, price) AS position FROM links) WHERE position <= 2")
+@query("SELECT edition_id, position, provider, created FROM (SELECT edition_id, provider, created, CAST(row_number() OVER (PARTITION BY edition_id ORDER BY provider = 'R' DESC, created DESC NULLS LAST, url_key, line, price) AS INT) AS position FROM links) WHERE position <= 2")
 def o6_link_order(c, spark, d):
     order = [(F.col("provider") == PRIMARY).desc(), F.col("created").desc_nulls_last(), "url_key", "line", "price"]
     return ranking.top_per_key(c.links, ["edition_id"], order, 2, "position").select("edition_id", "position", "provider", "created")

@@ -174,7 +174,7 @@ def x20_ratings_status(spark, d):
     return rated(spark, d).select("id", C.ratings_status(have, F.array(F.lit("votes"), F.lit("critics"))).alias("status"))
 
 
-@query("SELECT a, b, levenshtein(a, b) AS distance FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) WHERE levenshtein(a, b) <= 4")
+@query("SELECT a, b, levenshtein(a, b)::INT AS distance FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) WHERE levenshtein(a, b) <= 4")
 def x24_levenshtein(spark, d):
     p = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b")).distinct()
     return p.withColumn("distance", F.levenshtein("a", "b", 4)).where("distance >= 0")

@@ -46,7 +46,7 @@ keys AS (SELECT doc_id, array_to_string(w[1:8], ' ') AS key, 1 + 0.15::DOUBLE *
 
 def indexed(spark, d):
     p = search.postings(corpus(spark, d))
-    n, avgdl = search.document_lengths(p).agg(F.count("*"), F.avg("dl")).first()
+    n, avgdl = search.corpus_statistics(p)
     return search.build_index(p, n, avgdl)
 
 

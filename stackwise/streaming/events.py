@@ -88,17 +88,26 @@ def fold_window(times: list[float], start: float | None, count: int, window: flo
 def rate_limit(events: DataFrame, limit: int, window: int) -> DataFrame:
     """event_id, attempt, allowed: a window opens at a user's first attempt and at the first one after it ended.
 
-    A batch needs each user's events in order; users are the groups, so a hot user is one task's rows. For streams use
-    RateLimiter, whose state is two numbers a user.
+    Users are dealt to partitions and read in order as a stream of batches that carries one open window over, so no
+    user's events are gathered in memory. For streams use RateLimiter, whose state is two numbers a user.
     """
 
-    def step(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        seconds = (pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        attempts, _, _ = fold_window(seconds, None, 0, window)
-        return pd.DataFrame({"event_id": pdf["event_id"], "attempt": attempts, "allowed": [int(a <= limit) for a in attempts]})
-
-    return events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id").applyInPandas(step, LIMITED)
+    def step(batches):
+        user, start, count = object(), None, 0
+        for pdf in batches:
+            seconds = (pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
+            attempts = []
+            for u, t in zip(pdf["user_id"].tolist(), seconds, strict=True):
+                if u != user:
+                    user, start = u, None
+                if start is None or t - start >= window:
+                    start, count = t, 0
+                count += 1
+                attempts.append(count)
+            yield pd.DataFrame({"event_id": pdf["event_id"], "attempt": attempts, "allowed": [int(a <= limit) for a in attempts]})
+
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(step, LIMITED)
 
 
 class RateLimiter(StatefulProcessor):
