@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, shared_dir, slices
 
 LIMIT = 4096
 TOKENIZER = "piece_bpe_32k.model"
@@ -57,15 +57,8 @@ def counter(path: str):
 def encoder(name: str, version: str):
     def step(batches):
         count = counter(tokenizer_path(name))
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            n: list[int] = []
-            while len(n) < len(texts):
-                j, size = len(n), 0
-                while j < len(texts) and (size == 0 or size + len(texts[j]) < 1 << 18):
-                    size += len(texts[j]) + 1
-                    j += 1
-                n += count(texts[len(n) : j])
+        for batch in slices(batches, "text", limit=1 << 18):
+            n = count(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["digest"], pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
     return step
@@ -87,6 +80,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, cache_path: str |
     found = d.join(misses.withColumnRenamed("digest", "miss"), (F.col("digest") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text")
     found.mapInArrow(encoder(tokenizer, version), CACHE).write.mode("append").parquet(path)
     known = spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join has plain exchanges on both sides and Spark can split a digest that many rows share
+    known = materialise(known, "known", root)
     return ids.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
