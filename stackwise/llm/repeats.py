@@ -6,7 +6,8 @@ that pick the same gram form one *suffix group entry* (gram, whole content). One
 
 1. every block sends its distinct entries, sorted, to buckets of the gram's leading digit;
 2. each bucket orders the entries by the remaining digits; entries met in another block are repeats as a whole, and
-   grams with two different contents are *open*: windows at the edges of a repeat may still be equal;
+   grams with two different contents are *open*: windows at the edges of a repeat may still be equal (so may windows
+   of one entry whose gram stands in it twice, where a document's own repeats count);
 3. blocks send the single windows of their open entries, keyed by the whole window;
 4. buckets answer which of these are met elsewhere; blocks mark the tokens.
 
@@ -49,13 +50,15 @@ class Spec:
 
 @dataclass
 class Entries:
-    """Entries of a block. at, n: first window's token and number of windows; own: document number in the block."""
+    """Entries of a block. at, n: first window's token and number of windows; own: document number in the block; again:
+    the gram occurs twice in one of the windows, so that windows of this one entry may equal each other."""
 
     gram: np.ndarray
     rest: np.ndarray
     at: np.ndarray
     n: np.ndarray
     own: np.ndarray
+    again: np.ndarray
 
 
 def powers(length: int) -> list[int]:
@@ -102,7 +105,7 @@ def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndar
 
 
 def scan(tokens: np.ndarray, offsets: np.ndarray, spec: Spec) -> Entries:
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     length, gram = spec.length, spec.gram
     w = length - gram + 1
     for lo, hi, (heads, counts), owners in pieces(offsets, length):
@@ -133,9 +136,16 @@ def scan(tokens: np.ndarray, offsets: np.ndarray, spec: Spec) -> Entries:
         a, z = spans(levels, at[s], length), spans(levels, at[s + n - 1], length)
         rest = mix64(join2(a, z) + n.astype(np.uint64)) >> U(32)
         own = owners[np.searchsorted(first, s, side="right") - 1]
-        for part, v in zip(out, (mix64(m[s]), np.maximum(rest, U(1)).astype(np.uint32), at[s] + lo, n, own), strict=True):
+        again = np.zeros(len(s), dtype=bool)
+        if not spec.before:
+            near = np.zeros(len(g) + 1, np.int64)
+            for p in range(1, min(w, len(g))):
+                near[1 : len(g) - p + 1] |= g[:-p] == g[p:]
+            near = np.cumsum(near)
+            again = near[np.minimum(at[s] + n + w - 1, len(g))] > near[at[s]]
+        for part, v in zip(out, (mix64(m[s]), np.maximum(rest, U(1)).astype(np.uint32), at[s] + lo, n, own, again), strict=True):
             part.append(v)
-    kinds = (np.uint64, np.uint32, np.int64, np.int64, np.int64)
+    kinds = (np.uint64, np.uint32, np.int64, np.int64, np.int64, bool)
     return Entries(*(np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(out, kinds, strict=True)))
 
 
@@ -163,6 +173,8 @@ class Block:
         gram_of = np.cumsum(new_g[new]) - 1
         contents = np.bincount(gram_of) if len(gram_of) else np.zeros(0, np.int64)
         self.hot = contents[gram_of] > HOT if len(gram_of) else np.zeros(0, bool)
+        self.again = np.zeros(len(self.gram), dtype=bool)
+        self.again[self.id[e.again]] = True
         head = new_g[new]
         self.sent = ~self.hot | head
         self.sent_gram = self.gram[self.sent]
@@ -184,7 +196,7 @@ class Block:
         full = np.zeros(len(self.gram), np.uint8)
         full[self.sent] = flags
         seen = (full & SEEN > 0) & ~self.hot
-        return seen, (full & OPEN > 0) | self.hot
+        return seen, (full & OPEN > 0) | self.hot | self.again
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the entries with this mask: each window's token, document, hash and second hash."""
@@ -258,7 +270,7 @@ def judge(spec: Spec, single: bool) -> Callable:
 
 
 def open_windows(b: Block, answers: list[dict], bits: int):
-    """The windows of the block's open entries: only the first block that has an entry, or one where its gram is hot, holds it open."""
+    """The windows of the block's open entries: only the first block that has an entry holds it open, but for hot grams and entries that may repeat themselves."""
     seen, is_open = b.answered([r for r in answers if r["kind"] == 2], bits)
     tok, own, h, h2 = b.windows(is_open[b.id] if len(b.id) else np.zeros(0, bool))
     order = np.lexsort((h2, h))

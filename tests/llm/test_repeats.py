@@ -18,6 +18,7 @@ def corpus(seed, n=60):
         for _ in range(rng.randint(0, 3)):
             parts += [rng.choice(shared)[: rng.randint(1, 400)], say(rng.randint(0, 30))]
         rows.append((i * rng.choice([1, 7]), rng.choice([" ", "\n", "\t "]).join(parts)))
+    rows += [(900 + i, " ".join([say(5)] + [rng.choice(vocab)] * rng.randint(30, 60) + [say(30)] + say(rng.randint(2, 9)).split() * 9 + [say(8)])) for i in range(12)]
     line = shared[0][:45]
     rows += [(10_000 + i, say(12) + " " + line + " " + say(12)) for i in range(40)]
     rows += [(20_000, rows[9][1]), (20_000, rows[9][1]), (None, rows[9][1]), (None, rows[12][1])]
