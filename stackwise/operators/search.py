@@ -61,45 +61,63 @@ def tokenise_udf(text):
 
 
 def ascii_tokens(c: Column) -> Column:
-    """The built-in path for Latin text: words of a-z and 0-9."""
-    words = F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
-    return F.transform(words, lambda t: F.struct(t.alias("term"), F.when(t.rlike("^[0-9]+$"), "number").otherwise("latin").alias("kind")))
+    """The built-in path for Latin text: words of a-z and 0-9, as strings; their kind follows from the term."""
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), "")
 
 
-def postings(docs: DataFrame, tokens=ascii_tokens) -> DataFrame:
-    """doc_id, term, kind, dl (tokens of the document), and tf_<field> for each field, one row for a document's term.
-
-    Documents are dealt by doc_id before they are split, so all that follows for one document happens in one place: the
-    far more numerous postings are counted without a shuffle.
-    """
+def _tokenised(docs: DataFrame, tokens) -> tuple[DataFrame, list[str]]:
     fields = [f for f in FIELD_WEIGHTS if f in docs.columns]
     d = docs.select("doc_id", *fields).repartition("doc_id").select("doc_id", *[tokens(F.col(f)).alias(f) for f in fields])
-    d = d.withColumn("dl", sum((F.greatest(F.size(f), F.lit(0)) for f in fields[1:]), F.greatest(F.size(fields[0]), F.lit(0))).cast("long"))
-    marked = F.concat(*[_marked(f, i) for i, f in enumerate(fields)])
-    rows = d.select("doc_id", "dl", F.explode(marked).alias("t")).select("doc_id", "dl", "t.term", "t.kind", "t.field")
-    return rows.groupBy("doc_id", "term", "kind", "dl").agg(*[F.count_if(F.col("field") == i).alias(f"tf_{f}") for i, f in enumerate(fields)])
-
+    return d.withColumn("dl", reduce(lambda x, y: x + y, [F.greatest(F.size(f), F.lit(0)) for f in fields]).cast("long")), fields
 
-def _marked(name: str, number: int) -> Column:
-    return F.transform(F.coalesce(F.col(name), F.array().cast(TOKENS)), lambda t: F.struct(t["term"].alias("term"), t["kind"].alias("kind"), F.lit(number).alias("field")))
 
+def postings(docs: DataFrame, tokens=ascii_tokens) -> DataFrame:
+    """doc_id, term, kind, dl (tokens of the document), and tf_<field> for each field, one row for a document's term.
 
-def corpus_statistics(p: DataFrame) -> tuple[int, float]:
+    Documents are dealt by doc_id before they are split, so all that follows for one document happens in one place: the
+    far more numerous postings are counted without a shuffle. A token's field is told by its position. tokens gives
+    strings, or structs of term and kind; a term of two kinds counts as the first of them by name.
+    """
+    d, fields = _tokenised(docs, tokens)
+    structs = d.schema[fields[0]].dataType.elementType.typeName() == "struct"
+    empty = F.array().cast(d.schema[fields[0]].dataType)
+    ends, at = [], F.lit(0)
+    for f in fields:
+        at = at + F.greatest(F.size(f), F.lit(0))
+        ends.append(at.alias(f"end_{f}"))
+    rows = d.select("doc_id", "dl", *ends, F.concat(*[F.coalesce(f, empty) for f in fields]).alias("all"))
+    rows = rows.select("doc_id", "dl", *[f"end_{f}" for f in fields], F.posexplode("all").alias("pos", "t"))
+    counts = []
+    for before, f in zip([None, *fields], fields, strict=False):
+        inside = F.col("pos") < F.col(f"end_{f}")
+        counts.append(F.count_if(inside & (F.col("pos") >= F.col(f"end_{before}")) if before else inside).alias(f"tf_{f}"))
+    term = F.col("t.term") if structs else F.col("t")
+    if structs:
+        return rows.groupBy("doc_id", "dl", term.alias("term")).agg(F.min("t.kind").alias("kind"), *counts)
+    p = rows.groupBy("doc_id", "dl", term.alias("term")).agg(*counts)
+    return p.withColumn("kind", F.when(F.col("term").rlike("^[0-9]+$"), "number").otherwise("latin"))
+
+
+def corpus_statistics(docs: DataFrame, tokens=ascii_tokens) -> tuple[int, float]:
     """Number of documents with a token, and their mean length."""
-    n, avgdl = p.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    n, avgdl = _tokenised(docs, tokens)[0].where("dl > 0").agg(F.count("*"), F.avg("dl")).first()
     return n, avgdl
 
 
 def document_frequencies(p: DataFrame) -> DataFrame:
-    """Distinct documents of a term; a term that is both of two kinds in a document counts once."""
-    return p.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+    """Documents of a term; postings have one row for a document's term."""
+    return p.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def build_index(p: DataFrame, n_docs: int, avgdl: float) -> DataFrame:
     """doc_id, field, term, kind, weight."""
-    fields = [c[3:] for c in p.columns if c.startswith("tf_")]
+    return weigh(p.join(document_frequencies(p), "term"), n_docs, avgdl)
+
+
+def weigh(rows: DataFrame, n_docs: int, avgdl: float) -> DataFrame:
+    """The weights of postings that have their term's df."""
+    fields = [c[3:] for c in rows.columns if c.startswith("tf_")]
     kind_w = F.create_map(*[x for k, v in KIND_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
-    rows = p.join(document_frequencies(p), "term")
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - B + B * F.col("dl") / avgdl
     stop = (F.col("kind") == "latin") & F.col("term").isin(*STOPWORDS)
@@ -232,7 +250,7 @@ def suggest(keys: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
 def search(docs: DataFrame, text: str, keys: DataFrame, limit: int = RECALL) -> DataFrame:
     """Ranked documents for a text query; a query that finds nothing is corrected once and tried again."""
     p = postings(docs)
-    n, avgdl = corpus_statistics(p)
+    n, avgdl = corpus_statistics(docs)
     plan = parse_query(text)
     terms = classify(plan.text)
     if not n or not terms.all:
@@ -252,3 +270,19 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     """Per category: mean reciprocal rank within 10, recall at 10 and precision at 1. ranked: query, doc_id, rank."""
     hit = expected.join(ranked.where("rank <= 10"), ["query", "doc_id"], "left").groupBy("category", "query").agg(F.min("rank").alias("rank"))
     return hit.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("rank").isNotNull().cast("int")), 6).alias("recall"), F.round(F.avg(F.coalesce((F.col("rank") == 1).cast("int"), F.lit(0))), 6).alias("p1"))
+
+
+def update_index(index: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
+    """Incremental form: documents in ``changed`` (doc_id) get weights from the new postings with frequencies, count and
+    mean length of the whole new corpus; all other documents keep their old weights.
+
+    old, new: postings before and after. df = old df - removed + added, which touches only terms of changed documents.
+    """
+    gone, added = old.join(changed, "doc_id", "left_semi"), new.join(changed, "doc_id", "left_semi")
+    delta = gone.select("term", "doc_id").distinct().withColumn("d", F.lit(-1)).unionByName(added.select("term", "doc_id").distinct().withColumn("d", F.lit(1)))
+    delta = delta.groupBy("term").agg(F.sum("d").alias("d"))
+    touched = added.select("term").distinct()
+    df = document_frequencies(old.join(touched, "term", "left_semi")).join(delta, "term", "full_outer")
+    df = df.select("term", (F.coalesce("df", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("df"))
+    n, avgdl = new.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    return index.join(changed, "doc_id", "left_anti").unionByName(weigh(added.join(df, "term"), n or 1, avgdl or 1.0))

@@ -24,7 +24,8 @@ def query(sql: str | None):
 
 def corpus(spark, d):
     t = table(spark, d, "documents").select("doc_id", "text")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    # a limited split reads no further than the title's eight words and what may stand before them
+    words = F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+", 10), "")
     return t.select("doc_id", F.array_join(F.slice(words, 1, 8), " ").alias("title"), F.col("text").alias("overview"))
 
 
@@ -45,9 +46,8 @@ keys AS (SELECT doc_id, array_to_string(w[1:8], ' ') AS key, 1 + 0.15::DOUBLE *
 
 
 def indexed(spark, d):
-    p = search.postings(corpus(spark, d))
-    n, avgdl = search.corpus_statistics(p)
-    return search.build_index(p, n, avgdl)
+    docs = corpus(spark, d)
+    return search.build_index(search.postings(docs), *search.corpus_statistics(docs))
 
 
 @query(INDEX + "SELECT doc_id, field, count(*) AS terms, round(sum(weight), 5) AS weight, round(max(weight), 6) AS top FROM idx GROUP BY 1, 2")

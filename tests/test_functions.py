@@ -69,6 +69,26 @@ def test_search_gate_and_correction(spark):
     assert search.search(docs, "", keys).count() == 0
 
 
+def test_cjk_postings(spark):
+    docs = spark.createDataFrame([(1, "黑客帝国", "Rocky II"), (2, None, "")], "doc_id long, title string, overview string")
+    got = {(r["term"], r["kind"], r["tf_title"], r["tf_overview"]) for r in search.postings(docs, search.tokenise_udf).collect()}
+    assert ("黑客", "bigram", 1, 0) in got and ("黑客帝国", "run", 1, 0) in got and ("2", "number", 0, 1) in got
+    assert all(r["dl"] == 11 for r in search.postings(docs, search.tokenise_udf).collect())
+
+
 def test_explicit_filters_win():
     f = Filters(kind="a").over(Filters(kind="b", genre=3, hdr="x"))
     assert (f.kind, f.genre, f.hdr) == ("a", None, "x")
+
+
+def test_incremental_index_equals_rebuild_on_changed_documents(spark):
+    before = spark.createDataFrame([(i, f"alpha w{i % 3}", f"beta w{i % 5} the end") for i in range(20)], "doc_id long, title string, overview string")
+    after = spark.createDataFrame([(i, f"alpha w{i % 3}" if i != 4 else "gamma new", f"beta w{i % 5} the end") for i in range(22)], "doc_id long, title string, overview string")
+    changed = spark.createDataFrame([(4,), (20,), (21,)], "doc_id long")
+    old, new = search.postings(before), search.postings(after)
+    index = search.build_index(old, *search.corpus_statistics(before))
+    got = search.update_index(index, old, new, changed)
+    full = search.build_index(new, *search.corpus_statistics(after))
+    rows = lambda df, c: sorted((r["doc_id"], r["field"], r["term"], round(r["weight"], 9)) for r in df.where(c).collect())
+    assert rows(got, "doc_id in (4, 20, 21)") == rows(full, "doc_id in (4, 20, 21)")
+    assert rows(got, "doc_id not in (4, 20, 21)") == rows(index, "doc_id not in (4, 20, 21)")
