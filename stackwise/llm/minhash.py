@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, flat_bytes, join2, materialise, mix64, shared_dir, word_hashes, word_spans
+from .common import U, flat_bytes, join2, materialise, mix64, shared_dir, slices, word_hashes, word_spans
 from .graph import components
 
 PERMUTATIONS = 96
@@ -88,7 +88,7 @@ SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 def sketcher(width: int, rows: int):
     def step(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             flat, off = shingle_sets(batch["text"], width)
             n = np.diff(off)
             full = np.flatnonzero(n)
@@ -113,7 +113,7 @@ def linked(shared: int, a: int, b: int, percent: int) -> bool:
 
 def pair_checker(width: int, percent: int):
     def step(batches):
-        for batch in batches:
+        for batch in slices(batches, "ta", "tb"):
             fa, oa = shingle_sets(batch["ta"], width)
             fb, ob = shingle_sets(batch["tb"], width)
             good = []
