@@ -45,6 +45,20 @@ def test_finds_copies_and_paraphrases(spark):
     assert decontaminate(d.limit(0), b).count() == 0
 
 
+def test_finds_every_copy_of_a_large_benchmark(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)] + ["the", "of"] * 300
+    say = lambda k: " ".join(rng.choice(vocab) for _ in range(k))
+    items = [say(rng.randint(20, 60)) for _ in range(1100)]
+    docs = [f"{say(40)} {x} {say(40)}" for x in items]
+    d = spark.createDataFrame([*enumerate(docs), (5000, say(200))], "doc_id long, text string")
+    b = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate(d, b).collect()}
+    missed = [i for i in range(1100) if i not in got[i]]
+    assert not missed, f"{len(missed)} of 1100 missed"
+    assert not got[5000]
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
