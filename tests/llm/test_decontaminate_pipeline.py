@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from stackwise.llm.decontaminate import decontaminate, lcs
 
@@ -59,6 +61,35 @@ def test_finds_every_copy_of_a_large_benchmark(spark):
     assert not got[5000]
 
 
+@pytest.mark.parametrize("size", [1, 4, 8, 16, 18, 20, 40])
+def test_finds_short_widespread_and_reworded_items(spark, size):
+    rng = random.Random(size)
+    vocab = [f"w{i}" for i in range(3000)] + ["the", "of", "and", "in"] * 500
+    say = lambda k: [rng.choice(vocab) for _ in range(k)]
+    # the first item stands in a third of all documents, the others in few
+    items = [[f"x{k}y", *say(size - 1)] for k in range(20)]
+    docs, truth = [], {}
+    for i in range(600):
+        w = [f"rare{rng.randrange(10**9)}" if rng.random() < 0.2 else x for x in say(rng.randint(40, 200))]
+        if i % 3 == 0 or i % 3 == 1 and i % 2:
+            k = 0 if i % 3 == 0 else rng.randrange(1, 20)
+            p = list(items[k])
+            if k:
+                for j in rng.sample(range(size), int(0.3 * size)):
+                    p[j] = f"new{rng.randrange(10**9)}"
+            at = rng.randint(0, len(w))
+            w[at:at] = p
+            truth[i] = k
+        docs.append((i, " ".join(w)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate(d, b).collect()}
+    missed = [i for i in truth if truth[i] not in got[i]]
+    assert not missed, f"{len(missed)} of {len(truth)} missed"
+    if size >= 16:
+        assert {i for i in got if got[i]} == set(truth)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
