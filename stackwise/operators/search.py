@@ -213,18 +213,19 @@ def recall(index: DataFrame, terms: Terms, limit: int = RECALL) -> DataFrame:
     return hits.orderBy(F.desc("name_score"), "doc_id").limit(limit)
 
 
-def name_tier(key: Column, query: str, terms: list[str]) -> tuple[Column, Column]:
-    """(tier, coverage): 0 exact, 1 prefix or phrase, 2 half of the terms, 3 else. key: the folded title."""
-    words = F.split(key, " ")
+def name_tier(key: Column, query: str, terms: list[str], words: Column | None = None) -> tuple[Column, Column]:
+    """(tier, coverage): 0 exact, 1 prefix or phrase, 2 half of the terms, 3 else. key: the folded title; words: its
+    terms, if they are not what spaces part."""
+    words = F.split(key, " ") if words is None else words
     hit = reduce(lambda a, b: a + b, [F.array_contains(words, t).cast("int") for t in terms])
     coverage = hit / len(terms)
     phrase = F.startswith(key, F.lit(query)) | F.contains(F.concat(F.lit(" "), key, F.lit(" ")), F.lit(f" {query} "))
     return F.when(key == query, 0).when(phrase, 1).when(coverage >= 0.5, 2).otherwise(3), coverage
 
 
-def rerank(hits: DataFrame, keys: DataFrame, query: str, terms: list[str], year: int | None = None) -> DataFrame:
+def rerank(hits: DataFrame, keys: DataFrame, query: str, terms: list[str], year: int | None = None, words: Column | None = None) -> DataFrame:
     """hits with tier and final score, in order. keys: doc_id, key (folded title), boost, and year if one is asked for."""
-    tier, coverage = name_tier(F.col("key"), query, terms)
+    tier, coverage = name_tier(F.col("key"), query, terms, words)
     match = F.when(F.col("key") == query, 2.0).when(F.startswith("key", F.lit(query)), 1.5).when(F.contains("key", F.lit(query)), 1.3).otherwise(1.0)
     by_year = F.when(F.abs(F.col("year") - year) == 0, 1.2).when(F.col("year").isNull(), 1.0).otherwise(0.8) if year is not None else F.lit(1.0)
     final = F.col("score") * (1 + 0.15 * (F.col("matched") - 1)) * match * by_year * F.col("boost") * (1 + 0.5 * coverage)
@@ -247,10 +248,14 @@ def suggest(keys: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
     return keys.where(F.startswith("key", F.lit(p))).orderBy(F.desc("boost"), "doc_id").limit(limit)
 
 
-def search(docs: DataFrame, text: str, keys: DataFrame, limit: int = RECALL) -> DataFrame:
-    """Ranked documents for a text query; a query that finds nothing is corrected once and tried again."""
-    p = postings(docs)
-    n, avgdl = corpus_statistics(docs)
+def search(docs: DataFrame, text: str, keys: DataFrame, limit: int = RECALL, tokens=tokenise_udf) -> DataFrame:
+    """Ranked documents for a text query; a query that finds nothing is corrected once and tried again.
+
+    The index has the query's own terms (tokenise); ascii_tokens is for texts and queries of ASCII only.
+    """
+    p = postings(docs, tokens)
+    n, avgdl = corpus_statistics(docs, tokens)
+    words = None if tokens is ascii_tokens else tokens(F.col("key"))["term"]
     plan = parse_query(text)
     terms = classify(plan.text)
     if not n or not terms.all:
@@ -260,10 +265,10 @@ def search(docs: DataFrame, text: str, keys: DataFrame, limit: int = RECALL) ->
     if not hits.take(1):
         fixed = {r["term"]: r["correction"] for r in corrections(p.select("term").distinct(), terms.names).collect()}
         if fixed:
-            plan.text = " ".join(fixed.get(w, w) for w in plan.text.split())
+            plan.text = " ".join(fixed.get(strip_marks(w), w) for w in plan.text.split())
             terms = classify(plan.text)
             hits = recall(index, terms, limit)
-    return rerank(hits, keys, plan.text, terms.names, plan.year)
+    return rerank(hits, keys, plan.text, terms.names, plan.year, words)
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame) -> DataFrame:

@@ -69,6 +69,16 @@ def test_search_gate_and_correction(spark):
     assert search.search(docs, "", keys).count() == 0
 
 
+def test_search_of_all_letters(spark):
+    titles = ["黑客帝国", "Canción de otoño", "Cancer ward", "Straße"]
+    docs = spark.createDataFrame([(i, t, f"text {i}") for i, t in enumerate(titles)], "doc_id long, title string, overview string")
+    keys = spark.createDataFrame([(i, T.fold(t), 1.0) for i, t in enumerate(titles)], "doc_id long, key string, boost double")
+    ask = lambda q: [(r["doc_id"], r["tier"]) for r in search.search(docs, q, keys).collect()]
+    assert ask("黑客") == [(0, 1)] and ask("帝国 黑客") == [(0, 2)]
+    assert ask("canción") == [(1, 1)] and ask("otoño canción") == [(1, 2)] and ask("otono") == [(1, 2)]
+    assert ask("cancióm") == [(1, 2)] and ask("strasse") == [(3, 0)]
+
+
 def test_cjk_postings(spark):
     docs = spark.createDataFrame([(1, "黑客帝国", "Rocky II"), (2, None, "")], "doc_id long, title string, overview string")
     got = {(r["term"], r["kind"], r["tf_title"], r["tf_overview"]) for r in search.postings(docs, search.tokenise_udf).collect()}
