@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from stackwise.llm.decontaminate import decontaminate, lcs
+from stackwise.llm.decontaminate import confirmed, decontaminate, lcs
 
 
 def test_lcs():
@@ -90,6 +90,14 @@ def test_finds_short_widespread_and_reworded_items(spark, size):
         assert {i for i in got if got[i]} == set(truth)
 
 
+def test_answer_rule_needs_weight():
+    import numpy as np
+
+    item, region = list(range(20)), np.array([*range(6), *range(15, 20)])
+    assert confirmed(item, region, 0.4) == (True, 0.55) and confirmed(item, region, 0.1) == (False, 0.55)
+    assert confirmed(item, np.arange(14), 0.1) == (True, 0.7)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
