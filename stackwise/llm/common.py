@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: word scanning in numpy, shared folders, block layout.
+"""Shared pieces of the training-data operators: word scanning in numpy, shared folders.
 
 Words are always the maximal runs of bytes other than 0x20 and 0x09-0x0D of the UTF-8 text, which is the same
 as ``[^\\x20\\x09-\\x0D]+`` on characters, since those bytes never occur inside a multi-byte character.
@@ -154,32 +154,3 @@ def pack_bytes(a: np.ndarray) -> bytes:
 
 def unpack_bytes(blob: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-
-
-CELLS = 65_536
-
-
-def ordered_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, block): blocks are ascending ranges of doc_id with about block_bytes of text each.
-
-    The id range is cut into 65,536 equal cells; their byte counts (never more rows than that, whatever the input)
-    come to the driver, and neighbouring cells are joined into blocks. Null ids come last, in a block of their own.
-    """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    low, high = d.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low, high = 0, 0
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width)).cast("int"), F.lit(-1)) if high - low >= 2**62 else F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
-    d = d.withColumn("cell", cell)
-    sizes = d.groupBy("cell").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("size")).collect()
-    rows, block, held = [], 0, 0
-    for r in sorted((r for r in sizes if r["cell"] >= 0), key=lambda r: r["cell"]):
-        if held and held + r["size"] > block_bytes:
-            block, held = block + 1, 0
-        rows.append((r["cell"], block))
-        held += r["size"]
-    rows.append((-1, block + 1))
-    blocks = spark.createDataFrame(rows, "cell int, block int")
-    return d.join(F.broadcast(blocks), "cell").select("doc_id", "text", "block"), block + 2

@@ -1,13 +1,15 @@
 """Operator 1: suffix-array dedup by depth-limited most-significant-digit radix sort.
 
-Suffixes are ordered only through ``threshold`` bytes. They are dealt by their leading digit and then ordered in
-16-bit digit passes; a pass looks only at groups that still have two members, so unique suffixes drop out early, and
-the groups that are equal after the last pass are exactly the repeated windows. Suffixes are sampled (see repeats.py):
-one per run of neighbouring windows that share their smallest 24-byte gram, and single windows where runs differ.
-
-Defined results: a null or empty text has no bytes and no spans; a null doc_id counts as larger than any other; rows
-with the same doc_id never shadow each other; texts are bytes, so a cut may fall inside a character; extra columns are
-ignored; an empty table gives an empty result.
+Suffixes are ordered by their bytes, and only through ``threshold`` of them, in digits of eight: the leading digit deals
+them into groups, and each later pass reads the next digit of the groups that still have two members and splits those
+whose digits differ. Suffixes that are alone drop out early; groups that are whole after the last pass are exactly the
+repeated windows, and a member is a repeat if the group has a smaller doc_id. Suffixes at an anchor that occurs once in
+the corpus are alone already and never leave their block; the others are dealt by anchor, in runs (see repeats.py).
+
+Defined results: a null or empty text has no bytes and no spans; a null doc_id counts as the largest possible id; rows
+with the same doc_id never shadow each other, repeated rows get equal results; texts are bytes, so a cut may fall inside
+a character; texts of any length are read whole, in overlapping pieces; of equal windows (ties) all but those of the
+smallest doc_id are removed; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,35 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import BYTE_KEY
-from .repeats import Block, Spec, repeated
+from .repeats import GROUP, Block, Spec, Suffixes, radix_order, repeated
 
 THRESHOLD = 50
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
 def byte_tokens(b: np.ndarray, offsets: np.ndarray):
-    return BYTE_KEY[b], offsets
-
-
-def radix_order(gram: np.ndarray, rest: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Most-significant-digit passes over the 96-bit keys; only groups with two or more members are refined."""
-    perm = np.argsort(block, kind="stable")
-    slots = np.arange(len(perm))
-    group = np.zeros(len(perm), np.int64)
-    for key, shift in ((gram, 48), (gram, 32), (gram, 16), (gram, 0), (rest, 16), (rest, 0)):
-        if not len(slots):
-            break
-        own = perm[slots]
-        digit = (key[own] >> key.dtype.type(shift)).astype(np.uint16)
-        o = np.lexsort((digit, group))
-        digit, group = digit[o], group[o]
-        perm[slots] = own[o]
-        new = np.ones(len(o), dtype=bool)
-        new[1:] = (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new)
-        alive = np.bincount(group)[group] > 1
-        slots, group = slots[alive], group[alive]
-    return perm
+    return BYTE_KEY[b], offsets, None, b
+
+
+def repeats_of_smaller_ids(b: np.ndarray, tokens: np.ndarray, at: np.ndarray, n: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes equal, through ``length`` bytes, one with a smaller id."""
+    perm, group = radix_order(Suffixes(b), at, np.full(len(at), length))
+    ids = ids[perm]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(perm) else perm
+    least = np.repeat(np.minimum.reduceat(ids, first), np.diff(first, append=len(perm))) if len(perm) else ids
+    seen = np.empty(len(perm), bool)
+    seen[perm] = least < ids
+    return seen
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,9 +73,9 @@ def finish(b: Block, mask: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": b.table["doc_id"].cast(pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(s) for s in spans], pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, kind)})
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, block_bytes: int = 6 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, block_bytes: int = 6 << 20, group: int = GROUP) -> DataFrame:
     """Per document, the byte spans that repeat a window of ``threshold`` bytes of a document with a smaller id."""
-    spec = Spec(threshold, max(1, threshold * 12 // 25), True, byte_tokens, radix_order)
+    spec = Spec(threshold, max(1, threshold * 12 // 25), False, True, byte_tokens, repeats_of_smaller_ids, group)
     return repeated(docs, spec, finish, RESULT, id_col, text_col, block_bytes)
 
 

@@ -1,9 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from stackwise.llm.substring_dedup import substring_dedup
+from stackwise.llm.repeats import Suffixes, dealt_blocks, parts_of, radix_order
+from stackwise.llm.substring_dedup import subtree, substring_dedup
 from stackwise.llm.suffix_dedup import suffix_dedup
 
 
@@ -63,22 +67,67 @@ def brute_words(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed,block", [(1, 3000), (2, 900), (3, 1 << 20)])
-def test_bytes_match_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed,block,group", [(1, 3000, 4096), (2, 900, 3), (3, 1 << 20, 8)])
+def test_bytes_match_brute_force(spark, seed, block, group):
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, block string, kind int")
-    got = suffix_dedup(df, threshold=50, block_bytes=block).drop("spans").collect()
+    got = suffix_dedup(df, threshold=50, block_bytes=block, group=group).drop("spans").collect()
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 50)
 
 
-@pytest.mark.parametrize("seed,block,size", [(1, 3000, 35), (2, 900, 12), (3, 1 << 20, 35)])
-def test_words_match_brute_force(spark, seed, block, size):
+@pytest.mark.parametrize("seed,block,size,group", [(1, 3000, 35, 4096), (2, 900, 12, 3), (3, 1 << 20, 35, 8)])
+def test_words_match_brute_force(spark, seed, block, size, group):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring_dedup(df, window=size, block_bytes=block).drop("kept_text").collect()
+    got = substring_dedup(df, window=size, block_bytes=block, group=group).drop("kept_text").collect()
     assert sorted(map(tuple, got), key=str) == brute_words(rows, size)
 
 
+def test_outlying_and_null_ids_do_not_fill_one_block(spark):
+    say = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, f"{i} {say}") for i in range(300)] + [(2**62, say)] + [(None, f"{say} {i}") for i in range(300)] + [(7, say)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    d, blocks = dealt_blocks(df, "doc_id", "text", 20_000)
+    sizes = [r["n"] for r in d.groupBy("block").agg(F.sum(F.length("text")).alias("n")).collect()]
+    # equal rows of one input partition stand together, and are then cut into parts
+    assert len(sizes) > blocks / 2 and max(sizes) < 5 * 20_000
+    whole = pa.table({"doc_id": [1] * 50, "text": [say] * 50})
+    assert max(sum(len(t) for t in p["text"].to_pylist()) for _, p in parts_of(whole, 10_000)) <= 10_000
+    assert sum(p.num_rows for _, p in parts_of(whole, 10_000)) == 50
+
+
+def test_passes_split_only_groups_and_order_like_bytes():
+    rng = np.random.default_rng(5)
+    b = rng.choice(np.frombuffer(b"ab", np.uint8), 3000)
+    at = np.arange(2900)
+    perm, group = radix_order(Suffixes(b), at, np.full(len(at), 50))
+    keys = [b[i : i + 50].tobytes() for i in perm]
+    assert keys == sorted(keys)
+    assert all((group[i] == group[i - 1]) == (keys[i] == keys[i - 1]) for i in range(1, len(keys)))
+
+
+def test_subtree_depths_are_common_prefixes():
+    rng = np.random.default_rng(6)
+    numbers = np.append(rng.integers(1, 3, 400).astype(np.uint32), np.uint32(0))
+    at = np.arange(400)
+    leaves, depth = subtree(Suffixes(numbers), at, 401 - at, at, 0)
+    words = [numbers[i:].tolist() for i in leaves]
+    assert words == sorted(words)
+    common = [next(k for k, (x, y) in enumerate(zip(a, b)) if x != y) for a, b in zip(words, words[1:])]
+    assert depth[1:].tolist() == common
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(4)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60_000))
+    rows = [(1, passage, 1, "p"), (2, f"{long} {passage} {long[:5000]}", 2, "q"), (3, None, 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket int, payload string")
+    plain = [(d, t) for d, t, *_ in rows]
+    assert sorted(map(tuple, suffix_dedup(df).drop("spans").collect()), key=str) == brute_bytes(plain, 50)
+    assert sorted(map(tuple, substring_dedup(df).drop("kept_text").collect()), key=str) == brute_words(plain, 35)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup(df).count() == 0
