@@ -27,9 +27,12 @@ POWERS = np.multiply.accumulate(np.concatenate([[U(1)], np.full(4095, U(0xD6E8FE
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """A new folder below the cluster's checkpoint folder. Only a local session may do without one; it gets a temporary
+    folder, which the machines of a cluster could not share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="stackwise-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():

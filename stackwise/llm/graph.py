@@ -36,4 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())

@@ -2,30 +2,37 @@
 
 Every permutation gives two signature values, the smallest and the largest permuted shingle, so 96 hash evaluations
 make 192 values. Bands of them are the candidate buckets; with the rows of a band chosen for the threshold, a pair at
-the threshold shares no band with a probability below 1e-6. Equal shingle sets are one node from the start.
+the threshold shares no band with a probability below 1e-6. Sets with equal SHA-256 digests are one node from the start.
 
-Links are confirmed on full sets, never on signatures, and no bucket is expanded into all its pairs:
+Links are confirmed on full sets, never on signatures, and no bucket is expanded into its pairs:
 
-1. each member of a bucket is compared with the bucket's smallest id, and linked documents form components;
-2. buckets whose other members still lie in different components are compared exactly, member by member, in units of
-   two chunks of at most CHUNK members; members that are already connected are passed over and only links are emitted.
+1. in ROUNDS rounds, each member of a bucket that is not yet connected to the bucket's pivot (another one each round, the
+   smallest id first) is compared with it, and linked documents form components;
+2. the members of buckets that still hold different components are *open*. Two open sets at the threshold must share one
+   of their first n - ceil(threshold * n) + 1 shingles in order of rarity among the open ones, so only those are joined,
+   where components and sizes allow a link; such pairs are compared. Passages that many documents share stand late in
+   that order and make no pairs; what is compared follows the pairs that could be links, not the size of buckets.
 
-Defined results: text without words has an empty set, no links and its own id; a null doc_id gets a null component;
-rows with the same doc_id count as one document's; extra columns are ignored.
+Defined results: null text, and text without words, has an empty set, no links and its own id; fewer words than a
+shingle are one shingle; a long text counts whole; a null doc_id gets a null component and is kept; rows with the same
+doc_id are one document, linked where any of its texts is, so repeated rows are all kept; of copies (ties) the smallest doc_id is kept; extra
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, flat_bytes, join2, materialise, mix64, shared_dir, slices, word_hashes, word_spans
 from .graph import components
 
 PERMUTATIONS = 96
-CHUNK = 512
+ROUNDS = 3
 FACTORS = np.random.default_rng(7001).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 OFFSETS = np.random.default_rng(7002).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
@@ -83,7 +90,11 @@ def band_keys(flat: np.ndarray, offsets: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
-SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
+
+
+def lists(flat: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
 def sketcher(width: int, rows: int):
@@ -92,17 +103,11 @@ def sketcher(width: int, rows: int):
             flat, off = shingle_sets(batch["text"], width)
             n = np.diff(off)
             full = np.flatnonzero(n)
-            sums = np.zeros((2, len(n)), np.uint64)
-            lists = pa.array([None] * len(n), pa.list_(pa.int64()))
-            if len(full):
-                cut = off[:-1][full]
-                sums[0, full] = np.add.reduceat(mix64(flat), cut)
-                sums[1, full] = np.add.reduceat(mix64(flat ^ U(0x5851F42D4C957F2D)), cut)
-                keys = band_keys(flat, np.append(cut, len(flat)), rows)
-                ends = np.zeros(len(n) + 1, np.int32)
-                ends[1:][full] = keys.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+            keys = band_keys(flat, np.append(off[:-1][full], len(flat)), rows) if len(full) else np.zeros((0, 0), np.uint64)
+            ends = np.zeros(len(n) + 1, np.int64)
+            ends[1:][full] = keys.shape[1]
+            digests = [hashlib.sha256(flat[s:e].tobytes()).digest() if e > s else None for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), lists(keys.ravel(), np.cumsum(ends))], ["doc_id", "n_shingles", "digest", "bands"])
 
     return step
 
@@ -131,75 +136,82 @@ def pair_checker(width: int, percent: int):
     return step
 
 
-def unit_checker(width: int, percent: int):
-    def step(key, table):
-        u, v = key[1].as_py(), key[2].as_py()
-        flat, off = shingle_sets(table["text"], width)
-        ids, chunk = table["rep"].to_numpy(), table["chunk"].to_numpy()
-        comp = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
-        codes = np.unique(flat, return_inverse=True)[1]
-        n, mark = np.diff(off), np.zeros(int(codes.max(initial=-1)) + 1, np.int32)
-        links = []
-        for i in range(len(ids)):
-            open_ = comp != comp[i]
-            open_[: i + 1] = False
-            if u != v:
-                open_ &= chunk != chunk[i]
-            open_ &= np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i])
-            at = np.flatnonzero(open_)
-            if not len(at):
-                continue
-            mark[codes[off[i] : off[i + 1]]] = 1
-            if len(at) * 4 > len(ids):
-                shared = np.add.reduceat(mark[codes], off[:-1])[at]
-            else:
-                shared = np.array([mark[codes[off[j] : off[j + 1]]].sum() for j in at.tolist()])
-            mark[codes[off[i] : off[i + 1]]] = 0
-            for j in at[100 * shared >= percent * (n[at] + n[i] - shared)].tolist():
-                if comp[j] != comp[i]:
-                    links.append((int(ids[i]), int(ids[j])))
-                    comp[comp == comp[j]] = comp[i]
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+def set_maker(width: int):
+    def step(batches):
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch["rep"], batch["comp"], lists(*shingle_sets(batch["text"], width))], ["rep", "comp", "shingles"])
 
     return step
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str, root: str) -> DataFrame:
+    """The links among distinct (a, b), written. a's text meets b's by joins whose hot sides Spark can split."""
+    with_a = pairs.join(texts, F.col("a") == F.col("tid")).select("a", "b", F.col("text").alias("ta"))
+    with_both = with_a.join(texts, F.col("b") == F.col("tid")).select("a", "b", "ta", F.col("text").alias("tb"))
+    return materialise(with_both.mapInArrow(pair_checker(width, percent), "a long, b long"), name, root)
+
+
+def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (rep, comp) with the components that new links between reps give."""
+    here = nodes.select("rep", "comp")
+    ends = links.join(here.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(here.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("comp", "to")
+    return nodes.join(joined, F.col("comp") == F.col("id"), "left").withColumn("comp", F.coalesce("to", "comp")).drop("id", "to")
+
+
+def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different components that share one of their rarest shingles and whose sizes allow a link.
+    sets: rep, comp, shingles."""
+    rows = sets.select("rep", "comp", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("s"))
+    df = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle that nobody else has still takes its place in the order, but makes no pair
+    ranked = rows.join(df, "s", "left").withColumn("nth", F.row_number().over(Window.partitionBy("rep", "set").orderBy(F.coalesce("df", F.lit(1)), "s")))
+    first = ranked.where(F.col("df").isNotNull() & (F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1)).select("s", "rep", "comp", "n")
+    other = first.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    pairs = first.join(other, "s").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") * 100 >= percent * F.greatest("n", "nb")))
+    return pairs.select(F.col("rep").alias("a"), "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents whose shingle sets have a Jaccard similarity of
     percent/100 or more."""
     spark = docs.sparkSession
     root = shared_dir(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = materialise(d.mapInArrow(sketcher(width, rows_per_band(percent)), SKETCH), "sketch", root)
-    reps = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    reps = materialise(reps, "reps", root)
+    nodes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("comp", F.col("rep")), "nodes0", root)
     texts = d.where("doc_id is not null").withColumnRenamed("doc_id", "tid")
 
-    members = reps.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("m")).where("m > 1").select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
-    stars = members.join(hubs, "key").where((F.col("rep") != F.col("hub")) & (F.least("n", "hub_n") * 100 >= percent * F.greatest("n", "hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    with_a = stars.join(texts, F.col("a") == F.col("tid")).select("a", "b", F.col("text").alias("ta"))
-    with_both = with_a.join(texts, F.col("b") == F.col("tid")).select("a", "b", "ta", F.col("text").alias("tb"))
-    sure = materialise(with_both.mapInArrow(pair_checker(width, percent), "a long, b long"), "stars", root)
-    comp = components(sure)
-
-    labelled = reps.join(comp, F.col("rep") == F.col("id"), "left").select("rep", "h1", "h2", "bands", F.coalesce("comp", "rep").alias("comp"))
-    labelled = materialise(labelled, "labelled", root)
-    members = labelled.select("rep", "comp", F.explode("bands").alias("key"))
-    # the smallest member was compared with all others: what is open lies among the others
-    mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "comp")).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("content"))
-    mixed = mixed.where("m > 2 and c0 <> c1").groupBy("content", "m").agg(F.min(F.struct("key", "hub")).alias("k")).select("k.key", F.col("k.hub.rep").alias("hub"), F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
-    units = members.join(mixed, "key").where("rep <> hub").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    units = units.select("key", "rep", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    units = units.select("key", F.least("chunk", "other").alias("u"), F.greatest("chunk", "other").alias("v"), "rep", "comp", "chunk")
-    units = units.join(texts, F.col("rep") == F.col("tid")).select("key", "u", "v", "rep", "comp", "chunk", "text")
-    more = materialise(units.groupBy("key", "u", "v").applyInArrow(unit_checker(width, percent), "a long, b long"), "more", root)
-    if more.limit(1).count():
-        comp = components(sure.unionByName(more))
-
-    final = labelled.select("rep", "h1", "h2").join(comp, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("comp", "rep").alias("c"))
-    out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(final, ["h1", "h2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a doc_id with several texts is one document
+    several = sketch.where("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id")
+    same = several.join(sketch.select("doc_id", "digest"), "doc_id").join(nodes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    same = materialise(same.join(nodes.select("rep"), F.col("a") == F.col("rep"), "left_semi"), "same", root)
+
+    members = nodes.select("rep", "n", F.explode("bands").alias("key"))
+    for r in range(rounds):
+        # buckets with two components or more, and a pivot of each
+        here = members if r == 0 else members.join(nodes.select("rep", "comp"), "rep")
+        comp = "rep" if r == 0 else "comp"
+        turn = F.col("rep") if r == 0 else F.xxhash64(F.lit(r), "rep")
+        mixed = here.groupBy("key").agg(F.min(comp).alias("c0"), F.max(comp).alias("c1"), F.min_by(F.struct("rep", "n", F.col(comp).alias("comp")), F.struct(turn.alias("t"), "rep")).alias("p")).where("c0 <> c1").select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
+        here = here.join(mixed, "key")
+        if r == 1:  # later rounds only see buckets that are still mixed
+            members = materialise(here.select("rep", "n", "key"), "open", root)
+        pairs = here.where((F.col(comp) != F.col("pc")) & (F.least("n", "pn") * 100 >= percent * F.greatest("n", "pn"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        links = confirm(pairs, texts, width, percent, f"links{r}", root)
+        nodes = materialise(relabelled(nodes, links.unionByName(same) if r == 0 else links), f"nodes{r + 1}", root)
+
+    here = members.join(nodes.select("rep", "comp"), "rep")
+    mixed = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    still = here.join(mixed, "key", "left_semi").select("rep", "comp").distinct()
+    sets = still.join(texts, F.col("rep") == F.col("tid")).select("rep", "comp", "text").mapInArrow(set_maker(width), "rep long, comp long, shingles array<long>")
+    sets = materialise(sets, "sets", root)
+    links = confirm(rare_pairs(sets, percent), texts, width, percent, "rare", root)
+    nodes = relabelled(nodes, links)
+
+    out = sketch.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "comp"), "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

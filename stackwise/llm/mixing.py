@@ -6,11 +6,15 @@ quotients w / (2k + 1), which gives an integer quota for every shard. Within a s
 and form one stream of blocks; a quota takes every block as often as it divides, and the rest by seeded systematic
 selection. How many words of a document are taken follows from its place in the stream, without listing blocks.
 
-Shards hold about 1,000 documents, but there are at most 65,536 of them in all; their sizes, and the sources', are
-what the driver gets. More than MAX_SOURCES sources are refused.
-
-Defined results: null text has size 0; a null source is a source of its own, the last; sources without words have
-target 0; documents with equal doc_id are separate; reruns give the same rows.
+Shards hold about 1,000 documents, or more where that would make more than 65,536 of them and one for each source; their
+sizes, and the sources', are what the driver gets. More than MAX_SOURCES sources are refused. Documents are dealt to
+shards by a hash of id and text, so null or repeated ids don't gather in one.
+
+Defined results: null and empty texts have size 0 and nothing is taken; a null source is a source of its own, the last;
+sources without words have target 0; documents with equal or null doc_id are separate; repeated rows share a shard, one
+after another; a long text counts whole; ties in the order of a shard fall to id, then text hash, then size, after which
+rows are alike; reruns give the same rows; columns not asked for are ignored, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -85,11 +89,11 @@ def _taken(x: Column) -> Column:
     return F.col("rounds") * x + F.col("block") * chosen(i) + (chosen(i + 1) - chosen(i)) * inside
 
 
-def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs."""
+def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and the columns of ``keep``, for every row of docs."""
     spark = docs.sparkSession
     root = shared_dir(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_none")).alias("kept"))
     d = materialise(d, "sizes", root)
     found = d.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -104,7 +108,7 @@ def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights:
     block = max(1, min(64, int(least // 32)))
     table = spark.createDataFrame([(r["source"], r["source"] is None, i, float(g), int(n), int(s)) for i, (r, g, n, s) in enumerate(zip(found, goal, counts, sizes, strict=True))], "source string, none boolean, number int, target double, shards int, source_size long")
     d = d.join(F.broadcast(table.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name")))
-    d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), F.col("shards")).cast("int"))
+    d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.col("shards")).cast("int"))
     shards = d.groupBy("number", "shard").agg(F.sum("size").alias("size")).collect()
     shards = sorted((r["number"], r["shard"], r["size"]) for r in shards if r["size"] > 0)
     seats = sainte_lague(goal, round(sum(goal) / block))
@@ -118,11 +122,11 @@ def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights:
             q = min(q, cap * blocks)
             quotas.append((number, shard, block, blocks, q // blocks, q % blocks, (seed * 7919 + number * 104_729 + shard * 1_299_709) % blocks))
     q = spark.createDataFrame(quotas, "number int, shard int, block long, blocks long, rounds long, rest long, phase long")
-    w = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    w = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "h"), "doc_id", "h", "size")
     d = d.withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.join(F.broadcast(q), ["number", "shard"], "left")
     taken = F.coalesce(_taken(F.col("end")) - _taken(F.col("end") - F.col("size")), F.lit(0)).cast("long")
-    return d.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return d.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col("kept")[c].alias(c) for c in keep])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,24 +1,34 @@
 """Operator 8: PII pseudonyms by keyed Feistel permutations within each value's format, in DataFrame functions only.
 
-Numbers and dates are found by pattern and validated (Luhn, octets, calendar). Valid ones are permuted by an eight-round
-Feistel network over A x B, with SHA-256 of key, kind, round and the other half as round function, and written back in
-their own layout; equal values map to equal pseudonyms in every document and different ones to different ones.
+Numbers and dates are found by pattern and validated (Luhn, octets, calendar, areas). Valid ones are permuted by an
+eight-round Feistel network over A x B, with SHA-256 of key, kind, round and the other half as round function, and
+written back in their own layout; equal values map to equal pseudonyms in every document and different ones to different
+ones.
 
 * cards: the first digit stays, the inner digits are permuted, the Luhn digit is recomputed
 * phones: country code, and first national digit, stay; the other digits are permuted
-* IPv4 addresses, nine-digit identity numbers, dates (within 65,536 days, about 179 years)
+* IPv4 addresses; dates (within 65,536 days, about 179 years), day or month first as the calendar allows (day first where
+  both do), written without leading zeros where the original has a single digit; dates before the year 1003 or after 9793
+  are no personal dates and stay
+* US identity numbers: only issued areas, groups and serials are valid, and stand for valid ones
 * e-mail addresses get a keyed local part; access keys and password/token values a keyed value of the same length
   and alphabet (not numbers: a keyed digest, 48 bits or more, links them)
 
-Defined results: null text stays null with no finding; an invalid number stays as it is; a null doc_id keeps its row.
+The key is a secret of the caller: who has it can undo the permutations. ``session_key`` reads it from the session.
+
+Defined results: null text stays null with no finding, empty text stays empty; an invalid number stays as it is; of
+kinds that fit the same place (ties) the first in PATTERNS counts; a null doc_id keeps its row; repeated rows get equal
+results; long texts are read whole; columns of any name pass, but for ``pii``, which is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "stackwise-demo-key"
+KEY_SETTING = "spark.stackwise.pii.key"
 #: kind, pattern; in order of preference at the same place
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -35,6 +45,13 @@ KINDS = tuple(PATTERNS)
 DAYS = 65_536
 
 
+def session_key(spark: SparkSession) -> str:
+    """The setting spark.stackwise.pii.key. Where it is not set, a random key, kept for the rest of the session."""
+    if not (key := spark.conf.get(KEY_SETTING, None)):
+        spark.conf.set(KEY_SETTING, key := secrets.token_hex(16))
+    return key
+
+
 def keyed(key: str, kind: str | Column, value: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{key}|"), kind if isinstance(kind, Column) else F.lit(kind), F.lit("|"), value), 256)
 
@@ -88,10 +105,40 @@ def kept_digits(r: Column) -> Column:
 
 
 def day_of(m: Column) -> Column:
-    day = F.coalesce(*[F.try_to_date(m, f) for f in ("yyyy-MM-dd", "d.M.yyyy", "d/M/yyyy")])
+    day = F.coalesce(*[F.try_to_date(m, f) for f in ("yyyy-MM-dd", "d.M.yyyy", "d/M/yyyy", "M/d/yyyy")])
     return F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
 
 
+def block_of(day: Column) -> Column:
+    return F.floor(day / DAYS)
+
+
+def written_date(m: Column, day: Column) -> Column:
+    """day in the layout of m: its order, its separators, and leading zeros unless m has a single digit."""
+    plain = m.rlike("(^|[./])[0-9][./]")
+    dd, mm = (F.when(plain, F.date_format(day, p)).otherwise(F.date_format(day, p * 2)) for p in ("d", "M"))
+    sep = F.when(F.contains(m, F.lit(".")), ".").otherwise("/")
+    second = F.regexp_extract(m, r"^[0-9]+([./])[0-9]+([./])", 2)
+    month_first = F.contains(m, F.lit("/")) & F.try_to_date(m, "d/M/yyyy").isNull()
+    return F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.when(month_first, mm).otherwise(dd), sep, F.when(month_first, dd).otherwise(mm), second, F.date_format(day, "yyyy")))
+
+
+AREAS, GROUPS, SERIALS = 898, 99, 9999  # 001 to 899 without 666; 01 to 99; 0001 to 9999
+
+
+def issued(digits: Column) -> Column:
+    """The number of a US identity number among the valid ones, from 0; null for invalid ones."""
+    area, group, serial = (F.substring(digits, at, size).cast("long") for at, size in ((1, 3), (4, 2), (6, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    return F.when(valid, ((area - F.when(area > 666, 2).otherwise(1)) * GROUPS + group - 1) * SERIALS + serial - 1)
+
+
+def issued_digits(y: Column) -> Column:
+    area = F.floor(y / (GROUPS * SERIALS)) + 1
+    parts = ((F.when(area > 665, area + 1).otherwise(area), 3), (F.pmod(F.floor(y / SERIALS), F.lit(GROUPS)) + 1, 2), (F.pmod(y, F.lit(SERIALS)) + 1, 4))
+    return F.concat(*[F.lpad(v.cast("string"), size, "0") for v, size in parts])
+
+
 def place(r: Column) -> Column:
     """struct(x, a, b): the valid value's number x in 0 .. a*b-1; null for invalid and for other kinds."""
     n = F.length(r["digits"])
@@ -104,12 +151,15 @@ def place(r: Column) -> Column:
     number = (
         F.when(r["kind"] == "card", (luhn_sum(r["digits"], 1) % 10 == 0) & (n <= 19))
         .when(r["kind"] == "phone", (n >= 8) & (tail >= 4) & (n <= 18))
-        .otherwise(r["kind"] == "ssn")
+        .otherwise(False)
     )
+    day = day_of(r["old"])
+    number_of = issued(r["digits"])
     return (
         F.when(number, digits(r["keep"] + 1, cut, tail))
+        .when((r["kind"] == "ssn") & number_of.isNotNull(), F.struct(number_of.alias("x"), F.lit(AREAS * GROUPS).cast("long").alias("a"), F.lit(SERIALS).cast("long").alias("b")))
         .when((r["kind"] == "ip") & F.forall(octets, lambda x: x < 256), fixed(ip, 65536))
-        .when(r["kind"] == "date", fixed(F.pmod(day_of(r["old"]), F.lit(DAYS)), 256))
+        .when((r["kind"] == "date") & block_of(day).between(-5, 43), fixed(F.pmod(day, F.lit(DAYS)), 256))
     )
 
 
@@ -121,9 +171,7 @@ def written(r: Column, key: str) -> Column:
     body = F.concat(F.substr(r["digits"], F.lit(1), r["keep"]), F.lpad(r["y"].cast("string"), size, "0"))
     check = F.when(kind == "card", F.pmod(F.lit(10) - luhn_sum(body, 0) % 10, F.lit(10)).cast("string")).otherwise("")
     ip = F.concat_ws(".", *[F.pmod(F.shiftright(r["y"], k), F.lit(256)).cast("string") for k in (24, 16, 8, 0)])
-    day = F.date_add(F.lit("1900-01-01").cast("date"), (F.floor(day_of(m) / DAYS) * DAYS + r["y"]).cast("int"))
-    sep = F.when(F.contains(m, F.lit(".")), ".").otherwise("/")
-    date = F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(day, "dd"), sep, F.date_format(day, "MM"), sep, F.date_format(day, "yyyy")))
+    date = written_date(m, F.date_add(F.lit("1900-01-01").cast("date"), (block_of(day_of(m)) * DAYS + r["y"]).cast("int")))
     email = F.concat(F.lit("u"), F.substring(keyed(key, "email", F.lower(m)), 1, 12), F.regexp_extract(m, "@.*$", 0))
     upper = F.upper(F.substring(F.translate(keyed(key, "key", m), "01", "gh"), 1, 16))
     head = F.regexp_extract(m, r"""^[A-Za-z_]+[ ]*[=:][ ]*["']?""", 0)
@@ -137,11 +185,12 @@ def written(r: Column, key: str) -> Column:
         .when(r["y"].isNull(), F.lit(None).cast("string"))
         .when(kind == "ip", ip)
         .when(kind == "date", date)
+        .when(kind == "ssn", lay_out(m, issued_digits(r["y"])))
         .otherwise(lay_out(m, F.concat(body, check)))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text replaced, and pii: array<struct<kind, old, new>> of what was replaced, in order."""
     t = F.col(text_col).cast("string")
     d = docs.withColumn("_f", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
@@ -160,7 +209,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    d = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    d = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark))
+
     def count(kind: str) -> Column:
         return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 

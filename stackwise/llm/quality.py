@@ -1,15 +1,18 @@
 """Operator 4: quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Every text gets its base counts and three ratios: symbols a word, duplicate lines a line, characters a word. LEVELS are
-nested sets of cutoffs from lenient to strict. In each stratum (language), the labelled good documents that pass the
-base rule are the holdout: a level that rejects k of n of them is admissible if P(Binomial(n, RISK) <= k) is at most
-DELTA / (strata * levels). That is the exact (Clopper-Pearson) bound with Bonferroni's correction, so with probability
-1 - DELTA no stratum loses more than RISK of its good documents. The strictest admissible level decides; a stratum in
-which none is admissible (too few labels) rejects nothing beyond the base rule.
+Every text gets its base counts and three ratios: symbols a word, duplicate lines a line, characters a word. In each
+stratum (language), half of the labelled good documents that pass the base rule give the candidates: for every share in
+SHARES, the cutoffs that would reject that share of them, a third by each ratio. The other half, which had no part in
+that, tests them: a candidate that rejects k of n documents is admissible if P(Binomial(n, RISK) <= k) is at most
+DELTA / (strata * candidates). That is the exact (Clopper-Pearson) bound with Bonferroni's correction, so with
+probability 1 - DELTA no stratum loses more than RISK of its good documents. The strictest admissible candidate decides;
+a stratum in which none is admissible (fewer than some 130 good labels to test by) rejects nothing beyond the base rule.
 
 Defined results: null and empty texts have zero counts and fail the base rule; a null language is a stratum of its own;
 a document labelled more than once is good only if every label says so; null labels and null doc_ids don't count for
-calibration, and null doc_ids keep their rows; extra columns are ignored.
+calibration, and null doc_ids keep their rows; repeated rows get equal results and, where labelled, all count; a ratio
+equal to its cutoff (ties) passes; a long text counts whole; extra columns are ignored, whatever their names; an empty
+table gives an empty result, and without labels only the base rule decides.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from .common import materialise, shared_dir
 
 RISK = 0.05
 DELTA = 0.05
-#: level -> most symbols a word, most duplicate lines a line, most characters a word
-LEVELS = {1: (2.0, 0.9, 24.0), 2: (1.0, 0.8, 20.0), 3: (0.5, 0.7, 16.0), 4: (0.25, 0.6, 14.0), 5: (0.12, 0.5, 12.0), 6: (0.06, 0.4, 10.0)}
+#: shares of good documents that the candidates would reject, from lenient to strict
+SHARES = (0.0005, 0.001, 0.0025, 0.005, 0.01)
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -59,10 +62,15 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     return d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def violates(level: int) -> Column:
-    symbols, dups, chars = LEVELS[level]
-    n = F.col("n_words")
-    return (F.col("n_symbols") > symbols * n) | (F.col("n_dup_lines") > dups * F.col("n_lines")) | (F.col("word_chars") > chars * n)
+def ratios() -> list[Column]:
+    n = F.nullif("n_words", F.lit(0))
+    return [F.col("n_symbols") / n, F.col("n_dup_lines") / F.nullif("n_lines", F.lit(0)), F.col("word_chars") / n]
+
+
+def violates(level: int | Column) -> Column:
+    """Whether a ratio exceeds its cutoff of a candidate. cutoffs: for each ratio, the candidates' cutoffs."""
+    over = [F.coalesce(r > F.get(F.get("cutoffs", i), level - 1), F.lit(False)) for i, r in enumerate(ratios())]
+    return over[0] | over[1] | over[2]
 
 
 def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -80,28 +88,35 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(0.0)).otherwise(F.aggregate(terms, start, step, lambda a: a["s"]))
 
 
+def candidates(half: DataFrame) -> DataFrame:
+    """stratum, cutoffs: per ratio the quantiles that leave a third of each of SHARES above them."""
+    at = [1 - x / 3 for x in SHARES]
+    return half.groupBy("stratum").agg(F.array(*[F.percentile_approx(r, at, 100_000) for r in ratios()]).alias("cutoffs"))
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum, level: the strictest admissible level of each stratum that has one."""
+    """stratum, cutoffs, level: the strictest admissible candidate of each stratum that has one."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     good = good.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality > 0").select("doc_id")
-    held = measured.where("not base_failed").join(good, "doc_id", "left_semi")
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(violates(i)).alias(f"k{i}") for i in LEVELS])
-    tests = max(1, counts.count()) * len(LEVELS)
+    held = measured.where("not base_failed").join(good, "doc_id", "left_semi").withColumn("tests", F.crc32(F.col("doc_id").cast("string")) % 2 == 1)
+    cut = candidates(held.where("not tests")).withColumnRenamed("stratum", "s")
+    tested = held.where("tests").join(cut, F.col("stratum").eqNullSafe(F.col("s")))
+    levels = range(1, len(SHARES) + 1)
+    counts = tested.groupBy("stratum").agg(F.first("cutoffs").alias("cutoffs"), F.count("*").alias("n"), *[F.count_if(violates(i)).alias(f"k{i}") for i in levels])
+    tests = max(1, counts.count()) * len(SHARES)
     limit = math.log(delta / tests)
-    admissible = [F.when(log_binomial_tail(F.col(f"k{i}"), F.col("n"), risk) <= limit, i) for i in LEVELS]
-    return counts.select("stratum", F.greatest(*admissible).alias("level")).where("level is not null")
+    admissible = [F.when(log_binomial_tail(F.col(f"k{i}"), F.col("n"), risk) <= limit, i) for i in levels]
+    return counts.select("stratum", "cutoffs", F.greatest(*admissible).alias("level")).where("level is not null")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """metrics, the stratum's level (0: none) and kept for every row of docs."""
+    """metrics, the stratum's level (0: none) and cutoffs, and kept for every row of docs."""
     root = shared_dir(docs.sparkSession)
     measured = materialise(metrics(docs, id_col, text_col, stratum_col), "measured", root)
     # written, so that its size is known: Spark broadcasts it only below its threshold
     levels = materialise(calibrate(measured, labels, risk, delta).withColumnRenamed("stratum", "s"), "levels", root)
     d = measured.join(levels, F.col("stratum").eqNullSafe(F.col("s")), "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    rejected = F.lit(False)
-    for i in LEVELS:
-        rejected = F.when(F.col("level") == i, violates(i)).otherwise(rejected)
+    rejected = F.when(F.col("level") > 0, violates(F.col("level"))).otherwise(False)
     return d.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("s")
 
 

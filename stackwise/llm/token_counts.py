@@ -1,12 +1,13 @@
 """Operator 5: token counts with a digest cache.
 
 Content is normalised only by null -> empty, which no tokenizer can tell apart, and digested with SHA-256. The digest
-and a digest of the tokenizer's file are joined to a cache of counts; only distinct misses are encoded, once each, and
-appended to the cache. Texts are moved once, to find one row for each missing digest; they are dealt by (doc_id,
-digest), so copies of one text never meet in one task.
+and a digest of the tokenizer's file are joined to a cache of counts; distinct misses are encoded, once each, and
+appended to the cache. Copies combine before texts are moved, so a text that a third of all rows hold leaves each task
+once and is encoded once, whatever its ids. ``compact_cache`` rewrites a cache that many runs have appended to.
 
 Defined results: null and empty texts have 0 bytes and what the tokenizer gives for the empty text; null or repeated
-doc_ids keep their rows; extra columns are ignored.
+doc_ids, and repeated rows, keep their rows; a long text is encoded whole, by itself; equal texts (ties) have equal
+counts; extra columns are ignored, whatever their names; an empty table gives an empty result and appends nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir, slices
@@ -64,6 +66,21 @@ def encoder(name: str, version: str):
     return step
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache's rows; none where nothing was written yet."""
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE)
+
+
+def compact_cache(spark: SparkSession, path: str, to: str) -> None:
+    """Writes the cache anew, each digest once, to another folder."""
+    read_cache(spark, path).groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).write.parquet(to)
+
+
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, cache_path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit. cache_path: a Parquet folder that is read first and appended to; without
     one, a new cache in the shared folder."""
@@ -71,17 +88,17 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, cache_path: str |
     root = shared_dir(spark)
     path = cache_path or f"{root}/cache"
     version = tokenizer_digest(tokenizer_path(tokenizer))
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(path)
-    cache = spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == version)
+    cached = read_cache(spark, path).where(F.col("tokenizer") == version)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("digest", F.unhex(F.sha2("text", 256)))
     ids = materialise(d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests", root)
-    misses = ids.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(cache.select("digest"), "digest", "left_anti")
-    found = d.join(misses.withColumnRenamed("digest", "miss"), (F.col("digest") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "text")
-    found.mapInArrow(encoder(tokenizer, version), CACHE).write.mode("append").parquet(path)
-    known = spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    misses = d.groupBy("digest").agg(F.first("text").alias("text")).join(cached.select("digest"), "digest", "left_anti")
+    new = materialise(misses.mapInArrow(encoder(tokenizer, version), CACHE), "new", root)
+    known = cached.unionByName(new).select("digest", "n_tokens").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # written, so that the join has plain exchanges on both sides and Spark can split a digest that many rows share
     known = materialise(known, "known", root)
+    if not new.isEmpty():
+        new.write.mode("append").parquet(path)
     return ids.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

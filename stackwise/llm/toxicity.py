@@ -4,12 +4,14 @@ Features of a text are the distinct words, word pairs and pairs with one word be
 byte below 0x80 that is no letter or digit as separator, hashed into 2^18 places. Per-coordinate rates and L1 leave few
 non-zero weights; the model is at most 1 MB whatever the corpus, and goes to the executors with the task.
 
-Features of fewer than MIN_DOCS sampled documents are left out. The model is fitted on at most ``sample`` labelled documents, those with the smallest hash of doc_id outside the
-held-out fold; everything else reads the whole table. Labels, lang, source and doc_id are no features.
+Features of fewer than MIN_DOCS sampled documents are left out. The model is fitted on at most ``sample`` labelled
+documents, those with the smallest hash of doc_id outside the held-out fold; everything else reads the whole table.
+Labels, lang, source and doc_id are no features.
 
 Defined results: repeated labels of a document count as toxic if one says so, null labels are ignored; a null doc_id is
-never held out or used for fitting; null and empty texts have the model's bias as score; with fewer than one document
-of each class there is no model and every score is 0. Extra columns are ignored.
+never held out or used for fitting; repeated rows of a labelled doc_id are all fitted; null and empty texts have the
+model's bias as score; a long text is scored whole; equal texts (ties) have equal scores; with fewer than one document of
+each class there is no model and every score is 0. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import C1, LOWER, U, flat_bytes, join2, mix64, slices, word_hashes
 
@@ -118,6 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 
 def scorer(model):
+    """Replaces the text by its score; all other columns pass."""
+
     def step(batches):
         for batch in slices(batches, "text"):
             score = np.zeros(batch.num_rows)
@@ -126,21 +131,32 @@ def scorer(model):
                 flat, off = feature_rows(batch["text"])
                 total = np.concatenate([[0.0], np.cumsum(w[flat], dtype=np.float64)])
                 score = 1 / (1 + np.exp(-np.clip(total[off[1:]] - total[off[:-1]] + bias, -35, 35)))
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            names = list(batch.schema.names)
-            cols[names.index("text")] = pa.array(score)
-            yield pa.RecordBatch.from_arrays(cols, [*(x if x != "text" else "score" for x in names)])
+            names = batch.schema.names
+            columns = [pa.array(score) if n == "text" else batch[n] for n in names]
+            yield pa.RecordBatch.from_arrays(columns, ["score" if n == "text" else n for n in names])
 
     return step
 
 
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, score, and with ``keep`` the row itself as ``row``."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if keep else []))
+    model = train(d.select("doc_id", "text"), labels, sample)
+    rows = d.select("doc_id", "text", *(["row"] if keep else []))
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *rows.schema.fields[2:]])
+    return rows.mapInArrow(scorer(model), out)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = train(d, labels, sample)
-    out = d.mapInArrow(scorer(model), "doc_id long, score double")
+    out = scored(docs, labels, sample, id_col, text_col)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score below the threshold; each row by its own text."""
+    return scored(docs, labels, sample, id_col, text_col, keep=True).where(F.col("score") < threshold).select("row.*")
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

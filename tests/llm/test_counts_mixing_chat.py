@@ -1,10 +1,12 @@
 import random
+import re
 
+import duckdb
 import pytest
 
-from stackwise.llm.chat import chat_format
+from stackwise.llm.chat import SQL, chat_format, op10_chat
 from stackwise.llm.mixing import mix_sources, sainte_lague, targets
-from stackwise.llm.token_counts import CACHE, counter, token_counts, tokenizer_path
+from stackwise.llm.token_counts import CACHE, compact_cache, counter, token_counts, tokenizer_path
 
 
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
@@ -20,7 +22,17 @@ def test_token_counts_and_cache(spark, tmp_path, name):
         assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got)
     cache = spark.read.schema(CACHE).parquet(path)
     assert cache.select("digest").distinct().count() == len({t or "" for t in texts})
-    assert cache.count() <= 1 + len({t or "" for t in texts})
+    assert cache.count() == len({t or "" for t in texts})
+
+
+def test_repeated_rows_are_encoded_once(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    d = spark.createDataFrame([(None, "same")] * 5 + [(7, "other")] * 4 + [(7, "same")], "doc_id long, text string").repartition(3)
+    assert token_counts(d, cache_path=path).count() == 10
+    assert spark.read.parquet(path).count() == 2
+    compact_cache(spark, path, str(tmp_path / "compact"))
+    assert token_counts(d, cache_path=str(tmp_path / "compact")).where("n_tokens > 0").count() == 10
+    assert token_counts(d.limit(0), cache_path=str(tmp_path / "none")).count() == 0
 
 
 def test_sainte_lague_matches_highest_quotients():
@@ -66,14 +78,53 @@ def test_mixing_empty(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2
 
 
+def test_mixing_keeps_columns_and_spreads_null_ids(spark):
+    rows = [(None, f"w{i} w w", "a", "en") for i in range(5000)] + [(1, "x " * 9000, "b", "fr")]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, shard string"), keep=("text", "shard")).collect()
+    assert sorted((r["text"], r["shard"]) for r in got) == sorted((t, s) for _, t, _, s in rows)
+    a = [r for r in got if r["shard"] == "en"]
+    assert abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 0.02 * a[0]["target"] and len({r["taken"] for r in a}) > 1
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 1, "ann", "hi <|end|>"), (1, 70, "ann", "later"), (2, 0, "system", "alone"), (None, None, None, "lost")]
     d = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, segment int")
     got = {(r["conv_id"], r["perspective"], r["segment"]): r for r in chat_format(d).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "unknown", None)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", None)}
     r = got[1, "ann", 0]
-    assert r["text"] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |end| ><|end|>\n<|user name=bob|>\n<|end|>\n"
-    assert [r["text"][m["start"] : m["end"]] for m in r["masks"]] == ["hi < |end| ><|end|>"]
+    assert r["text"] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |end| ><|end|>\n<|user name=bob|>\n<|end|>\n<|assistant|>\nlater<|end|>\n"
+    assert [r["text"][m["start"] : m["end"]] for m in r["masks"]] == ["hi < |end| ><|end|>", "later<|end|>"]
     r = got[1, "bob", 0]
     assert r["text"].startswith("<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi") and [r["text"][m["start"] : m["end"]] for m in r["masks"]] == ["<|end|>"]
     assert chat_format(d.limit(0)).count() == 0
+
+
+def test_long_dialogues_repeat_their_system_turns(spark):
+    turns = [(1, 0, "system", "rules"), *[(1, i, "ann" if i % 2 else "bob", str(i)) for i in range(1, 100)], (1, 100, "cat", "x" * 60_000), *[(2, None, "ann", f"n{i:03d}") for i in range(9)], (2, None, "system", "s")]
+    d = spark.createDataFrame([(*t, 0) for t in turns], "conv_id long, turn long, role string, text string, part int")
+    got = {(r["conv_id"], r["perspective"], r["segment"], r["part"]): r for r in chat_format(d, segment=40, part=5).collect()}
+    assert {k for k in got if k[0] == 1 and k[1] == "cat"} == {(1, "cat", 0, 0), (1, "cat", 2, 4)}
+    ann = [got[k]["text"] for k in sorted((k for k in got if k[:2] == (1, "ann")), key=lambda k: k[2:])]
+    assert all(t.startswith("<|system|>\nrules<|end|>\n") for t in ann)
+    said = [w for t in ann for w in re.findall(r"assistant\|>\n(\d+)<", t)]
+    assert said == [str(i) for i in range(1, 100, 2)]
+    for r in got.values():
+        assert r["masks"] or (r["segment"] in (0, None) and r["part"] == 0)
+        assert all(r["text"][m["end"] - 7 : m["end"]] == "<|end|>" for m in r["masks"])
+    # without numbers: ten turns by role and text, five to a part; the only system turn stands in the last part
+    assert {k[2:] for k in got if k[0] == 2} == {(None, 0), (None, 1)}
+
+
+@pytest.mark.parametrize("table", ["given", "long"])
+def test_chat_matches_its_sql(spark, tmp_path, table):
+    if table == "given":
+        folder = "/root/testdata/sf0.01"
+    else:
+        folder, rng = str(tmp_path), random.Random(3)
+        rows = [(c, rng.choice([None, rng.randrange(1200), rng.randrange(1200)]), rng.choice(["system", "ann", "bob", None, "cat"]), rng.choice(["", None, f"said {i}", "<|end|>"])) for c in (1, 2, None) for i in range(1500)]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet{'' if table == 'given' else '/*.parquet'}'")
+    got = op10_chat(spark, folder)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))

@@ -98,6 +98,34 @@ def test_answer_rule_needs_weight():
     assert confirmed(item, np.arange(14), 0.1) == (True, 0.7)
 
 
+def test_long_texts_ties_and_clashing_columns(spark):
+    rng = random.Random(2)
+    item = [f"i{k}" for k in range(30)]
+    long = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    docs = [(1, " ".join(long[:40_000] + item + long[40_000:])), (2, " ".join(long)), (None, " ".join(item)), (5, "x"), (5, " ".join(item)), (5, " ".join(item))]
+    d = spark.createDataFrame([(*r, 1, "w") for r in docs], "doc_id long, text string, item_id int, hit string")
+    b = spark.createDataFrame([(7, " ".join(item), 1), (7, " ".join(item), 2), (8, " ".join(item), 3)], "item_id long, text string, doc_id long")
+    got = sorted(((r["doc_id"], r["contaminated"], r["item_ids"]) for r in decontaminate(d, b).collect()), key=str)
+    assert got == sorted([(1, True, [7, 8]), (2, False, []), (None, True, [7, 8])] + [(5, True, [7, 8])] * 3, key=str)
+
+
+def test_only_an_items_end_is_its_answer():
+    import numpy as np
+
+    item, region = list(range(20)), np.array([*range(6), *range(15, 20)])
+    assert confirmed(item, region, 0.4, False) == (False, 0.55)
+
+
+def test_benchmark_in_several_passes(spark, monkeypatch):
+    from stackwise.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "MODELS", 1)
+    items = [" ".join(f"t{k}w{i}" for i in range(20)) for k in range(600)]
+    d = spark.createDataFrame([(k, f"a b {x} c d") for k, x in enumerate(items)], "doc_id long, text string")
+    b = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    assert all(r["item_ids"] == [r["doc_id"]] for r in module.decontaminate(d, b).collect())
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
@@ -106,7 +134,25 @@ def test_pipeline(spark, sf_dir):
         assert after.columns == columns and after.count() <= docs.count()
         docs = after
     rows = corpus_pipeline.run(spark, sf_dir)
-    assert rows.columns == ["doc_id", "size", "source_size", "target", "taken"]
-    assert rows.count() == docs.count()
+    assert rows.columns == ["doc_id", "size", "source_size", "target", "taken", "text", "lang", "source"]
+    assert sorted(map(str, rows.select("doc_id", "text").collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark, sf_dir):
+    """Repeated and null ids, and columns with the operators' own names."""
+    say = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows = [(5, say("a", 50))] * 3 + [(5, say("b", 50)), (None, say("a", 50)), (None, say("c", 50)), (None, f"{say('d', 30)} {leak}"), (6, None), (6, ""), (7, f"{say('e', 30)} {leak}"), (7, say("f", 50))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int, item_ids string")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_duplicates"](spark, docs, sf_dir)
+    assert near.columns == docs.columns
+    texts = sorted(str(r["text"]) for r in near.collect())
+    assert texts == sorted(map(str, {t for _, t in rows}))
+    clean = sorted(str((r["doc_id"], r["text"])) for r in stages["decontamination"](spark, docs, sf_dir).collect())
+    assert clean == sorted(str((d, t)) for d, t in rows if not t or leak not in t)
+    assert sorted(map(str, stages["toxicity"](spark, docs, sf_dir).collect())) == sorted(map(str, docs.collect()))
+    mixed = stages["mixing"](spark, docs, sf_dir)
+    assert sorted(str((r["doc_id"], r["text"])) for r in mixed.collect()) == sorted(str(r) for r in rows)

@@ -54,6 +54,36 @@ def test_components_match_brute_force(spark, percent):
     assert sorted(map(tuple, got)) == brute(lower_rows, percent)
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_a_cluster_around_the_threshold(spark, rounds):
+    """One large group whose members are linked through others, in a bucket with members that are not linked at all."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(4000)]
+    base = [rng.choice(vocab) for _ in range(100)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df, 80, rounds=rounds).collect())) == brute(rows, 80)
+
+
+def test_repeated_and_null_ids_and_a_long_text(spark):
+    say = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(5, say("a", 40)), (5, say("a", 40)), (5, say("b", 40)), (3, say("b", 40)), (9, say("a", 40) + " end"), (None, say("a", 40)), (None, None), (7, say("c", 60_000)), (8, say("c", 60_000) + " x")]
+    got = near_duplicates(spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, comp int, digest string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str) == sorted([(5, 3, False)] * 3 + [(3, 3, True), (9, 3, False), (None, None, True), (None, None, True), (7, 7, True), (8, 7, False)], key=str)
+
+
+def test_recall_at_the_threshold(spark):
+    """Links found among the 1,000 documents of sf0.01 are those of a program that compares all of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = sorted(map(tuple, near_duplicates(docs, 80).collect()))
+    assert got == brute([tuple(r) for r in docs.collect()], 80)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

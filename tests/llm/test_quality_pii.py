@@ -1,13 +1,14 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from stackwise.llm.pii import pseudonymise
-from stackwise.llm.quality import LEVELS, RISK, log_binomial_tail, quality_rules
+from stackwise.llm.pii import pseudonymise, session_key
+from stackwise.llm.quality import RISK, SHARES, log_binomial_tail, quality_rules
 
 
 def base(t):
@@ -46,16 +47,25 @@ def test_quality_counts_and_verdicts(spark):
     assert sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got), key=str) == want
     quality = {i: q for i, q, _ in labels}
     by = {r["doc_id"]: r for r in got}
+    three = lambda r: [r["n_symbols"] / r["n_words"], r["n_dup_lines"] / r["n_lines"], r["word_chars"] / r["n_words"]]
     for s in ("en", "fr", "de", None):
         good = [r for r in got if r["stratum"] == s and not r["base_failed"] and quality.get(r["doc_id"]) == 1]
-        level = 0
-        for i, (sym, dup, chars) in LEVELS.items():
-            k = sum(r["n_symbols"] > sym * r["n_words"] or r["n_dup_lines"] > dup * r["n_lines"] or r["word_chars"] > chars * r["n_words"] for r in good)
-            n = len(good)
-            tail = sum(math.comb(n, j) * RISK**j * (1 - RISK) ** (n - j) for j in range(k + 1))
-            if n and tail <= 0.05 / (2 * len(LEVELS)):
-                level = i
-        assert {r["level"] for r in got if r["stratum"] == s} <= {level}
+        a, b = ([three(r) for r in good if zlib.crc32(str(r["doc_id"]).encode()) % 2 == k] for k in (0, 1))
+        level, cut = 0, []
+        for i, share in enumerate(SHARES, 1):
+            here = [sorted(x)[math.ceil((1 - share / 3) * len(a)) - 1] for x in zip(*a)] if a else []
+            k = sum(any(x > y for x, y in zip(r, here)) for r in b)
+            tail = sum(math.comb(len(b), j) * RISK**j * (1 - RISK) ** (len(b) - j) for j in range(k + 1))
+            if a and b and tail <= 0.05 / (2 * len(SHARES)):
+                level, cut = i, here
+        rows = [r for r in got if r["stratum"] == s]
+        assert {r["level"] for r in rows} <= {level}
+        for r in rows:
+            assert r["kept"] == (not r["base_failed"] and not (level and any(x > y for x, y in zip(three(r), cut))))
+    assert any(r["level"] for r in got)
+    # labels alone decide: most bad documents go, most good ones stay
+    bad = [r["kept"] for r in got if quality.get(r["doc_id"]) == 0 and r["level"] and not r["base_failed"]]
+    assert sum(bad) < 0.1 * len(bad)
     assert not by[9001]["kept"] and by[1]["stratum"] in ("en", "fr")
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
@@ -99,7 +109,7 @@ def test_pii(spark):
     }
     rows += list(more.items()) + [(None, "10.0.200.255")]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, pii int")
-    got = {r["doc_id"]: r for r in pseudonymise(d).collect()}
+    got = {r["doc_id"]: r for r in pseudonymise(d, "k").collect()}
     new_cards = []
     for i, c in enumerate(cards):
         a, b = got[i]["pii"]
@@ -117,5 +127,45 @@ def test_pii(spark):
     assert len(got[104]["pii"]) == 3
     assert [x["kind"] for x in got[105]["pii"]] == ["ssn"] and "4111111111111112" in got[105]["text"]
     assert got[106]["text"] is None and got[107]["text"] == "" and got[108]["text"] == more[108] and got[109]["text"] == more[109]
-    assert sorted(map(str, pseudonymise(d).collect())) == sorted(map(str, got.values()))
-    assert pseudonymise(d.limit(0)).count() == 0
+    assert sorted(map(str, pseudonymise(d, "k").collect())) == sorted(map(str, got.values()))
+    assert pseudonymise(d.limit(0), "k").count() == 0
+
+
+def test_pii_layouts_and_validity(spark):
+    dates = ["1.2.1999", "12/31/1999", "01/02/1999", "7/4/2001", "2000-01-01", "31.12.1899", "15.10.0900", "31.12.9999"]
+    numbers = ["123-45-6789", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]
+    d = spark.createDataFrame([*[(i, f"on {x}.") for i, x in enumerate(dates)], *[(100 + i, f"id {x}") for i, x in enumerate(numbers)], *[(1000 + i, f"{100 + i % 500}-{1 + i % 99:02d}-{1 + i:04d} and {1 + i % 28}.{1 + i % 12}.{1950 + i % 70}") for i in range(400)]], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonymise(d, "k").collect()}
+    new = [got[i]["text"][3:-1] for i in range(len(dates))]
+    assert re.fullmatch(r"[1-9]\d?\.[1-9]\d?\.\d{4}", new[0]) and re.fullmatch(r"[1-9]\d?/[1-9]\d?/\d{4}", new[3])
+    month, day, _ = map(int, new[1].split("/"))
+    assert new[1] != dates[1] and month <= 12 and day <= 31 and re.fullmatch(r"\d\d/\d\d/\d{4}", new[1])
+    assert re.fullmatch(r"\d\d/\d\d/\d{4}", new[2]) and re.fullmatch(r"\d{4}-\d\d-\d\d", new[4]) and new[5] != dates[5] and new[6:] == dates[6:]
+    assert [got[100 + i]["text"] != f"id {x}" for i, x in enumerate(numbers)] == [True] + [False] * 5
+    seen = [got[1000 + i]["pii"] for i in range(400)]
+    assert all(len(p) == 2 for p in seen) and len({p[0]["new"] for p in seen}) == 400
+    for p in seen:
+        area, group, serial = map(int, p[0]["new"].split("-"))
+        assert 0 < area < 900 and area != 666 and group and serial
+    # another key gives other pseudonyms; the session's key stays
+    assert {r["doc_id"]: r["text"] for r in pseudonymise(d, "other").collect()}[100] != got[100]["text"]
+    assert session_key(spark) == session_key(spark)
+
+
+def test_equal_values_are_linked_and_others_are_not(spark):
+    """The permutations against a plain program: one to one within a kind, the same in every document."""
+    rng = random.Random(8)
+    ips = [f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(300)]
+    d = spark.createDataFrame([(i, f"{x} {x}") for i, x in enumerate(ips + ips)], "doc_id long, text string")
+    to = {}
+    for r in pseudonymise(d, "k").collect():
+        a, b = r["text"].split()
+        assert a == b and to.setdefault(ips[r["doc_id"] % 300], a) == a
+    assert len(set(to.values())) == len(set(ips))
+
+
+def test_quality_without_rows_or_labels(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h i j k", "en"), (2, None, None), (3, "long " * 40_000, "en")], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["doc_id"]: (r["kept"], r["level"]) for r in quality_rules(d, none).collect()} == {1: (True, 0), 2: (False, 0), 3: (False, 0)}
+    assert quality_rules(d.limit(0), none).count() == 0

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from stackwise.llm.toxicity import toxicity
+from stackwise.llm.toxicity import toxicity, without_toxic
 
 BAD = ["vile", "nasty", "rotten"]
 
@@ -40,3 +40,18 @@ def test_no_model(spark):
     d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r["score"], r["predicted"]) for r in toxicity(d, lab).collect()] == [(0.0, 0)] * 2
+
+
+def test_each_row_is_kept_by_its_own_score(spark):
+    docs, labels = rows(400)
+    long = "word1 " * 50_000
+    docs += [(None, "vile nasty rotten", "x"), (9000, long, "x"), (9000, "nasty vile vile rotten", "x"), (9000, long, "x")]
+    d = spark.createDataFrame([(*r, 1.0) for r in docs], "doc_id long, text string, row string, score double")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    stay = without_toxic(d, lab)
+    assert stay.columns == d.columns
+    kept = [(r["doc_id"], r["text"]) for r in stay.collect()]
+    assert kept.count((9000, long)) == 2 and (9000, "nasty vile vile rotten") not in kept and (None, "vile nasty rotten") not in kept
+    scores = toxicity(d, lab).where("predicted = 0").count()
+    assert len(kept) == scores
+    assert without_toxic(d.limit(0), lab).count() == 0
