@@ -1,7 +1,10 @@
 """Corpus cleaning in stages, each an operator of stackwise.llm; every stage works on all rows the one before kept.
 
-Documents need doc_id, text, lang, source and n_chars; n_chars follows the text where a stage changes it. Rows that a
-stage cannot judge (null text, null doc_id) are kept by it.
+Documents need doc_id, text, lang, source and n_chars; n_chars follows the text where a stage changes it. Every row is
+judged by its own text: where an operator answers by id, rows are numbered first, so null and repeated ids neither
+escape a verdict nor share one, and of repeated rows one stays. Rows with null or empty text are no toxic row, no copy
+and no leak, and stay; a table without rows passes every stage. The mix returns all rows with their text and the words
+that it takes of each.
 """
 
 from __future__ import annotations
@@ -13,34 +16,40 @@ from stackwise.llm.common import materialise
 from stackwise.llm.decontaminate import decontaminate
 from stackwise.llm.minhash import near_duplicates
 from stackwise.llm.mixing import mix_sources
-from stackwise.llm.pii import pseudonymise
-from stackwise.llm.toxicity import toxicity
+from stackwise.llm.pii import pseudonymise, session_key
+from stackwise.llm.toxicity import without_toxic
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row; written, so that all that reads it sees the same numbers."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), F.col("doc_id") == F.col("_bad"), "left_anti")
+    return docs.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where("predicted = 1"))
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs, percent=80).where("not kept"))
+    rows = _numbered(docs, "rows")
+    return _without(rows, near_duplicates(rows, percent=80, id_col="_row").where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    rows = _numbered(docs, "rows")
+    return _without(rows, decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").where("contaminated"))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = pseudonymise(docs).drop("pii")
+    clean = pseudonymise(docs, session_key(spark)).drop("pii")
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs)
+    return mix_sources(docs, keep=("text", "lang", "source"))
 
 
 STAGES = [
