@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -83,6 +84,17 @@ def normalise_col(c: Column) -> Column:
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), normalise_ascii(c)).otherwise(_normalise_udf(c))
 
 
+def fold_column(c: Column, charmap: dict[str, str] | None = None) -> Column:
+    """fold as a column; texts of Latin letters and common signs take built-in functions."""
+    c = F.coalesce(c, F.lit(""))
+    latin = c.rlike(r"^[\x00-\x7FÀ-ÖØ-öø-ÿ]*$")
+    general = F.udf(lambda s: fold(s, charmap), "string", useArrow=True)
+    plain = normalise_ascii(F.replace(c, F.lit("ß"), F.lit("ss")))
+    if charmap and any(ord(k) < 0x100 for k in charmap):
+        plain = F.translate(plain, "".join(charmap), "".join(charmap.values()))
+    return F.when(latin, plain).otherwise(general(F.when(~latin, c)))
+
+
 def key_ascii(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
@@ -103,6 +115,13 @@ def short(c: Column, size: int = 120) -> Column:
     return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size), F.lit("…"))).otherwise(c)
 
 
+def build_charmap(texts: DataFrame, column: str, convert: Callable[[str], str], low: str = "一", high: str = "鿿") -> dict[str, str]:
+    """The characters from low to high that occur in the texts and that convert changes. There are at most as many as the
+    range has characters, whatever the texts."""
+    found = texts.select(F.explode(F.array_distinct(F.split(F.lower(column), ""))).alias("c")).where(F.col("c").between(low, high)).distinct()
+    return {c: x for (c,) in sorted(found.collect()) if (x := convert(c)) != c}
+
+
 def contains_cjk(c: Column) -> Column:
     return c.rlike("[一-鿿]")
 

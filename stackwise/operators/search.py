@@ -1,107 +1,64 @@
-"""Field-weighted BM25 search: index tables, gated recall, tiered rerank, correction and suggestions.
+"""Field-weighted BM25 search over a stored index: build, gated recall, tiered rerank, correction and suggestions.
 
-The index is a set of DataFrames; a query is a small plan made on the driver (its terms, at most 64), and everything
-from the index to the page is one lazy DataFrame. Only name fields make candidates: the overview adds to the score of
-documents that a name field has already let in.
+The index is a folder of Parquet tables: ``terms``, a row for each document of a term with the weights of its fields,
+partitioned by a hash of the term and sorted by it; ``vocabulary``, the terms and their documents' number; ``names``, what
+suggestions and the pinyin lane compare; and ``corpus``, the number and mean length of documents. A query reads the
+partitions of its terms and nothing else. Rows of name fields carry what ranking needs of their document, so a ranked
+page is one pass over those rows, without a join.
+
+Only name fields make candidates: the overview adds to the score of documents that a name field has already let in.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+import zlib
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import CJK_DIGITS, ROMAN, fold, is_cjk, strip_marks
+from ..functions.text import fold, fold_column, is_cjk, strip_marks
+from .tokens import STOPWORDS, Asked, Terms, classify, last_word, plain_column, token_column, understand
 
 # fixed values: ranking constants
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"title": 3.0, "alias": 2.0, "original": 2.0, "overview": 0.3}
 KIND_WEIGHTS = {"bigram": 1.0, "char": 0.25, "run": 1.5, "latin": 1.0, "number": 1.0}
-STOPWORDS = ("the", "a", "an", "of")
 NUMERIC_WEIGHT = 0.25
-MAX_TERMS = 64
 RECALL = 300
+PINYIN = 100
+EXPANSIONS = 20
 NAME_FIELDS = [f for f in FIELD_WEIGHTS if f != "overview"]
+FILE_ROWS = 1_000_000
+BUCKETS = 64
 
 
-def tokenise(text: str | None) -> list[tuple[str, str]]:
-    """(term, kind): numbers of "part N" titles, CJK bigrams, characters and runs of 3 to 6, Latin words without marks,
-    digits, and Roman numerals as their number."""
-    s = fold(text)
-    out: list[tuple[str, str]] = []
-    for m in re.finditer("第\\s*([0-9一二三四五六七八九十]+)\\s*部", s):
-        n = m[1]
-        out.append((str(CJK_DIGITS.get(n, n)), "number"))
-    for run in re.findall(r"[一-鿿]+|[^\W_]+", s):
-        if is_cjk(run[0]):
-            out += [(run[i : i + 2], "bigram") for i in range(len(run) - 1)] + [(c, "char") for c in run]
-            if 3 <= len(run) <= 6:
-                out.append((run, "run"))
-            continue
-        for word in re.findall(r"[0-9]+|[^\W\d_]+", strip_marks(run)):
-            if word.isdigit():
-                out.append((word, "number"))
-            else:
-                out.append((word, "latin"))
-                if word in ROMAN:
-                    out.append((str(ROMAN[word]), "number"))
-    return out
-
-
-TOKENS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("kind", T.StringType())]))
-
-
-@F.udf(TOKENS, useArrow=True)
-def tokenise_udf(text):
-    return tokenise(text)
-
-
-def ascii_tokens(c: Column) -> Column:
-    """The built-in path for Latin text: words of a-z and 0-9, as strings; their kind follows from the term."""
-    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), "")
-
-
-def _tokenised(docs: DataFrame, tokens) -> tuple[DataFrame, list[str]]:
-    fields = [f for f in FIELD_WEIGHTS if f in docs.columns]
-    d = docs.select("doc_id", *fields).repartition("doc_id").select("doc_id", *[tokens(F.col(f)).alias(f) for f in fields])
-    return d.withColumn("dl", reduce(lambda x, y: x + y, [F.greatest(F.size(f), F.lit(0)) for f in fields]).cast("long")), fields
-
-
-def postings(docs: DataFrame, tokens=ascii_tokens) -> DataFrame:
-    """doc_id, term, kind, dl (tokens of the document), and tf_<field> for each field, one row for a document's term.
+def postings(docs: DataFrame, charmap: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, term, kind, dl (tokens of the document), first (once for each document with a token), and tf_<field> for
+    each field, one row for a document's term. A field is text, or a list of texts.
 
     Documents are dealt by doc_id before they are split, so all that follows for one document happens in one place: the
-    far more numerous postings are counted without a shuffle. A token's field is told by its position. tokens gives
-    strings, or structs of term and kind; a term of two kinds counts as the first of them by name.
+    far more numerous postings are counted without a shuffle. A token's field is told by its position. A term of two
+    kinds counts as the first of them by name.
     """
-    d, fields = _tokenised(docs, tokens)
-    structs = d.schema[fields[0]].dataType.elementType.typeName() == "struct"
-    empty = F.array().cast(d.schema[fields[0]].dataType)
+    fields = [f for f in FIELD_WEIGHTS if f in docs.columns]
+    text = lambda f: F.array_join(f, " ") if docs.schema[f].dataType.typeName() == "array" else F.col(f)
+    d = docs.select("doc_id", *[text(f).alias(f) for f in fields]).repartition("doc_id").select("doc_id", *[token_column(F.col(f), charmap).alias(f) for f in fields])
     ends, at = [], F.lit(0)
     for f in fields:
-        at = at + F.greatest(F.size(f), F.lit(0))
+        at = at + F.size(f)
         ends.append(at.alias(f"end_{f}"))
-    rows = d.select("doc_id", "dl", *ends, F.concat(*[F.coalesce(f, empty) for f in fields]).alias("all"))
-    rows = rows.select("doc_id", "dl", *[f"end_{f}" for f in fields], F.posexplode("all").alias("pos", "t"))
+    rows = d.select("doc_id", *ends, F.concat(*fields).alias("all"))
+    rows = rows.select("doc_id", F.size("all").cast("long").alias("dl"), *[f"end_{f}" for f in fields], F.posexplode("all").alias("pos", "t"))
     counts = []
     for before, f in zip([None, *fields], fields, strict=False):
         inside = F.col("pos") < F.col(f"end_{f}")
         counts.append(F.count_if(inside & (F.col("pos") >= F.col(f"end_{before}")) if before else inside).alias(f"tf_{f}"))
-    term = F.col("t.term") if structs else F.col("t")
-    if structs:
-        return rows.groupBy("doc_id", "dl", term.alias("term")).agg(F.min("t.kind").alias("kind"), *counts)
-    p = rows.groupBy("doc_id", "dl", term.alias("term")).agg(*counts)
-    return p.withColumn("kind", F.when(F.col("term").rlike("^[0-9]+$"), "number").otherwise("latin"))
-
-
-def corpus_statistics(docs: DataFrame, tokens=ascii_tokens) -> tuple[int, float]:
-    """Number of documents with a token, and their mean length."""
-    n, avgdl = _tokenised(docs, tokens)[0].where("dl > 0").agg(F.count("*"), F.avg("dl")).first()
-    return n, avgdl
+    kinds = sorted(KIND_WEIGHTS)
+    nth = F.array_position(F.array(*map(F.lit, kinds)), F.col("t.kind"))  # a number, so that rows combine by hash
+    p = rows.groupBy("doc_id", "dl", F.col("t.term").alias("term")).agg(F.min(nth).alias("nth"), (F.min("pos") == 0).alias("first"), *counts)
+    return p.select("doc_id", "term", F.element_at(F.array(*map(F.lit, kinds)), F.col("nth").cast("int")).alias("kind"), "dl", "first", *[f"tf_{f}" for f in fields])
 
 
 def document_frequencies(p: DataFrame) -> DataFrame:
@@ -109,185 +66,272 @@ def document_frequencies(p: DataFrame) -> DataFrame:
     return p.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def build_index(p: DataFrame, n_docs: int, avgdl: float) -> DataFrame:
-    """doc_id, field, term, kind, weight."""
-    return weigh(p.join(document_frequencies(p), "term"), n_docs, avgdl)
+def corpus_statistics(p: DataFrame) -> DataFrame:
+    """One row: documents with a token, and their mean length."""
+    return p.where("first").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def weigh(rows: DataFrame, n_docs: int, avgdl: float) -> DataFrame:
-    """The weights of postings that have their term's df."""
+def weighted(rows: DataFrame, n_docs: int, avgdl: float) -> DataFrame:
+    """Postings that have their term's df, with w_<field> for each field; null where the field lacks the term."""
     fields = [c[3:] for c in rows.columns if c.startswith("tf_")]
     kind_w = F.create_map(*[x for k, v in KIND_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - B + B * F.col("dl") / avgdl
     stop = (F.col("kind") == "latin") & F.col("term").isin(*STOPWORDS)
 
-    def entry(f: str) -> Column:
+    def weight(f: str) -> Column:
         tf, fw = F.col(f"tf_{f}"), F.lit(FIELD_WEIGHTS[f])
-        w = idf * tf * (K1 + 1) / (tf + K1 * norm) * fw * kind_w[F.col("kind")]
-        return F.when(tf > 0, F.struct(F.lit(f).alias("field"), F.when(stop, 0.2 * fw).otherwise(w).alias("weight")))
+        return F.when(tf > 0, F.when(stop, 0.2 * fw).otherwise(idf * tf * (K1 + 1) / (tf + K1 * norm) * fw * kind_w[F.col("kind")])).alias(f"w_{f}")
 
-    return rows.select("doc_id", "term", "kind", F.explode(F.array_compact(F.array(*map(entry, fields)))).alias("e")).select("doc_id", "e.field", "term", "kind", "e.weight")
+    return rows.select("*", *map(weight, fields))
 
 
 def static_boost(has_primary: Column, links: Column, matched: Column) -> Column:
     return 1 + 0.15 * has_primary.cast("int") + 0.10 * F.log1p(links) + 0.10 * matched.cast("int")
 
 
-@dataclass
-class QueryPlan:
-    text: str
-    season: int | None = None
-    episode: int | None = None
-    quality: str | None = None
-    hdr: str | None = None
-    kind: str | None = None
-    year: int | None = None
-    spans: list = field(default_factory=list)
-
-
-_RULES = [
-    ("season", r"(?:\bs|season\s*)([0-9]{1,2})(?=e?[0-9]*\b)"), ("episode", r"(?:e|episode\s*)([0-9]{1,3})\b"),
-    ("quality", r"\b(2160p|1080p|720p|4k)\b"), ("hdr", r"\b(hdr10\+|hdr10|hdr|dv)(?=\W|$)"), ("kind", r"\b(movie|film|series|tv)\b"),
-]
-_KINDS = {"movie": "movie", "film": "movie", "series": "tv", "tv": "tv"}
-
-
-def parse_query(q: str) -> QueryPlan:
-    """Takes season, episode, quality, hdr and type out of the text, in that order, and then a year, unless the year is
-    all that is left."""
-    plan, s = QueryPlan(""), f" {fold(q).strip()} "
-    for name, pattern in _RULES:
-        m = re.search(pattern, s)
-        if m:
-            v = m[1]
-            setattr(plan, name, int(v) if name in ("season", "episode") else _KINDS.get(v, "2160p" if v == "4k" else v))
-            plan.spans.append((name, m[0].strip()))
-            s = s[: m.start()] + " " + s[m.end() :]
-    m = re.search(r"\b((?:19|20)[0-9]{2})\b", s)
-    if m and s.replace(m[0], "").strip():
-        plan.year = int(m[1])
-        plan.spans.append(("year", m[1]))
-        s = s[: m.start()] + " " + s[m.end() :]
-    plan.text = " ".join(s.split())
-    return plan
-
-
-@dataclass
-class Terms:
-    names: list[str]
-    others: list[str]
-    numeric: set[str]
-
-    @property
-    def all(self) -> list[str]:
-        return (self.names + self.others)[:MAX_TERMS]
-
-
-def classify(text: str) -> Terms:
-    """Name terms: the non-numeric ones that are no stopwords, else the non-numeric ones, else the numeric ones."""
-    tokens = list(dict.fromkeys(tokenise(text)))
-    numeric = {t for t, k in tokens if k == "number"}
-    plain = [t for t, k in tokens if k != "number"]
-    names = [t for t in plain if t not in STOPWORDS] or plain or sorted(numeric)
-    names = list(dict.fromkeys(names))
-    return Terms(names, [t for t, _ in tokens if t not in names], numeric)
-
-
-def expansions(vocabulary: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
-    """Vocabulary terms that the last Latin word begins, in order."""
-    return vocabulary.where(F.startswith("term", F.lit(prefix))).orderBy("term").limit(limit).select("term")
-
-
-def recall(index: DataFrame, terms: Terms, limit: int = RECALL) -> DataFrame:
-    """doc_id, score, matched of at most limit documents that a name field lets in."""
-    rows = index.where(F.col("term").isin(*terms.all))
-    mixed = bool(terms.numeric) and set(terms.names) - terms.numeric
-    w = F.when(F.col("term").isin(*(sorted(terms.numeric) or [""])), F.col("weight") * NUMERIC_WEIGHT).otherwise(F.col("weight")) if mixed else F.col("weight")
-    named = F.col("field").isin(*NAME_FIELDS)
-    gate = named & F.col("term").isin(*terms.names)
-    hits = rows.groupBy("doc_id").agg(
-        F.round(F.sum(F.when(named, w).otherwise(0.0)), 9).alias("name_score"), F.round(F.sum(w), 9).alias("score"),
-        F.countDistinct(F.when(gate, F.col("term"))).alias("matched"),
-    ).where("matched > 0")
+@dataclass(frozen=True)
+class Index:
+    """A stored index. charmap: the one that it was built with; pinyin: whether documents had such keys."""
+
+    spark: SparkSession
+    path: str
+    n_docs: int
+    avgdl: float
+    buckets: int
+    pinyin: bool
+    charmap: dict[str, str] | None = None
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def terms(self, wanted: list[str]) -> DataFrame:
+        """The rows of some terms: only their partitions are read, and of these what may hold them."""
+        at = sorted({zlib.crc32(t.encode()) % self.buckets for t in wanted})
+        return self.table("terms").where(F.col("bucket").isin(*at) & F.col("term").isin(*wanted)) if wanted else self.table("terms").limit(0)
+
+
+def document_keys(docs: DataFrame, charmap: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, doc: struct of the folded title, its and the aliases' words, the aliases' keys, boost and year; and names:
+    array of (name, kind) to begin a suggestion with. docs may have alias (a list), original, boost, year, pinyin and
+    initials."""
+    has = set(docs.columns)
+    folded = lambda c: fold_column(c, charmap)
+    alias = (F.col("alias") if docs.schema["alias"].dataType.typeName() == "array" else F.array("alias")) if "alias" in has else F.array().cast("array<string>")
+    d = docs.select("doc_id", folded(F.col("title")).alias("key"), F.coalesce(alias, F.array().cast("array<string>")).alias("alias"), *[(folded(F.col("original")) if "original" in has else F.lit(None).cast("string")).alias("original")], *[(F.col(c) if c in has else F.lit(None)).cast(t).alias(c) for c, t in (("boost", "double"), ("year", "int"), ("pinyin", "string"), ("initials", "string"))])
+    # functions on every element of a list are no Arrow functions: aliases are folded as one text, by a mark that folds to itself
+    mark = "\x1e"
+    joined = folded(F.array_join("alias", mark))
+    d = d.withColumn("aliases", F.array_compact(F.array_distinct(F.concat(F.array_remove(F.transform(F.split(joined, mark), lambda x: F.trim(x)), ""), F.array("original")))))
+    words = F.array_distinct(F.array_remove(F.split(plain_column(F.concat_ws(" ", F.col("key"), F.array_join("aliases", " "))), " "), ""))
+    name = lambda c, kind: F.struct(c.alias("name"), F.lit(kind).alias("kind"))
+    names = F.concat(F.array(name(F.col("key"), "key")), F.transform("aliases", lambda a: name(a, "alias")), F.array(name(F.col("pinyin"), "pinyin"), name(F.col("initials"), "initials")))
+    doc = F.struct("key", words.alias("words"), "aliases", F.coalesce("boost", F.lit(1.0)).alias("boost"), "year")
+    return d.select("doc_id", doc.alias("doc"), F.filter(names, lambda n: n["name"] != "").alias("names"))
+
+
+def with_documents(p: DataFrame, keys: DataFrame) -> DataFrame:
+    """Postings with the keys of their document in rows of a name field."""
+    named = reduce(lambda a, b: a | b, [F.col(f"tf_{f}") > 0 for f in NAME_FIELDS if f"tf_{f}" in p.columns])
+    return p.join(keys.select("doc_id", "doc"), "doc_id", "left").withColumn("doc", F.when(named, F.col("doc")))
+
+
+def build_index(docs: DataFrame, path: str, buckets: int = BUCKETS, charmap: dict[str, str] | None = None) -> Index:
+    """Writes the index of docs (doc_id, title, and what else postings and document_keys know) to a new folder. Choose
+    buckets so that a partition of ``terms`` has some million rows."""
+    spark = docs.sparkSession
+    keys = document_keys(docs, charmap)
+    with_documents(postings(docs, charmap), keys).write.parquet(f"{path}/postings")
+    p = spark.read.parquet(f"{path}/postings")
+    vocabulary = p.groupBy("term").agg(F.min("kind").alias("kind"), F.count("*").alias("df"))
+    vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+    corpus_statistics(p).select(F.col("n_docs"), F.coalesce("avgdl", F.lit(1.0)).alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit("pinyin" in docs.columns).alias("pinyin")).write.parquet(f"{path}/corpus")
+    names = keys.select("doc_id", "doc.key", "doc.boost", F.explode("names").alias("n")).select("n.name", "n.kind", "doc_id", "key", "boost")
+    names.repartitionByRange("name", "doc_id").sortWithinPartitions("name").write.parquet(f"{path}/names")
+    index = open_index(spark, path, charmap)
+    write_terms(weighted(p.join(index.table("vocabulary").select("term", "df"), "term"), index.n_docs, index.avgdl), f"{path}/terms", buckets)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/postings")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return index
+
+
+def write_terms(rows: DataFrame, path: str, buckets: int) -> None:
+    """Rows with weights, by bucket and term. The documents of a frequent term go over as many files as FILE_ROWS asks."""
+    files = F.ceil(F.col("df") / FILE_ROWS)
+    rows = rows.withColumns({"bucket": F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"), "_part": F.pmod(F.xxhash64("doc_id"), files)})
+    rows.repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
+def open_index(spark: SparkSession, path: str, charmap: dict[str, str] | None = None) -> Index:
+    r = spark.read.parquet(f"{path}/corpus").first()
+    return Index(spark, path, r["n_docs"], r["avgdl"], r["buckets"], r["pinyin"], charmap)
+
+
+def weights(terms: DataFrame) -> DataFrame:
+    """doc_id, field, term, kind, weight: a row for each field of a document's term."""
+    entries = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c[2:]).alias("field"), F.col(c).alias("weight"))) for c in terms.columns if c.startswith("w_")]
+    return terms.select("doc_id", "term", "kind", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("doc_id", "e.field", "term", "kind", "e.weight")
+
+
+def update_terms(terms: DataFrame, added: DataFrame, changed: DataFrame) -> DataFrame:
+    """Incremental form: documents in ``changed`` (doc_id) leave, and come back as ``added`` (their new postings, with doc)
+    if they still exist, with frequencies, number and mean length of the whole new corpus; all others keep their old
+    weights."""
+    kept = terms.join(changed, "doc_id", "left_anti")
+    touched = added.select("term").distinct()
+    df = kept.join(touched, "term", "left_semi").select("term").unionByName(added.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    s = corpus_statistics(kept.select("first", "dl").unionByName(added.select("first", "dl"))).first()
+    new = weighted(added.join(df, "term"), s["n_docs"] or 1, s["avgdl"] or 1.0)
+    return kept.drop("bucket").unionByName(new)
+
+
+def expansions(index: Index, prefix: str, limit: int = EXPANSIONS) -> DataFrame:
+    """Words of the vocabulary that the last word begins, in order."""
+    return index.table("vocabulary").where((F.col("kind") == "latin") & F.startswith("term", F.lit(prefix))).orderBy("term").limit(limit).select("term")
+
+
+def recall(rows: DataFrame, terms: Terms, limit: int = RECALL) -> DataFrame:
+    """doc_id, name_score, score, matched, doc of at most limit documents that a name field lets in. rows: of terms.all."""
+    fields = [c[2:] for c in rows.columns if c.startswith("w_")]
+    names = [F.coalesce(f"w_{f}", F.lit(0.0)) for f in fields if f in NAME_FIELDS]
+    gate = F.col("term").isin(*terms.names) & reduce(lambda a, b: a | b, [F.col(f"w_{f}").isNotNull() for f in fields if f in NAME_FIELDS])
+    mixed = terms.numeric and not terms.numeric & set(terms.names)
+    factor = F.when(F.col("term").isin(*sorted(terms.numeric)), NUMERIC_WEIGHT).otherwise(1.0) if mixed else F.lit(1.0)
+    name = F.sum(F.when(gate, reduce(lambda a, b: a + b, names)).otherwise(0.0))
+    more = F.sum(factor * F.coalesce("w_overview", F.lit(0.0))) if "overview" in fields else F.lit(0.0)
+    hits = rows.groupBy("doc_id").agg(F.round(name, 9).alias("name_score"), F.round(name + more, 9).alias("score"), F.count_if(gate).alias("matched"), F.first("doc", ignorenulls=True).alias("doc")).where("matched > 0")
     return hits.orderBy(F.desc("name_score"), "doc_id").limit(limit)
 
 
-def name_tier(key: Column, query: str, terms: list[str], words: Column | None = None) -> tuple[Column, Column]:
-    """(tier, coverage): 0 exact, 1 prefix or phrase, 2 half of the terms, 3 else. key: the folded title; words: its
-    terms, if they are not what spaces part."""
-    words = F.split(key, " ") if words is None else words
-    hit = reduce(lambda a, b: a + b, [F.array_contains(words, t).cast("int") for t in terms])
-    coverage = hit / len(terms)
-    phrase = F.startswith(key, F.lit(query)) | F.contains(F.concat(F.lit(" "), key, F.lit(" ")), F.lit(f" {query} "))
-    return F.when(key == query, 0).when(phrase, 1).when(coverage >= 0.5, 2).otherwise(3), coverage
-
-
-def rerank(hits: DataFrame, keys: DataFrame, query: str, terms: list[str], year: int | None = None, words: Column | None = None) -> DataFrame:
-    """hits with tier and final score, in order. keys: doc_id, key (folded title), boost, and year if one is asked for."""
-    tier, coverage = name_tier(F.col("key"), query, terms, words)
-    match = F.when(F.col("key") == query, 2.0).when(F.startswith("key", F.lit(query)), 1.5).when(F.contains("key", F.lit(query)), 1.3).otherwise(1.0)
-    by_year = F.when(F.abs(F.col("year") - year) == 0, 1.2).when(F.col("year").isNull(), 1.0).otherwise(0.8) if year is not None else F.lit(1.0)
-    final = F.col("score") * (1 + 0.15 * (F.col("matched") - 1)) * match * by_year * F.col("boost") * (1 + 0.5 * coverage)
-    return hits.join(keys, "doc_id").select("doc_id", "key", tier.alias("tier"), F.round(final, 6).alias("final")).orderBy("tier", F.desc("final"), "doc_id")
+def recall_many(index: Index, queries: DataFrame, limit: int = RECALL) -> DataFrame:
+    """query, doc_id, name_score, rank of many text queries (query, text) in one plan: recall's gate and scores of name
+    fields, without a last word's expansions. Queries must be few enough for their terms to be broadcast."""
+    t = queries.select("query", F.explode(F.array_distinct(token_column(F.col("text"), index.charmap))).alias("t")).select("query", "t.term", "t.kind")
+    t = t.withColumn("trust", F.when(F.col("kind") == "number", 2).when(F.col("term").isin(*STOPWORDS), 1).otherwise(0))
+    # name terms are the most trusted that the query has
+    t = t.join(t.groupBy(F.col("query").alias("q")).agg(F.min("trust").alias("best")), F.col("query") == F.col("q")).where("trust = best").select("query", "term", F.pmod(F.crc32("term"), F.lit(index.buckets)).cast("int").alias("bucket"))
+    rows = index.table("terms").where("doc is not null").join(F.broadcast(t), ["bucket", "term"])
+    fields = [c for c in rows.columns if c[:2] == "w_" and c[2:] in NAME_FIELDS]
+    hits = rows.groupBy("query", "doc_id").agg(F.round(F.sum(reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in fields])), 9).alias("name_score"))
+    w = Window.partitionBy("query").orderBy(F.desc("name_score"), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def by_pinyin(index: Index, text: str, limit: int = PINYIN) -> DataFrame:
+    """doc_id, lane: documents whose pinyin (1) or initials (2) begin with a word."""
+    found = index.table("names").where(F.col("kind").isin("pinyin", "initials") & F.startswith("name", F.lit(text)))
+    return found.groupBy("doc_id").agg(F.min(F.when(F.col("kind") == "pinyin", 1).otherwise(2)).alias("lane")).orderBy("doc_id").limit(limit)
+
+
+def with_pinyin(hits: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """hits and the documents of the pinyin lane, which score 0.6 of the best hit, or 1 where there is none. docs: doc_id,
+    doc. Both sides are small by their limits."""
+    top = hits.agg(F.max("score").alias("top"))
+    lane = found.join(docs, "doc_id").crossJoin(F.broadcast(top)).select("doc_id", "lane", F.coalesce(0.6 * F.col("top"), F.lit(1.0)).alias("s"), F.col("doc").alias("d"))
+    both = hits.join(lane, "doc_id", "full_outer")
+    return both.select("doc_id", "name_score", F.greatest("score", "s").alias("score"), F.coalesce("matched", F.lit(1)).alias("matched"), F.coalesce("doc", "d").alias("doc"), "lane")
+
+
+def rerank(hits: DataFrame, asked: Asked, terms: Terms, charmap: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, key, tier, coverage, final, in order of tier, final and id. Tiers: 0 the name itself, 1 its beginning, a
+    whole run of the query or pinyin, 2 a bigram, half of the units or initials, 3 else."""
+    text, key, aliases = fold(asked.text, charmap), F.col("doc.key"), F.col("doc.aliases")
+    lane = F.coalesce("lane", F.lit(0)) if "lane" in hits.columns else F.lit(0)
+    any_of = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
+    within = lambda t: F.contains(key, F.lit(t)) | F.exists(aliases, lambda a: F.contains(a, F.lit(t)))
+    has = {t: within(t) if any(map(is_cjk, t)) else F.array_contains("doc.words", t) for t in terms.names}
+    hits = hits.select("*", *[c.alias(f"_has{i}") for i, c in enumerate(has.values())])
+    has = {t: F.col(f"_has{i}") for i, t in enumerate(has)}
+    covered = [any_of([has[t] for t in terms.names if u in terms.units_of(t)]).cast("int") for u in terms.units]
+    coverage = F.when(lane == 1, 1.0).otherwise(reduce(lambda a, b: a + b, covered, F.lit(0)) / max(1, len(terms.units)))
+    exact = (key == text) | F.array_contains(aliases, text)
+    begins = F.startswith(key, F.lit(text))
+    tier = (
+        F.when(exact, 0)
+        .when(begins | F.exists(aliases, lambda a: F.startswith(a, F.lit(text))) | any_of([has[t] for t in terms.runs if t in has]) | (lane == 1), 1)
+        .when(any_of([has[t] for t in terms.bigrams if t in has]) | (coverage >= 0.5) | (lane == 2), 2)
+        .otherwise(3)
+    )
+    by_year = F.when(F.col("doc.year") == asked.year, 1.2).otherwise(0.8) if asked.year is not None else F.lit(1.0)
+    boosts = F.when(exact, 2.0).otherwise(1.0) * F.when(begins, 1.5).otherwise(1.0) * F.when(F.contains(key, F.lit(text)), 1.3).otherwise(1.0)
+    final = F.col("score") * (1 + 0.15 * (F.col("matched") - 1)) * boosts * by_year * F.col("doc.boost") * (1 + 0.5 * coverage)
+    return hits.select("doc_id", key.alias("key"), tier.alias("tier"), F.round(coverage, 6).alias("coverage"), F.round(final, 6).alias("final")).orderBy("tier", F.desc("final"), "doc_id")
 
 
 def corrections(vocabulary: DataFrame, terms: list[str]) -> DataFrame:
     """term, correction: one edit from 5 letters, two from 9, same first letter; the nearest, then the first by name."""
-    asked = vocabulary.sparkSession.createDataFrame([(t, t[0], 1 if len(t) < 9 else 2) for t in terms if len(t) >= 5], "asked string, f string, most int")
-    near = vocabulary.withColumn("f", F.substring("term", 1, 1)).join(F.broadcast(asked), "f").where(F.abs(F.length("term") - F.length("asked")) <= 2)
+    asked = [(t, t[0], 1 if len(t) < 9 else 2) for t in terms if len(t) >= 5 and not any(map(is_cjk, t))]
+    table = vocabulary.sparkSession.createDataFrame(asked, "asked string, f string, most int")
+    near = vocabulary.where("kind = 'latin'")
+    if asked:
+        near = near.where(reduce(lambda a, b: a | b, [F.startswith("term", F.lit(f)) for f in sorted({x[1] for x in asked})]))
+    near = near.withColumn("f", F.substring("term", 1, 1)).join(F.broadcast(table), "f").where(F.abs(F.length("term") - F.length("asked")) <= 2)
     near = near.withColumn("d", F.levenshtein("term", "asked")).where(F.col("d").between(1, F.col("most")))
     return near.groupBy("asked").agg(F.min(F.struct("d", "term"))["term"].alias("correction")).select(F.col("asked").alias("term"), "correction")
 
 
-def suggest(keys: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
-    """Titles that begin with the prefix (two letters at least), by boost."""
-    p = fold(prefix)
-    if len(p) < (1 if any(map(is_cjk, p)) else 2):
-        return keys.limit(0)
-    return keys.where(F.startswith("key", F.lit(p))).orderBy(F.desc("boost"), "doc_id").limit(limit)
-
-
-def search(docs: DataFrame, text: str, keys: DataFrame, limit: int = RECALL, tokens=tokenise_udf) -> DataFrame:
-    """Ranked documents for a text query; a query that finds nothing is corrected once and tried again.
-
-    The index has the query's own terms (tokenise); ascii_tokens is for texts and queries of ASCII only.
-    """
-    p = postings(docs, tokens)
-    n, avgdl = corpus_statistics(docs, tokens)
-    words = None if tokens is ascii_tokens else tokens(F.col("key"))["term"]
-    plan = parse_query(text)
-    terms = classify(plan.text)
-    if not n or not terms.all:
-        return rerank(docs.sparkSession.createDataFrame([], "doc_id long, score double, matched long"), keys, plan.text or " ", [" "])
-    index = build_index(p, n, avgdl)
-    hits = recall(index, terms, limit)
-    if not hits.take(1):
-        fixed = {r["term"]: r["correction"] for r in corrections(p.select("term").distinct(), terms.names).collect()}
+def suggest(index: Index, prefix: str, limit: int = 8) -> DataFrame:
+    """doc_id, key of titles that, or whose aliases, pinyin or initials, begin with the prefix (a CJK character or two
+    letters at least), by boost."""
+    p = fold(prefix, index.charmap)
+    names = index.table("names")
+    if not any(map(is_cjk, p)) and sum(c.isalpha() for c in p) < 2:
+        return names.limit(0).select("doc_id", "key")
+    found = names.where(F.startswith("name", F.lit(p))).select("doc_id", "key", "boost").distinct()
+    return found.orderBy(F.desc("boost"), "doc_id").limit(limit).select("doc_id", "key")
+
+
+RANKED = "doc_id long, key string, tier int, coverage double, final double"
+
+
+def ranked(index: Index, asked: Asked, limit: int = RECALL, editions: DataFrame | None = None) -> DataFrame:
+    """The plan of one attempt: expansion, recall, pinyin lane, rerank, and filters after them."""
+    word = last_word(asked.text, index.charmap)
+    terms = classify(asked.text, [r["term"] for r in expansions(index, word).collect()] if word else [], index.charmap)
+    if not terms.all or not index.n_docs:
+        return index.spark.createDataFrame([], RANKED)
+    rows = index.terms(terms.all)
+    hits = recall(rows, terms, limit)
+    text = asked.text.strip()
+    if index.pinyin and text.isascii() and " " not in text:
+        found = by_pinyin(index, fold(text, index.charmap))
+        docs = index.table("terms").join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi").where("doc is not null").groupBy("doc_id").agg(F.first("doc").alias("doc"))
+        hits = with_pinyin(hits, found, docs)
+    # the query's own terms decide on evidence and coverage, not the words that its last one may begin
+    out = rerank(hits, asked, classify(asked.text, charmap=index.charmap), index.charmap)
+    return out if editions is None else with_filters(out, asked, editions)
+
+
+def with_filters(out: DataFrame, asked: Asked, editions: DataFrame) -> DataFrame:
+    """Documents with one edition that fits all that the query asked for. editions: doc_id, season_from, season_to,
+    episode_from, episode_to, quality, hdr, provider, kind, genre, as far as known."""
+    tests = []
+    for part in ("season", "episode"):
+        if (n := getattr(asked, part)) is not None and f"{part}_from" in editions.columns:
+            tests.append(F.lit(n).between(F.col(f"{part}_from"), F.coalesce(f"{part}_to", f"{part}_from")))
+    tests += [F.col(c) == v for c in ("quality", "hdr", "kind", "genre") if (v := getattr(asked, c)) and c in editions.columns]
+    if asked.providers and "provider" in editions.columns:
+        tests.append(F.col("provider").isin(*asked.providers))
+    if not tests:
+        return out
+    return out.join(editions.where(reduce(lambda a, b: a & b, tests)), "doc_id", "left_semi").orderBy("tier", F.desc("final"), "doc_id")
+
+
+def search(index: Index, query: str, limit: int = RECALL, editions: DataFrame | None = None) -> DataFrame:
+    """Ranked documents for a text query, at most limit (with the pinyin lane 100 more); a query that finds nothing is
+    corrected once and tried again. Filter words apply where editions are given."""
+    asked = understand(query, index.charmap)
+    page = ranked(index, asked, limit, editions).collect()
+    if not page:
+        names = classify(asked.text, charmap=index.charmap).names
+        fixed = {r["term"]: r["correction"] for r in corrections(index.table("vocabulary"), names).collect()}
         if fixed:
-            plan.text = " ".join(fixed.get(strip_marks(w), w) for w in plan.text.split())
-            terms = classify(plan.text)
-            hits = recall(index, terms, limit)
-    return rerank(hits, keys, plan.text, terms.names, plan.year, words)
+            asked = replace(asked, text=" ".join(fixed.get(strip_marks(w), w) for w in asked.text.split()), corrections=tuple(fixed.items()))
+            page = ranked(index, asked, limit, editions).collect()
+    return index.spark.createDataFrame(page, RANKED)
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     """Per category: mean reciprocal rank within 10, recall at 10 and precision at 1. ranked: query, doc_id, rank."""
     hit = expected.join(ranked.where("rank <= 10"), ["query", "doc_id"], "left").groupBy("category", "query").agg(F.min("rank").alias("rank"))
     return hit.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("rank").isNotNull().cast("int")), 6).alias("recall"), F.round(F.avg(F.coalesce((F.col("rank") == 1).cast("int"), F.lit(0))), 6).alias("p1"))
-
-
-def update_index(index: DataFrame, old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
-    """Incremental form: documents in ``changed`` (doc_id) get weights from the new postings with frequencies, count and
-    mean length of the whole new corpus; all other documents keep their old weights.
-
-    old, new: postings before and after. df = old df - removed + added, which touches only terms of changed documents.
-    """
-    gone, added = old.join(changed, "doc_id", "left_semi"), new.join(changed, "doc_id", "left_semi")
-    delta = gone.select("term", "doc_id").distinct().withColumn("d", F.lit(-1)).unionByName(added.select("term", "doc_id").distinct().withColumn("d", F.lit(1)))
-    delta = delta.groupBy("term").agg(F.sum("d").alias("d"))
-    touched = added.select("term").distinct()
-    df = document_frequencies(old.join(touched, "term", "left_semi")).join(delta, "term", "full_outer")
-    df = df.select("term", (F.coalesce("df", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("df"))
-    n, avgdl = new.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    return index.join(changed, "doc_id", "left_anti").unionByName(weigh(added.join(df, "term"), n or 1, avgdl or 1.0))
