@@ -1,11 +1,11 @@
-"""Column functions on titles, editions, links, ratings, identities and times."""
+"""Column functions on titles, identities, ratings, checks and times."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import key_ascii
+from .text import search_key
 
 YEAR_MIN, YEAR_MAX = 1900, 2030
 
@@ -32,120 +32,9 @@ def parse_title(title: Column, preferred: Column) -> Column:
     return F.struct(best.alias("title"), parts.alias("aliases"), original.alias("original"), year.alias("year"))
 
 
-#: ordered rules, first match decides
-QUALITY = [(r"(?i)(2160p|4k|uhd)", "2160p"), (r"(?i)1080[pi]", "1080p"), (r"(?i)720p", "720p"), (r"(?i)(480p|576p)", "480p")]
-SOURCE = [(r"(?i)remux", "remux"), (r"(?i)(blu-?ray|bdrip|brrip)", "bluray"), (r"(?i)web-?(dl|rip)?\b", "web"), (r"(?i)hdtv", "hdtv"), (r"(?i)dvd", "dvd")]
-HDR = [(r"(?i)(dolby ?vision|(?<![a-z])dv(?![a-z]))", "dv"), (r"(?i)hdr10\+", "hdr10+"), (r"(?i)hdr", "hdr"), (r"(?i)(?<![a-z])sdr(?![a-z])", "sdr")]
-CODEC = [(r"(?i)(hevc|[hx]\.?265)", "hevc"), (r"(?i)(avc|[hx]\.?264)", "avc"), (r"(?i)av1", "av1")]
-AUDIO = [(r"(?i)atmos", "atmos"), (r"(?i)truehd", "truehd"), (r"(?i)dts(-?hd)?", "dts"), (r"(?i)(dd\+|ddp|eac3)", "dd+"), (r"(?i)aac", "aac"), (r"(?i)flac", "flac")]
-KINDS = [(r"(?i)(season|series|(?<![a-z])s[0-9]{1,2}|episode|(?<![a-z])e[0-9]{1,3}|第.{1,3}[季集])", "tv"), (r"(?i)(movie|film|电影)", "movie")]
-
-
-def first_rule(c: Column, rules: list[tuple[str, str]]) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, value in reversed(rules):
-        out = F.when(c.rlike(pattern), value).otherwise(out)
-    return out
-
-
-def all_rules(c: Column, rules: list[tuple[str, str]]) -> Column:
-    return F.array_sort(F.array_compact(F.array(*[F.when(c.rlike(p), v) for p, v in rules])))
-
-
-def parse_edition(c: Column) -> Column:
-    """struct of season and episode ranges, completeness, quality, source, hdr, codec and audio set of a fragment."""
-    one = lambda p, g=1: nullable_extract(c, p, g).try_cast("int")
-    season = r"(?i)(?<![a-z])s([0-9]{1,2})(?:\s?-\s?s?([0-9]{1,2}))?"
-    episode = r"(?i)e([0-9]{1,4})(?:\s?-\s?e?([0-9]{1,4}))?"
-    s1, e1 = one(season), one(episode)
-    return F.struct(
-        s1.alias("season_from"), F.coalesce(one(season, 2), s1).alias("season_to"), e1.alias("episode_from"), F.coalesce(one(episode, 2), e1).alias("episode_to"),
-        c.rlike(r"(?i)(complete|全[0-9]*集)").alias("complete"), first_rule(c, QUALITY).alias("quality"), first_rule(c, SOURCE).alias("source"),
-        first_rule(c, HDR).alias("hdr"), first_rule(c, CODEC).alias("codec"), all_rules(c, AUDIO).alias("audio"),
-    )
-
-
-def merge_editions(*editions: Column) -> Column:
-    """Per field the first non-null one; audio sets are united."""
-    names = ["season_from", "season_to", "episode_from", "episode_to", "quality", "source", "hdr", "codec"]
-    audio = editions[0]["audio"]
-    complete = editions[0]["complete"]
-    for e in editions[1:]:
-        audio, complete = F.array_union(audio, e["audio"]), complete | e["complete"]
-    return F.struct(*[F.coalesce(*[e[n] for e in editions]).alias(n) for n in names], complete.alias("complete"), F.array_sort(audio).alias("audio"))
-
-
-def fingerprint(e: Column) -> Column:
-    """The edition's identity within its item; "unspecified" where nothing is known."""
-    span = lambda p, a, b: F.when(e[a].isNotNull(), F.concat(F.lit(p), e[a].cast("string"), F.lit("-"), e[b].cast("string"))).otherwise(F.lit(f"{p}?"))
-    nothing = F.coalesce(*[e[n].cast("string") for n in ("season_from", "episode_from", "quality", "source", "hdr", "codec")]).isNull() & ~e["complete"] & (F.size(e["audio"]) == 0)
-    parts = [span("s", "season_from", "season_to"), span("e", "episode_from", "episode_to"), F.when(e["complete"], "full").otherwise("part")]
-    parts += [F.coalesce(e[n], F.lit("?")) for n in ("quality", "source", "hdr", "codec")] + [F.concat(F.lit("a="), F.array_join(e["audio"], "+"))]
-    return F.when(nothing, "unspecified").otherwise(F.concat_ws("|", *parts))
-
-
-def edition_label(e: Column) -> Column:
-    """S01E01-E06 · 1080p · web, without what is missing."""
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    season = F.concat(F.lit("S"), two(e["season_from"]), F.when(e["season_to"] > e["season_from"], F.concat(F.lit("-S"), two(e["season_to"]))).otherwise(""))
-    episode = F.concat(F.lit("E"), two(e["episode_from"]), F.when(e["episode_to"] > e["episode_from"], F.concat(F.lit("-E"), two(e["episode_to"]))).otherwise(""))
-    head = F.nullif(F.concat(F.coalesce(season, F.lit("")), F.coalesce(episode, F.lit(""))), F.lit(""))
-    return F.concat_ws(" · ", head, e["quality"], e["source"], e["hdr"], e["codec"])
-
-
-def item_kind(c: Column) -> Column:
-    return F.coalesce(first_rule(c, KINDS), F.lit("unknown"))
-
-
 def identity(kind: Column, external: Column, title: Column, year: Column) -> Column:
-    """ext:kind:id, else title:key:year|0:kind."""
-    return F.when(external.isNotNull(), F.concat_ws(":", F.lit("ext"), kind, external.cast("string"))).otherwise(F.concat_ws(":", F.lit("title"), key_ascii(title), F.coalesce(year, F.lit(0)).cast("string"), kind))
-
-
-def mask_code(c: Column) -> Column:
-    return F.when(F.length(c) <= 4, F.lit("…")).otherwise(F.concat(F.substring(c, 1, 3), F.lit("…"), F.substring(c, -1, 1)))
-
-
-CODE_KEYS = ["pwd", "password", "code", "ref"]
-
-
-def sorted_query(c: Column) -> Column:
-    """Query pairs in order, without access codes and tracking keys."""
-    pairs = F.filter(F.split(F.coalesce(c, F.lit("")), "&"), lambda x: (x != "") & ~F.split(x, "=")[0].isin(*CODE_KEYS))
-    return F.array_join(F.array_sort(pairs), "&")
-
-
-def canonical_url(c: Column) -> Column:
-    """host/path?sorted query, without scheme, www., m., fragment, .html and trailing slash."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(c, r"^[a-z]+://([^/?#]+)", 1)), r"^(www|m)\.", "")
-    path = F.regexp_replace(F.regexp_extract(c, r"^[a-z]+://[^/?#]+([^?#]*)", 1), r"(\.html)?/*$", "")
-    q = sorted_query(F.regexp_extract(c, r"\?([^#]*)", 1))
-    return F.concat(host, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-
-
-PROVIDERS = {".example.com": "com", ".example.net": "net", ".example.org": "org"}
-
-
-def provider_of(c: Column) -> Column:
-    host = F.lower(F.regexp_extract(c, r"^https?://([^/?#:]+)", 1))
-    out = F.when(c.rlike("^magnet:"), "magnet").when(c.rlike("^ed2k:"), "ed2k").when(host == "", None)
-    for suffix, name in PROVIDERS.items():
-        out = out.when(F.endswith(host, F.lit(suffix)), name)
-    return out.otherwise("other")
-
-
-def access_code(url: Column) -> Column:
-    """The fragment's code overrides the query's first one."""
-    q = nullable_extract(url, r"[?&](?:pwd|password|code)=([^&#]+)")
-    return F.coalesce(nullable_extract(url, r"#(?:.*&)?(?:pwd|password|code)=([^&]+)"), q)
-
-
-def canonical_hash(c: Column) -> Column:
-    return F.sha2(c, 256)
-
-
-def public_id(c: Column) -> Column:
-    return F.substring(F.translate(F.base64(F.unhex(F.sha2(c, 256))), "+/", "-_"), 1, 22)
+    """ext:kind:id, else title:key:year|0:kind; the key keeps the letters of every script."""
+    return F.when(external.isNotNull(), F.concat_ws(":", F.lit("ext"), kind, external.cast("string"))).otherwise(F.concat_ws(":", F.lit("title"), search_key(title), F.coalesce(year, F.lit(0)).cast("string"), kind))
 
 
 def ratings_kept(kind: str, score: Column, votes: Column) -> Column:
@@ -180,7 +69,7 @@ def tolerant_int(c: Column) -> Column:
 
 
 def alias_conflict(a: Column, b: Column) -> Column:
-    x, y = key_ascii(a), key_ascii(b)
+    x, y = search_key(a), search_key(b)
     return (x != "") & (y != "") & ~F.contains(x, y) & ~F.contains(y, x)
 
 
@@ -190,11 +79,6 @@ def check_delay(status: Column, unknowns: Column) -> Column:
     return F.when(status == "valid", 14 * day).when(status == "invalid", 7 * day).when(unknowns >= 5, 7 * day).otherwise(day)
 
 
-def classify_response(code: Column, body: Column) -> Column:
-    """status:reason of a probe."""
-    return F.when(code.isin(404, 410), "invalid:gone").when(code == 429, "unknown:rate_limited").when(code >= 500, "unknown:server").when((code == 200) & F.contains(body, F.lit("expired")), "invalid:expired").when(code == 200, "valid:ok").otherwise("unknown:other")
-
-
 def event_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]), 256)
 

@@ -95,6 +95,12 @@ def fold_column(c: Column, charmap: dict[str, str] | None = None) -> Column:
     return F.when(latin, plain).otherwise(general(F.when(~latin, c)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it. Keeps large expressions from being copied into
+    each of their uses; body cannot hold Python functions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def key_ascii(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 

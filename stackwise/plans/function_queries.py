@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from ..functions import editions as E
+from ..functions import links as L
 from ..functions import text as T
+from ..operators import remote
 from ..sources.catalog import table
 
 QUERIES: dict = {}
@@ -69,83 +72,160 @@ def x4_parse_title(spark, d):
     return p.select("p_partkey", "x.title", F.array_join("x.aliases", ";").alias("aliases"), "x.original")
 
 
-REMARKS = "(SELECT p_partkey, p_name || ' ' || ['S01E02-E05 1080p WEB-DL', 's2 2160p HDR10+ hevc Atmos', 'complete 720p BluRay x264 DTS', 'dv remux TrueHD', 'plain', 'E7 480p AAC sdr'][1 + p_partkey % 6] AS r, ['', 'uhd', 'DDP hdr', 'S3-S4'][1 + p_size % 4] AS f FROM part)"
+# every part is an edition with one of these remarks and titles; the SQL states what each says
+REMARKS = ["S01E02-E05 1080p WEB-DL DDP5.1 HEVC", "第二季 第3集 【2160p】 杜比视界 HDR 内封简繁", "全3季 蓝光 DTS-HD MA 7.1 豆瓣8.5", "12集全 720p HDTV 国语 中字 H264", "Se7en", "[E7-E9] 480p AAC SDR 60FPS NF", ""]
+NAMES = ["", "Season 4 UHD REMUX", "１０８０ｐ 全集", "纪录 SDR AV1"]
+EDITIONS = """WITH r(k, season_from, season_to, episode_from, episode_to, quality, source, hdr, codec, complete, audio, subtitle, tags) AS (VALUES
+  (0, 1, 1, 2, 5, '1080p', 'webdl', NULL, 'hevc', false, 'ddp5.1', '', ''), (1, 2, 2, 3, 3, '2160p', NULL, 'dv_hdr', NULL, false, '', 'embedded:zh-hans+zh-hant', ''),
+  (2, 1, 3, NULL, NULL, NULL, 'bluray', NULL, NULL, true, 'dtshdma7.1', '', 'douban:8.5'), (3, NULL, NULL, 1, 12, '720p', 'hdtv', NULL, 'avc', true, 'mandarin', 'zh', ''),
+  (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, '', '', ''), (5, NULL, NULL, 7, 9, 'other', 'webdl', 'sdr', NULL, false, 'aac', '', '60fps+src:netflix'),
+  (6, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, '', '', '')),
+n(k, season_from, season_to, quality, source, hdr, codec, complete, cue) AS (VALUES (0, NULL, NULL, NULL, NULL, NULL, NULL, false, false), (1, 4, 4, '2160p', 'remux', NULL, NULL, false, false),
+  (2, NULL, NULL, '1080p', NULL, NULL, NULL, true, false), (3, NULL, NULL, NULL, NULL, 'sdr', 'av1', false, true)),
+e AS (SELECT p_partkey, r.k AS rk, coalesce(r.season_from, n.season_from) AS season_from, coalesce(r.season_to, n.season_to) AS season_to, episode_from, episode_to, coalesce(r.quality, n.quality) AS quality,
+  coalesce(r.source, n.source) AS source, coalesce(r.hdr, n.hdr) AS hdr, coalesce(r.codec, n.codec) AS codec, r.complete OR n.complete AS complete, audio, subtitle, tags, r.k = 4 AS unparsed, cue
+  FROM part JOIN r ON r.k = p_partkey % 7 JOIN n ON n.k = p_size % 4)
+"""
 
 
 def remarks(spark, d):
-    a = F.array(*map(F.lit, ["S01E02-E05 1080p WEB-DL", "s2 2160p HDR10+ hevc Atmos", "complete 720p BluRay x264 DTS", "dv remux TrueHD", "plain", "E7 480p AAC sdr"]))
-    b = F.array(*map(F.lit, ["", "uhd", "DDP hdr", "S3-S4"]))
-    return table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.get(a, (F.col("p_partkey") % 6).cast("int"))).alias("r"), F.get(b, F.col("p_size") % 4).alias("f"))
+    pick = lambda xs, i: F.get(F.array(*map(F.lit, xs)), i.cast("int"))
+    return table(spark, d, "part").select("p_partkey", pick(REMARKS, F.col("p_partkey") % 7).alias("r"), pick(NAMES, F.col("p_size") % 4).alias("f"))
 
 
-def _sql_rules(c: str, rules) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{v}'" for p, v in rules if "(?<" not in p) + " END"
+FIELDS = [*E.SCALARS, "complete"]
 
 
-_SQL_HDR = "CASE WHEN regexp_matches({c}, '(?i)(dolby ?vision|(^|[^a-z])dv([^a-z]|$))') THEN 'dv' WHEN regexp_matches({c}, '(?i)hdr10\\+') THEN 'hdr10+' WHEN regexp_matches({c}, '(?i)hdr') THEN 'hdr' WHEN regexp_matches({c}, '(?i)(^|[^a-z])sdr([^a-z]|$)') THEN 'sdr' END"
+@query(EDITIONS + f"SELECT p_partkey, r.{', r.'.join(FIELDS)}, audio, subtitle, tags FROM part JOIN r ON r.k = p_partkey % 7")
+def x6_parse_fragment(spark, d):
+    e = remarks(spark, d).select("p_partkey", E.parse_fragment(E.prepared(F.col("r"))).alias("e"))
+    return e.select("p_partkey", *[f"e.{n}" for n in FIELDS], *[F.array_join(f"e.{n}", "+").alias(n) for n in E.SETS])
 
 
-@query(f"SELECT p_partkey, {_sql_rules('r', C.QUALITY)} AS quality, {_sql_rules('r', C.SOURCE)} AS source, {_SQL_HDR.format(c='r')} AS hdr, {_sql_rules('r', C.CODEC)} AS codec, TRY_CAST(nullif(regexp_extract(r, '(?i)e([0-9]{{1,4}})', 1), '') AS INT) AS episode_from FROM {REMARKS}")
-def x6_parse_fragment(spark, d):
-    e = remarks(spark, d).select("p_partkey", C.parse_edition(F.col("r")).alias("e"))
-    return e.select("p_partkey", "e.quality", "e.source", "e.hdr", "e.codec", "e.episode_from")
+def editions(spark, d):
+    return remarks(spark, d).select("*", E.parse_edition(F.col("r"), F.col("f")).alias("e"))
 
 
-@query(f"SELECT p_partkey, coalesce({_sql_rules('r', C.QUALITY)}, {_sql_rules('f', C.QUALITY)}) AS quality, coalesce({_SQL_HDR.format(c='r')}, {_SQL_HDR.format(c='f')}) AS hdr FROM {REMARKS}")
+@query(EDITIONS + f"SELECT p_partkey, {', '.join(FIELDS)}, unparsed FROM e")
 def x7_merge_editions(spark, d):
-    e = remarks(spark, d).select("p_partkey", C.merge_editions(C.parse_edition(F.col("r")), C.parse_edition(F.col("f"))).alias("e"))
-    return e.select("p_partkey", "e.quality", "e.hdr")
+    return editions(spark, d).select("p_partkey", *[f"e.{n}" for n in FIELDS], "e.unparsed")
 
 
-@query(None)
+@query(EDITIONS + """, f AS (SELECT *, CASE WHEN tags LIKE '60fps%' THEN '60fps' ELSE '' END AS x FROM e)
+SELECT p_partkey, CASE WHEN coalesce(season_from, episode_from) IS NULL AND coalesce(quality, source, hdr, codec) IS NULL AND NOT complete AND audio || subtitle || tags = '' AND NOT unparsed THEN 'unspecified'
+  ELSE concat_ws('|', coalesce('s' || season_from || '-' || season_to, 's?'), coalesce('e' || episode_from || '-' || episode_to, 'e?'), CASE WHEN complete THEN 'full' ELSE 'part' END, coalesce(quality, '?'), coalesce(source, '?'),
+    coalesce(hdr, '?'), coalesce(codec, '?'), 'a=' || audio, 't=' || subtitle, 'x=' || x) END AS fingerprint,
+  concat_ws(' · ', nullif(coalesce('S' || lpad(season_from::VARCHAR, 2, '0') || CASE WHEN season_to > season_from THEN '-S' || lpad(season_to::VARCHAR, 2, '0') ELSE '' END, '') ||
+    coalesce('E' || lpad(episode_from::VARCHAR, 2, '0') || CASE WHEN episode_to > episode_from THEN '-E' || lpad(episode_to::VARCHAR, 2, '0') ELSE '' END, ''), ''), quality, source, hdr, codec) AS label FROM f""")
 def x10_fingerprint(spark, d):
-    e = remarks(spark, d).select("p_partkey", C.merge_editions(C.parse_edition(F.col("r")), C.parse_edition(F.col("f"))).alias("e"))
-    return e.select("p_partkey", C.fingerprint(F.col("e")).alias("fingerprint"), C.edition_label(F.col("e")).alias("label"))
+    return editions(spark, d).select("p_partkey", E.fingerprint(F.col("e")).alias("fingerprint"), E.edition_label(F.col("e")).alias("label"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN regexp_matches(r, '(?i)(season|series|(^|[^a-z])s[0-9]{{1,2}}|episode|(^|[^a-z])e[0-9]{{1,3}})') THEN 'tv' WHEN regexp_matches(r, '(?i)(movie|film)') THEN 'movie' ELSE 'unknown' END AS kind FROM {REMARKS}")
+@query(EDITIONS + "SELECT p_partkey, CASE WHEN season_from IS NOT NULL OR episode_from IS NOT NULL OR complete THEN 'tv' WHEN cue THEN 'unknown' ELSE 'movie' END AS kind FROM e")
 def x8_item_kind(spark, d):
-    return remarks(spark, d).select("p_partkey", C.item_kind(F.col("r")).alias("kind"))
+    return editions(spark, d).select("p_partkey", E.item_kind(F.col("e"), F.concat_ws(" ", "r", "f")).alias("kind"))
+
+
+@query(EDITIONS + """SELECT p_partkey, CASE quality WHEN '2160p' THEN '4K' WHEN '1080p' THEN '1080p' WHEN '720p' THEN '720p' END AS resolution,
+  CASE hdr WHEN 'dv_hdr' THEN 'DV/HDR' WHEN 'sdr' THEN 'SDR' END AS dynamic_range, CASE source WHEN 'webdl' THEN 'WEB-DL' WHEN 'bluray' THEN 'BluRay' WHEN 'remux' THEN 'BDRemux' WHEN 'hdtv' THEN 'HDTV' END AS source FROM e""")
+def x16_specs(spark, d):
+    e = editions(spark, d).select("p_partkey", E.spec_chips(F.col("e.quality"), F.col("e.hdr"), F.col("e.source")).alias("x"))
+    return e.select("p_partkey", "x.*")
+
+
+SAID = ["S01E01-E10 首更", "第二季 24集 完结", "第3集", "合集", "S1-S3 全集", "", "更新中 第十一季"]
+COMPOSED = """WITH s(k, kind, seasons, episode_start, episode_end, episode_count, completion, confidence) AS (VALUES (0, 'season_partial', '1', 1, 10, 10, 'updating', 'declared'), (1, 'season_complete', '2', NULL, NULL, 24, 'complete', 'declared'),
+  (2, 'episode_single', '', 3, 3, 1, 'unknown', 'declared'), (3, 'collection', '', NULL, NULL, NULL, 'unknown', 'declared'), (4, 'season_complete', '1,2,3', NULL, NULL, NULL, 'complete', 'declared'),
+  (5, 'unknown', '', NULL, NULL, NULL, 'unknown', 'unknown'), (6, 'season_partial', '11', NULL, NULL, NULL, 'updating', 'declared'))
+SELECT p_partkey, CASE WHEN f AND k = 3 THEN 'episode_range' WHEN f AND k = 5 THEN 'episode_range' WHEN f AND k IN (4, 6) THEN kind ELSE kind END AS kind, CASE WHEN f AND k IN (3, 5) THEN '2' ELSE seasons END AS seasons,
+  CASE WHEN f AND k IN (3, 4, 5, 6) THEN 5 ELSE episode_start END AS episode_start, CASE WHEN f AND k IN (3, 4, 5, 6) THEN 7 ELSE episode_end END AS episode_end,
+  CASE WHEN f AND k IN (3, 4, 5, 6) THEN 2 ELSE episode_count END AS episode_count, completion, CASE WHEN f AND k IN (3, 4, 5, 6) THEN 'file_inferred' ELSE confidence END AS confidence
+FROM (SELECT p_partkey, p_size % 2 = 0 AS f, s.* FROM part JOIN s ON s.k = p_partkey % 7)"""
+
+
+@query(COMPOSED)
+def x36_composition(spark, d):
+    text = F.get(F.array(*map(F.lit, SAID)), (F.col("p_partkey") % 7).cast("int"))
+    files = F.when(F.col("p_size") % 2 == 0, F.array(*map(F.lit, ["Show.S02E07.mkv", "show s02e05.MP4", "S09E09.txt", "notes.mkv"]))).otherwise(F.array().cast("array<string>"))
+    c = table(spark, d, "part").select("p_partkey", E.composition(text, files).alias("c"))
+    return c.select("p_partkey", "c.kind", F.array_join("c.seasons", ",").alias("seasons"), "c.episode_start", "c.episode_end", "c.episode_count", "c.completion", "c.confidence")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 30 THEN 'ext:' || p_type || ':' || p_size ELSE 'title:' || regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || ':' || coalesce(CASE WHEN p_size > 10 THEN p_size END, 0) || ':' || p_type END AS identity FROM part")
+WORKS = "CASE p_partkey % 3 WHEN 0 THEN '黑客 ' || p_brand WHEN 1 THEN 'Été, ' || p_brand ELSE p_name END"
+
+
+def works():
+    k = F.col("p_partkey") % 3
+    return F.when(k == 0, F.concat(F.lit("黑客 "), "p_brand")).when(k == 1, F.concat(F.lit("Été, "), "p_brand")).otherwise(F.col("p_name"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size > 30 THEN 'ext:' || p_type || ':' || p_size ELSE 'title:' || regexp_replace(lower({WORKS}), '[^\\p{{L}}0-9]', '', 'g') || ':' || coalesce(CASE WHEN p_size > 10 THEN p_size END, 0) || ':' || p_type END AS identity FROM part")
 def x9_identity(spark, d):
-    return table(spark, d, "part").select("p_partkey", C.identity(F.col("p_type"), F.when(F.col("p_size") > 30, F.col("p_size")), F.col("p_name"), F.when(F.col("p_size") > 10, F.col("p_size"))).alias("identity"))
+    return table(spark, d, "part").select("p_partkey", C.identity(F.col("p_type"), F.when(F.col("p_size") > 30, F.col("p_size")), works(), F.when(F.col("p_size") > 10, F.col("p_size"))).alias("identity"))
+
+
+# every part has one of these links; the SQL states what each stands for
+LINKS = [
+    ("HTTPS://115.com/s/swz{k}?password=ab{k}#x", "115", "115:swz{k}", "ab{k}"), ("http://www.115cdn.com/s/swz{k}", "115", "115:swz{k}", None), ("https://pan.quark.cn/s/q{k}#pwd=z{k}", "quark", "quark:q{k}", "z{k}"),
+    ("https://www.alipan.com/s/a{k}/folder/f1", "alipan", "alipan:a{k}/folder/f1", None), ("https://pan.baidu.com/s/1b{k}?pwd=c{k}", "baidu", "baidu:b{k}", "c{k}"), ("https://pan.baidu.com/share/init?surl=b{k}&pwd=", "baidu", "baidu:b{k}", None),
+    ("https://cloud.189.cn/web/share?code=t{k}&b=2&a=1&accessCode=d{k}", "tianyicloud", "tianyicloud:cloud.189.cn/web/share?a=1&b=2&code=t{k}", "d{k}"), ("https://guangyapan.com/g/{k}?y=2&x=%20", "guangya", "guangya:/g/{k}?x= &y=2", None),
+    ("https://yun.139.com/m/i?{k}", "139cloud", "139cloud:/m/i?{k}=", None), ("https://www.123pan.com/s/n{k}.html?pwd=e{k}", "123", "123:/s/n{k}.html", "e{k}"),
+    ("ed2k://|file|Some%20film.mkv|123|0123456789ABCDEF0123456789ABCDEF|/", "ed2k", "ed2k:0123456789abcdef0123456789abcdef", None), ("magnet:?xt=urn:btih:ABC{k}&dn=a%20b", "ed2k", "ed2k:abc{k}", None),
+    ("https://other.org/s/{k}?pwd=f{k}", "unknown", None, "f{k}"), ("ftp://115.com/s/{k}", "unknown", None, None), ("HTTP://b.com/y?z={k}", "unknown", None, None), ("text {k}", "unknown", None, None),
+]
+
+
+def _filled(template: str | None) -> str:
+    return "NULL" if template is None else "'" + template.replace("{k}", "' || p_partkey || '") + "'"
+
+
+LINKED = "(SELECT p_partkey, " + ", ".join("CASE p_partkey % 16 " + " ".join(f"WHEN {i} THEN {_filled(x[n])}" for i, x in enumerate(LINKS)) + f" END AS {name}" for n, name in enumerate(["url", "provider", "share", "code"])) + " FROM part)"
 
 
-CANON = r"""regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^(www|m)\.', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '(\.html)?/*$', '') ||
-  CASE WHEN q <> '' THEN '?' || q ELSE '' END"""
-PAGES_Q = r"(SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND string_split(x, '=')[1] NOT IN ('pwd', 'password', 'code', 'ref'))), '&') AS q FROM pages)"
+def linked(spark, d):
+    urls = F.get(F.array(*[F.lit(x[0]) for x in LINKS]), (F.col("p_partkey") % 16).cast("int"))
+    p = table(spark, d, "part").select("p_partkey", F.replace(urls, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("url"))
+    return p.select("p_partkey", "url", L.parse_link(F.col("url"), F.when(F.col("p_partkey") % 5 == 0, "own").otherwise("NULL")).alias("x"))
 
 
-@query(f"SELECT page_id, {CANON} AS canonical FROM {PAGES_Q}")
+@query(f"SELECT p_partkey, provider, coalesce(share, 'unknown:' || sha256(url)) AS canonical, coalesce(code, CASE WHEN p_partkey % 5 = 0 THEN 'own' END) AS access_code, code IS NOT NULL AND p_partkey % 5 = 0 AS conflict FROM {LINKED}")
+def x11_parse_link(spark, d):
+    return linked(spark, d).select("p_partkey", "x.provider", "x.canonical", "x.access_code", "x.conflict")
+
+
+@query("SELECT page_id, 'unknown' AS provider, 'unknown:' || sha256(trim(url)) AS canonical, '未知来源 · ' || regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS label FROM pages")
 def x11_canonical_url(spark, d):
-    return table(spark, d, "pages").select("page_id", C.canonical_url(F.col("url")).alias("canonical"))
+    p = table(spark, d, "pages").select("page_id", L.parse_link(F.col("url")).alias("x"))
+    return p.select("page_id", "x.provider", "x.canonical", "x.label")
 
 
-@query(r"SELECT page_id, CASE WHEN host LIKE '%.example.com' THEN 'com' WHEN host LIKE '%.example.net' THEN 'net' WHEN host LIKE '%.example.org' THEN 'org' WHEN host = '' THEN NULL ELSE 'other' END AS provider FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages)")
+@query(f"SELECT provider, count(*) AS n FROM {LINKED} GROUP BY 1")
 def x11_provider(spark, d):
-    return table(spark, d, "pages").select("page_id", C.provider_of(F.col("url")).alias("provider"))
+    return linked(spark, d).groupBy("x.provider").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN provider <> 'unknown' THEN 'save,open' WHEN url LIKE 'text%' OR url LIKE 'ftp%' THEN '' ELSE 'open,copy' END AS actions FROM (SELECT * FROM {LINKED}) WHERE true")
+def x41_actions(spark, d):
+    special = {p: ["save", "open"] for p in [*L.LABELS, "ed2k"]}
+    return linked(spark, d).select("p_partkey", F.array_join(L.link_actions(F.col("x.provider"), F.col("x.label"), special), ",").alias("actions"))
+
+
+PAGES_Q = r"(SELECT *, array_to_string(list_sort(list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ('pwd', 'password', 'accesscode')), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)), '&') AS q FROM pages)"
 
 
 @query("SELECT p_partkey, CASE WHEN length(p_type) <= 4 THEN '…' ELSE substr(p_type, 1, 3) || '…' || right(p_type, 1) END AS masked FROM part")
 def x12_mask(spark, d):
-    return table(spark, d, "part").select("p_partkey", C.mask_code(F.col("p_type")).alias("masked"))
+    return table(spark, d, "part").select("p_partkey", L.mask_code(F.col("p_type")).alias("masked"))
 
 
 @query(f"SELECT page_id, q AS query FROM {PAGES_Q}")
 def x13_sorted_query(spark, d):
-    return table(spark, d, "pages").select("page_id", C.sorted_query(F.regexp_extract("url", r"\?([^#]*)", 1)).alias("query"))
+    return table(spark, d, "pages").select("page_id", L.sorted_query(F.regexp_extract("url", r"\?([^#]*)", 1)).alias("query"))
 
 
 @query("SELECT page_id, sha256(url) AS hash, substr(translate(to_base64(unhex(sha256(url))), '+/', '-_'), 1, 22) AS public_id FROM pages")
 def x14_hash_and_public_id(spark, d):
-    return table(spark, d, "pages").select("page_id", C.canonical_hash(F.col("url")).alias("hash"), C.public_id(F.col("url")).alias("public_id"))
-
-
-@query("SELECT p_partkey, concat_ws(' ', CASE WHEN p_name LIKE '%red%' THEN 'Red' END, CASE WHEN p_type LIKE '%PROMO%' THEN 'Promo' END, CASE WHEN p_size > 25 THEN 'Large' END) AS specs FROM part")
-def x16_specs(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.when(F.contains("p_name", F.lit("red")), "Red"), F.when(F.contains("p_type", F.lit("PROMO")), "Promo"), F.when(F.col("p_size") > 25, "Large")).alias("specs"))
+    return table(spark, d, "pages").select("page_id", L.canonical_hash(F.col("url")).alias("hash"), L.public_id(F.col("url")).alias("public_id"))
 
 
 RATED = "(SELECT p_partkey AS id, round((p_retailprice - 950) / 50, 2) AS s1, p_size - 20 AS v1, p_size % 11 AS s2, p_partkey % 3 AS v2 FROM part)"
@@ -224,10 +304,10 @@ def x30_split_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(split_links(cell)).alias("n", "fragment"))
 
 
-@query("SELECT p_partkey, NOT contains(a, b) AND NOT contains(b, a) AS conflict FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS a, CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE lower(p_type) END AS b FROM part)")
+@query(f"SELECT p_partkey, NOT contains(a, b) AND NOT contains(b, a) AS conflict FROM (SELECT p_partkey, regexp_replace(lower({WORKS}), '[^\\p{{L}}0-9]', '', 'g') AS a, CASE p_size % 3 WHEN 0 THEN '黑客' WHEN 1 THEN 'été' ELSE lower(p_type) END AS b FROM part)")
 def x31_alias_conflict(spark, d):
-    b = F.when(F.col("p_size") % 2 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_type"))
-    return table(spark, d, "part").select("p_partkey", C.alias_conflict(F.col("p_name"), b).alias("conflict"))
+    b = F.when(F.col("p_size") % 3 == 0, "黑客").when(F.col("p_size") % 3 == 1, "É t é").otherwise(F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", C.alias_conflict(works(), b).alias("conflict"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END AS overview FROM documents")
@@ -235,22 +315,20 @@ def x33_overview(spark, d):
     return table(spark, d, "documents").select("doc_id", T.short(F.col("text")).alias("overview"))
 
 
-@query("SELECT event_id, k, CASE WHEN k > 80 THEN 'a' WHEN k > 60 THEN 'b' ELSE 'unknown' END AS provider FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events)")
-def x34_normalise_item(spark, d):
-    k = F.from_json("props", "k bigint")["k"]
-    return table(spark, d, "events").select("event_id", k.alias("k")).withColumn("provider", F.when(F.col("k") > 80, "a").when(F.col("k") > 60, "b").otherwise("unknown"))
+RAW = """CASE event_id % 8 WHEN 0 THEN '"115"' WHEN 1 THEN '189' WHEN 2 THEN '"aliPan"' WHEN 3 THEN '"alipan"' WHEN 4 THEN 'true' WHEN 5 THEN '115.0' WHEN 6 THEN '" 115"' ELSE 'null' END"""
 
 
-@query("SELECT p_partkey, coalesce(CASE p_brand WHEN 'Brand#1' THEN 'one' WHEN 'Brand#2' THEN 'two' WHEN 'Brand#3' THEN 'three' END, 'unknown') AS provider FROM part")
-def x35_map_provider(spark, d):
-    m = F.create_map(*[F.lit(x) for p in (("Brand#1", "one"), ("Brand#2", "two"), ("Brand#3", "three")) for x in p])
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(m, F.col("p_brand")), F.lit("unknown")).alias("provider"))
+@query(f"SELECT event_id, CASE event_id % 8 WHEN 0 THEN '115' WHEN 1 THEN 'tianyicloud' WHEN 2 THEN 'alipan' ELSE 'unknown' END AS provider, json_extract_string(props, '$.k')::BIGINT AS k, 'item ' || event_id AS title FROM events")
+def x34_normalise_item(spark, d):
+    k = F.get_json_object("props", "$.k")
+    item = F.concat(F.lit('{"pan_type": '), F.expr(RAW), F.lit(', "title": " item\\u0020'), F.col("event_id").cast("string"), F.lit(' ", "unlock_points": '), k, F.lit(', "other": [1]}'))
+    x = table(spark, d, "events").select("event_id", remote.normalise_item(item).alias("x"))
+    return x.select("event_id", "x.provider", F.col("x.unlock_points").alias("k"), "x.title")
 
 
-@query(f"SELECT p_partkey, TRY_CAST(nullif(regexp_extract(' ' || r, '(?i)[^a-z]s([0-9]{{1,2}})', 1), '') AS INT) AS season_from, regexp_matches(r, '(?i)complete') AS complete FROM {REMARKS}")
-def x36_composition(spark, d):
-    e = remarks(spark, d).select("p_partkey", C.parse_edition(F.col("r")).alias("e"))
-    return e.select("p_partkey", "e.season_from", "e.complete")
+@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN '115' WHEN 1 THEN 'tianyicloud' WHEN 2 THEN 'alipan' ELSE 'unknown' END AS provider FROM events")
+def x35_map_provider(spark, d):
+    return table(spark, d, "events").select("event_id", L.remote_provider(F.expr(RAW)).alias("provider"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'permanent' WHEN event_type = 'error' THEN 'invalid' WHEN event_type = 'view' AND user_id > 50 THEN 'preview' WHEN event_type <> 'click' THEN event_type ELSE 'unknown' END AS status FROM events")
@@ -266,10 +344,19 @@ def x38_check_delay(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", C.check_delay(status, F.col("s_suppkey") % 8).alias("delay"))
 
 
-@query("SELECT event_id, CASE WHEN c IN (404, 410) THEN 'invalid:gone' WHEN c = 429 THEN 'unknown:rate_limited' WHEN c >= 500 THEN 'unknown:server' WHEN c = 200 AND value > 60 THEN 'invalid:expired' WHEN c = 200 THEN 'valid:ok' ELSE 'unknown:other' END AS verdict FROM (SELECT *, [200, 200, 404, 429, 500, 302, 410][1 + user_id % 7] AS c FROM events)")
+# provider, code, body, verdict
+ANSWERS = [
+    ("tianyicloud", 200, '{"res_code": 0}', "valid:ok"), ("tianyicloud", 200, '{"res_code": "ShareNotFound"}', "invalid:share_not_found"), ("tianyicloud", 200, '{"res_code": false}', "unknown:unmapped_response"), ("tianyicloud", 200, "<html>", "unknown:parse_error"),
+    ("quark", 200, '{"status": 200, "code": 0}', "valid:ok"), ("quark", 404, '{"status": 404, "code": 41012}', "invalid:share_cancelled"), ("quark", 404, '{"code": 41010}', "unknown:unmapped_response"), ("quark", 429, "{}", "unknown:rate_limited"),
+    ("alipan", 200, '{"share_name": "x"}', "valid:ok"), ("alipan", 200, '{"code": "ShareLink.Expired"}', "invalid:share_expired"), ("alipan", 404, "gone", "invalid:share_not_found"), ("alipan", 403, "{}", "unknown:http_4xx"),
+    ("115", 200, '{"state": true}', "valid:ok"), ("115", 200, '{"state": false, "errno": 4100010}', "invalid:share_cancelled"), ("115", 200, '{"state": 0, "error": "请稍后再试"}', "unknown:anti_bot"), ("115", 503, "", "unknown:http_5xx"), ("115", 200, "人机验证", "unknown:anti_bot"), ("other", 200, "{}", "unknown:unsupported"),
+]
+
+
+@query("SELECT event_id, CASE event_id % 18 " + " ".join(f"WHEN {i} THEN '{a[3]}'" for i, a in enumerate(ANSWERS)) + " END AS verdict FROM events")
 def x39_classify(spark, d):
-    code = F.get(F.array(*map(F.lit, [200, 200, 404, 429, 500, 302, 410])), (F.col("user_id") % 7).cast("int"))
-    return table(spark, d, "events").select("event_id", C.classify_response(code, F.when(F.col("value") > 60, "expired").otherwise("")).alias("verdict"))
+    answer = F.get(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(b).alias("b")) for p, c, b, _ in ANSWERS]), (F.col("event_id") % 18).cast("int"))
+    return table(spark, d, "events").select("event_id", answer.alias("a")).select("event_id", L.classify_response(F.col("a.p"), F.col("a.c"), F.col("a.b")).alias("verdict"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(ts + INTERVAL 8 HOUR AS DATE) AS shanghai_day FROM events")
@@ -278,12 +365,6 @@ def x40_iso(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format(ts, "yyyy-MM-dd").alias("day"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), C.local_day(ts).alias("shanghai_day"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 'save,open,copy' WHEN 'A' THEN 'open,copy' ELSE 'copy' END AS actions FROM lineitem WHERE l_orderkey < 2000")
-def x41_actions(spark, d):
-    a = F.when(F.col("l_returnflag") == "R", F.array(*map(F.lit, ("save", "open", "copy")))).when(F.col("l_returnflag") == "A", F.array(F.lit("open"), F.lit("copy"))).otherwise(F.array(F.lit("copy")))
-    return table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(a, ",").alias("actions"))
-
-
 @query("SELECT event_id, sha256(event_type || '|' || user_id || '|' || strftime(ts, '%Y-%m-%d') || '|' || coalesce(CASE WHEN value > 50 THEN event_id END::VARCHAR, 'None')) AS event_key FROM events")
 def x42_event_key(spark, d):
     return table(spark, d, "events").select("event_id", C.event_key(F.col("event_type"), F.col("user_id"), F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("value") > 50, F.col("event_id"))).alias("event_key"))
@@ -299,12 +380,12 @@ def x44_access_code(spark, d):
     k = F.col("page_id")
     u = F.regexp_replace(F.regexp_replace("url", "[?].*$", ""), "#.*$", "")
     u = F.when(F.contains("url", F.lit("#top")), F.concat(u, F.lit("#top"))).when(k % 3 == 0, F.concat(u, F.lit("?pwd=a&x=1#pwd=b"), k.cast("string"))).when(k % 3 == 1, F.concat(u, F.lit("?x=1&pwd=a"), k.cast("string"))).otherwise(u)
-    return table(spark, d, "pages").select("page_id", C.access_code(u).alias("code"))
+    return table(spark, d, "pages").select("page_id", L.code_of(F.regexp_extract(u, r"\?([^#]*)", 1), F.regexp_extract(u, "#(.*)$", 1)).alias("code"))
 
 
-@query("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS clean FROM part")
+@query(f"SELECT p_partkey, regexp_replace(lower({WORKS}), '[^\\p{{L}}0-9]', '', 'g') AS clean FROM part")
 def x45_reclean(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.key_ascii(F.col("p_name")).alias("clean"))
+    return table(spark, d, "part").select("p_partkey", T.search_key(works()).alias("clean"))
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(v, '^[0-9]+$') THEN v::BIGINT END AS n FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE p_type END AS v FROM part)")
@@ -329,9 +410,9 @@ def b6_action(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(m, F.col("p_type")), F.lit("copy")).alias("action"))
 
 
-@query("SELECT p_partkey, sha256(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || '|' || p_type || '|' || p_size) AS query_hash FROM part")
+@query(f"SELECT p_partkey, sha256(regexp_replace(lower({WORKS}), '[^\\p{{L}}0-9]', '', 'g') || '|' || p_type || '|' || p_size) AS query_hash FROM part")
 def b19_query_hash(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.sha2(F.concat_ws("|", T.search_key(F.col("p_name")), "p_type", F.col("p_size").cast("string")), 256).alias("query_hash"))
+    return table(spark, d, "part").select("p_partkey", F.sha2(F.concat_ws("|", T.search_key(works()), "p_type", F.col("p_size").cast("string")), 256).alias("query_hash"))
 
 
 @query("SELECT p_partkey, 'search:' || p_type || ':' || p_name || ':' || p_size AS cache_key FROM part")
