@@ -8,10 +8,11 @@ Links are confirmed on full sets, never on signatures, and no bucket is expanded
 
 1. in ROUNDS rounds, each member of a bucket that is not yet connected to the bucket's pivot (another one each round, the
    smallest id first) is compared with it, and linked documents form components;
-2. the members of buckets that still hold different components are *open*. Two open sets at the threshold must share one
-   of their first n - ceil(threshold * n) + 1 shingles in order of rarity among the open ones, so only those are joined,
-   where components and sizes allow a link; such pairs are compared. Passages that many documents share stand late in
-   that order and make no pairs; what is compared follows the pairs that could be links, not the size of buckets.
+2. the members of buckets that still hold different components are *open*, and compared by their sets in units of two
+   chunks of at most CHUNK members: members of the bucket's largest component against all others, and these among each
+   other, but none with one of its own component. A bucket with k members outside of that component sends k sets for each
+   chunk of the others, so work grows with its *unlinked* members, and shared shingles are counted by matrix products; only
+   links that join components are emitted. Equal buckets are compared once.
 
 Defined results: null text, and text without words, has an empty set, no links and its own id; fewer words than a
 shingle are one shingle; a long text counts whole; a null doc_id gets a null component and is kept; rows with the same
@@ -25,14 +26,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, flat_bytes, join2, materialise, mix64, shared_dir, slices, word_hashes, word_spans
 from .graph import components
 
 PERMUTATIONS = 96
-ROUNDS = 3
+ROUNDS = 2
+CHUNK = 128
+SLAB = 4096
 FACTORS = np.random.default_rng(7001).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 OFFSETS = np.random.default_rng(7002).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
@@ -159,17 +162,56 @@ def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(joined, F.col("comp") == F.col("id"), "left").withColumn("comp", F.coalesce("to", "comp")).drop("id", "to")
 
 
-def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of different components that share one of their rarest shingles and whose sizes allow a link.
-    sets: rep, comp, shingles."""
-    rows = sets.select("rep", "comp", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("s"))
-    df = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    # a shingle that nobody else has still takes its place in the order, but makes no pair
-    ranked = rows.join(df, "s", "left").withColumn("nth", F.row_number().over(Window.partitionBy("rep", "set").orderBy(F.coalesce("df", F.lit(1)), "s")))
-    first = ranked.where(F.col("df").isNotNull() & (F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1)).select("s", "rep", "comp", "n")
-    other = first.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    pairs = first.join(other, "s").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") * 100 >= percent * F.greatest("n", "nb")))
-    return pairs.select(F.col("rep").alias("a"), "b").distinct()
+def unit_checker(percent: int):
+    def step(key, table):
+        """Links that join components, among the pairs of a unit: of chunk u with chunk v, or within one chunk."""
+        u, v = key[1].as_py(), key[2].as_py()
+        ids, comp, chunk = (table[c].to_numpy() for c in ("rep", "comp", "chunk"))
+        sets = table["shingles"].combine_chunks()
+        sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
+        off = sets.offsets.to_numpy().astype(np.int64)
+        flat = sets.values.to_numpy()[off[0] : off[-1]]
+        n, own = np.diff(off), np.repeat(np.arange(len(ids)), np.diff(off))
+        _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+        # a shingle that one member has is shared with none
+        shared = count > 1
+        number = np.cumsum(shared) - 1
+        keep = shared[code]
+        code, own = number[code[keep]], own[keep]
+        order = np.argsort(code, kind="stable")
+        code, own = code[order], own[order]
+        left, right = np.flatnonzero(chunk == u), np.flatnonzero(chunk == v)
+        both = np.zeros((len(left), len(right)), np.float32)
+        cuts = np.searchsorted(code, np.arange(0, int(shared.sum()) + SLAB, SLAB))
+        for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            x = np.zeros((len(ids), SLAB), np.float32)
+            x[own[i:j], code[i:j] - k * SLAB] = 1
+            both += x[left] @ x[right].T
+        good = (both > 0) & (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both))
+        comp = np.unique(comp, return_inverse=True)[1]
+        links = []
+        for i in np.flatnonzero(good.any(axis=1)).tolist():
+            for j in np.flatnonzero(good[i]).tolist():
+                a, b = left[i], right[j]
+                if comp[a] != comp[b]:
+                    links.append((int(ids[a]), int(ids[b])))
+                    comp[comp == comp[b]] = comp[a]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return step
+
+
+def units_of(here: DataFrame) -> DataFrame:
+    """key, u, v, rep, comp, chunk: members of buckets with several components, once for each unit that needs them. here:
+    key, rep, comp. Chunks of the largest component have the numbers from 0, those of the others follow."""
+    parts = here.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("content"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum("content").alias("content"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
+    mixed = mixed.groupBy("content", "m").agg(F.min(F.struct("key", "top")).alias("k")).select("k.key", F.col("k.top.comp").alias("main"), F.ceil(F.col("k.top.c") / CHUNK).cast("int").alias("ca"), F.ceil((F.col("m") - F.col("k.top.c")) / CHUNK).cast("int").alias("cb"))
+    rows = here.join(mixed, "key").withColumn("inside", F.col("comp") == F.col("main"))
+    rows = rows.withColumn("chunk", F.when(F.col("inside"), F.pmod(F.xxhash64("rep"), F.col("ca"))).otherwise(F.col("ca") + F.pmod(F.xxhash64("rep"), F.col("cb"))).cast("int"))
+    first = F.when(F.col("inside"), F.col("ca")).otherwise(0)
+    rows = rows.select("key", "rep", "comp", "chunk", F.explode(F.sequence(first, F.col("ca") + F.col("cb") - 1)).alias("other"))
+    return rows.select("key", F.least("chunk", "other").alias("u"), F.greatest("chunk", "other").alias("v"), "rep", "comp", "chunk")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -202,13 +244,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
         links = confirm(pairs, texts, width, percent, f"links{r}", root)
         nodes = materialise(relabelled(nodes, links.unionByName(same) if r == 0 else links), f"nodes{r + 1}", root)
 
-    here = members.join(nodes.select("rep", "comp"), "rep")
-    mixed = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    still = here.join(mixed, "key", "left_semi").select("rep", "comp").distinct()
+    units = materialise(units_of(members.join(nodes.select("rep", "comp"), "rep")), "units", root)
+    still = units.select("rep", "comp").distinct()
     sets = still.join(texts, F.col("rep") == F.col("tid")).select("rep", "comp", "text").mapInArrow(set_maker(width), "rep long, comp long, shingles array<long>")
-    sets = materialise(sets, "sets", root)
-    links = confirm(rare_pairs(sets, percent), texts, width, percent, "rare", root)
-    nodes = relabelled(nodes, links)
+    sets = materialise(sets.select("rep", "shingles"), "sets", root)
+    links = units.join(sets, "rep").groupBy("key", "u", "v").applyInArrow(unit_checker(percent), "a long, b long")
+    nodes = relabelled(nodes, materialise(links, "links", root))
 
     out = sketch.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "comp"), "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
