@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,7 +24,12 @@ def facets(items: DataFrame, editions: DataFrame, live: DataFrame) -> DataFrame:
         return g.select(picked.alias("p"), "n").select("p.facet", "p.value", "n").where("value is not null")
 
     parts = [counts(shown, ["kind", "year", "genre"]), counts(live, ["provider"]), counts(e, ["quality", "hdr"])]
-    return reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, parts)
+    by_year = F.when(F.col("facet") == "year", -F.col("value").try_cast("int"))
+    by_count = F.when(~F.col("facet").isin("year", "kind"), -F.col("n"))
+    # facets are few values a facet, so ranking them is small
+    w = Window.partitionBy("facet").orderBy(by_year.asc_nulls_last(), by_count.asc_nulls_last(), "value")
+    return rows.withColumn("position", F.row_number().over(w))
 
 
 def status_totals(rows: DataFrame, column: str, known: list[str]) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import first_per_key
+from ..functions.catalog import identity, parse_title
+from ..functions.editions import fingerprint, item_kind, parse_edition
+from ..functions.links import canonical_hash, parse_link
+from ..session import shared_folder
 
 
 def judge_confirmations(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -34,16 +37,65 @@ def split_links(cell: Column) -> Column:
     return F.filter(F.transform(F.split(cell, r"(?=ed2k://|magnet:|https?://)"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def fold_links(rows: DataFrame, key: list[str], order: list, holder: str) -> tuple[DataFrame, DataFrame]:
-    """(links, flags). The first row of a key gives the link its holder and attributes; created is the least of all its
-    rows, deleted the greatest only if every row is deleted. flags: holders that share a link with another one."""
-    first = first_per_key(rows, key, order).select(*key, F.col(holder).alias("holder"))
-    agg = rows.groupBy(*key).agg(
-        F.min("created").alias("created"), F.when(F.count("deleted_at") == F.count("*"), F.max("deleted_at")).alias("deleted_at"),
-        F.count("*").alias("occurrences"), F.countDistinct(holder).alias("holders"),
+def fold_links(rows: DataFrame, key: list[str], order: list[str], holder: str) -> tuple[DataFrame, DataFrame]:
+    """(links, flags). The first row of a key gives the link its holder; created is the least of all its rows, deleted the
+    greatest only if every row is deleted. flags: holders that share a link with another one. Rows combine before they
+    are moved."""
+    links = rows.groupBy(*key).agg(
+        F.min_by(holder, F.struct(*order)).alias("holder"), F.min("created").alias("created"),
+        F.when(F.count("deleted_at") == F.count("*"), F.max("deleted_at")).alias("deleted_at"), F.count("*").alias("occurrences"), F.countDistinct(holder).alias("holders"),
     )
-    shared = rows.join(agg.where("holders > 1").select(*key), key, "left_semi").select(F.col(holder).alias("holder")).distinct()
-    return first.join(agg, key), shared
+    shared = rows.join(links.where("holders > 1").select(*key), key, "left_semi").select(F.col(holder).alias("holder")).distinct()
+    return links, shared
+
+
+def fold_library(rows: DataFrame, known_kinds: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Sheet rows folded into items, editions, links and provenance.
+
+    rows: source_priority, row_no, title, preferred, link, code, note, created, deleted (epoch seconds, null: unknown, and
+    not deleted), and kind, if known_kinds is to drop others. Shifted rows are repaired and cells with several links split.
+    Main rows (source_priority 0) stand in order of created, others in that of their sheet. The first row with a link gives
+    it its edition; a later one adds its times, and another edition only if its own is a different one, which flags both.
+
+    items: identity, title, aliases, original, year, kind. editions: identity, fingerprint, edition, created, reasons.
+    links: provider, link_hash, identity, fingerprint, note, url, label, access_code, occurrences, code_conflicts, created,
+    deleted (only if every row is), shared. provenance: a row for each fragment.
+    """
+    if known_kinds:
+        rows = rows.where(F.col("kind").isin(*known_kinds))
+    r = repair_shifted(rows).select("*", F.posexplode(split_links(F.coalesce("link", F.lit("")))).alias("fragment", "part"))
+    r = r.withColumns({"t": parse_title(F.col("title"), F.col("preferred")), "e": parse_edition(F.coalesce("note", F.lit("")), F.coalesce("title", F.lit(""))), "l": parse_link(F.col("part"), F.col("code"))})
+    kind = item_kind(F.col("e"), F.concat_ws(" ", "title", "preferred", "note"))
+    r = r.withColumns({"kind": kind, "fingerprint": fingerprint(F.col("e")), "link_hash": canonical_hash(F.col("l.canonical")), "provider": F.col("l.provider")})
+    r = r.withColumn("identity", identity(F.col("kind"), F.lit(None).cast("string"), F.col("t.title"), F.col("t.year")))
+    reasons = F.array_compact(F.array(F.when(F.col("e.unparsed"), "unparsed_edition"), F.when(F.col("provider") == "unknown", "unknown_provider"), F.when(F.col("created").isNull(), "timestamp_missing"), F.when(F.col("l.conflict"), "access_code_conflict"), F.when(F.col("repaired"), "shifted_row")))
+    # a number for each place in the order, nulls last
+    main = F.when(F.col("source_priority") == 0, F.coalesce("created", F.lit(2**62))).otherwise(0)
+    r = r.withColumns({"reasons": reasons, "at": F.struct("source_priority", main.alias("by_time"), "row_no", "fragment"), "holder": F.struct("identity", "fingerprint")})
+    # parsed once: several results are made of it
+    path = shared_folder(rows.sparkSession)
+    r.drop("link").write.parquet(path)
+    r = rows.sparkSession.read.parquet(path)
+    key = ["provider", "link_hash"]
+    first = F.min_by(F.struct("holder", "note", F.col("part").alias("url"), F.col("l.label").alias("label"), F.col("l.access_code").alias("access_code")), "at").alias("f")
+    links = r.groupBy(*key).agg(
+        first, F.count("*").alias("occurrences"), F.min("created").alias("created"), F.when(F.count("deleted") == F.count("*"), F.max("deleted")).alias("deleted"),
+        (F.min("holder") != F.max("holder")).alias("shared"),
+    )
+    marked = r.join(links.select(*key, F.col("f.holder").alias("first_holder"), F.col("f.access_code").alias("first_code"), "shared"), key)
+    conflicts = marked.groupBy(*key).agg(F.count_if(F.coalesce(F.col("l.access_code") != F.col("first_code"), F.lit(False))).alias("code_conflicts"))
+    links = links.join(conflicts, key).select(*key, "f.holder.identity", "f.holder.fingerprint", "f.note", "f.url", "f.label", "f.access_code", "occurrences", "code_conflicts", "created", "deleted", "shared")
+    # rows that create something: a link's first one, and those whose edition is another than their link's
+    w = Window.partitionBy(*key).orderBy("at")
+    makers = marked.withColumn("nth", F.row_number().over(w)).where((F.col("nth") == 1) | (F.col("holder") != F.col("first_holder")))
+    told = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("shared"), F.array_union("reasons", F.array(F.lit("link_shared_across_groups")))).otherwise(F.col("reasons"))))))
+    held = links.groupBy("identity", "fingerprint").agg(F.min("created").alias("created"))
+    editions = makers.groupBy("identity", "fingerprint").agg(F.min_by("e", "at").alias("edition"), told.alias("reasons")).join(held, ["identity", "fingerprint"], "left")
+    items = makers.groupBy("identity").agg(
+        F.min_by("t", "at").alias("t"), F.min_by("kind", "at").alias("kind"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("t.aliases")))).alias("aliases"),
+        F.min_by("t.original", F.when(F.col("t.original").isNotNull(), F.col("at"))).alias("original"),
+    ).select("identity", "t.title", "aliases", "original", "t.year", "kind")
+    return {"items": items, "editions": editions, "links": links, "provenance": marked.select("source_priority", "row_no", "fragment", *key, "identity", "fingerprint", "reasons")}
 
 
 def holder_created(links: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(rows: DataFrame, keys: list, order: list) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order. Spark limits each key to one row in every task before rows are moved
+    (WindowGroupLimit), so a hot key sends a row for each task, not all of its rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -17,6 +18,11 @@ def top_per_key(rows: DataFrame, keys: list, order: list, n: int, name: str = "r
     return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
+def sample(rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """n rows in the order of a seeded digest of their key: the same ones however rows are dealt; the limit is the feature."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)
+
+
 def only_singles(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key no other row has."""
     return rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .ranking import first_per_key
 
 
@@ -36,12 +37,23 @@ def merge_monotone(old: DataFrame, new: DataFrame, keys: list[str], never_down:
     return both.select(*keys, *up, *[F.coalesce(f"_{c}", c).alias(c) for c in fill])
 
 
-def assign_ids(rows: DataFrame, natural_key: str, name: str, prefix: int = 2) -> DataFrame:
-    """Deterministic ids: the position of a string key in code point order. Keys are numbered within buckets of their
-    first characters; only the buckets' sizes are ordered in one place, so no task sorts all keys."""
-    keys = rows.select(natural_key).where(F.col(natural_key).isNotNull()).distinct().withColumn("_b", F.substring(natural_key, 1, prefix))
-    sizes = keys.groupBy("_b").agg(F.count("*").alias("_n"))
-    so_far = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
-    numbered = keys.join(before, "_b").withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(natural_key)))
+def row_digest(*columns: str) -> Column:
+    """32 bits of a row's digest, as a number that can be summed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 8), 16, 10).cast("long")
+
+
+def assign_ids(rows: DataFrame, natural_key: str, name: str) -> DataFrame:
+    """Deterministic ids: the position of a string key in code point order.
+
+    Keys are dealt by ranges of sampled bounds, whatever they begin with, and written with their range's number; each range
+    is numbered by itself, after the counts of those before it. Only the counts are ordered in one place.
+    """
+    spark = rows.sparkSession
+    path = shared_folder(spark)
+    keys = rows.select(natural_key).where(F.col(natural_key).isNotNull()).distinct()
+    keys.repartitionByRange(natural_key).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    keys = spark.read.parquet(path)
+    so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = keys.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    numbered = keys.join(before, "_range").withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(natural_key)))
     return rows.join(numbered.select(natural_key, name), natural_key)

@@ -179,7 +179,8 @@ def _filled(template: str | None) -> str:
     return "NULL" if template is None else "'" + template.replace("{k}", "' || p_partkey || '") + "'"
 
 
-LINKED = "(SELECT p_partkey, " + ", ".join("CASE p_partkey % 16 " + " ".join(f"WHEN {i} THEN {_filled(x[n])}" for i, x in enumerate(LINKS)) + f" END AS {name}" for n, name in enumerate(["url", "provider", "share", "code"])) + " FROM part)"
+LINK_SQL = ", ".join("CASE p_partkey % 16 " + " ".join(f"WHEN {i} THEN {_filled(x[n])}" for i, x in enumerate(LINKS)) + f" END AS {name}" for n, name in enumerate(["url", "provider", "share", "code"]))
+LINKED = f"(SELECT p_partkey, {LINK_SQL} FROM part)"
 
 
 def linked(spark, d):

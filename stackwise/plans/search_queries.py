@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ROMAN, build_charmap, fold, strip_marks
-from ..operators import resolve, search
+from ..functions.text import ROMAN, build_charmap, fold, similarity, strip_marks
+from ..operators import remote, resolve, search
 from ..operators.tokens import classify, last_word, token_column
 from ..session import shared_folder
 from ..sources.catalog import table
@@ -217,19 +217,25 @@ def e2_verdict_ladder(spark, d):
 @query("SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size < 30) a FULL JOIN (SELECT p_partkey AS k, p_type AS v FROM part WHERE p_size > 20) b ON a.k = b.k")
 def e3_merge_results(spark, d):
     p = table(spark, d, "part")
-    a = p.where("p_size < 30").selectExpr("p_partkey as k", "p_name as v")
-    b = p.where("p_size > 20").selectExpr("p_partkey as k", "p_type as v")
-    return a.join(b.select("k"), "k", "left_anti").unionByName(b)
+    return remote.merge_results(p.where("p_size < 30").selectExpr("p_partkey as k", "p_name as v"), p.where("p_size > 20").selectExpr("p_partkey as k", "p_type as v"), ["k"])
 
 
-@query("SELECT p_brand, max_by(p_partkey, struct_pack(a := p_size, b := -p_partkey)) AS best FROM part WHERE p_size >= 25 GROUP BY 1")
+NAMES = "(SELECT p_brand, p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_brand WHEN 1 THEN upper(p_brand) WHEN 2 THEN 'zz' ELSE '黑客' END AS name FROM part)"
+
+
+@query(f"SELECT p_brand, p_partkey, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, p_partkey) AS rn FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 1.0 ELSE 0 END AS s FROM {NAMES}) WHERE s >= 0.5) WHERE rn = 1")
 def e4_pick_match(spark, d):
-    return table(spark, d, "part").where("p_size >= 25").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct(F.col("p_size").alias("a"), (-F.col("p_partkey")).alias("b"))).alias("best"))
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("The "), "p_brand")).when(k == 1, F.upper("p_brand")).when(k == 2, "zz").otherwise("黑客")
+    found = table(spark, d, "part").select("p_brand", "p_partkey", name.alias("name"))
+    return remote.pick_match(found, ["p_brand"], "p_partkey", similarity("p_brand", "name"))
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN p_type END, CASE p_brand WHEN 'Brand#1' THEN 'tv' END, 'movie') AS kind FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'tv' WHEN p_size > 30 THEN 'movie' WHEN p_size % 3 = 0 THEN 'tv' WHEN p_size % 3 = 1 THEN 'movie' ELSE 'movie' END AS kind FROM part")
 def e5_expected_kind(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") > 25, F.col("p_type")), F.when(F.col("p_brand") == "Brand#1", "tv"), F.lit("movie")).alias("kind"))
+    kind = F.when(F.col("p_size") > 40, "tv").when(F.col("p_size") > 30, "movie").otherwise("unknown")
+    hint = F.when(F.col("p_size") % 3 == 0, "tvSeries").when(F.col("p_size") % 3 == 1, "tvMovie").otherwise("videoGame")
+    return table(spark, d, "part").select("p_partkey", remote.expected_kind(kind, hint, {"tvSeries": "tv", "tvMiniSeries": "tv", "movie": "movie", "tvMovie": "movie"}).alias("kind"))
 
 
 MERGE = """WITH r AS (SELECT p_name, p_type, p_partkey AS id, p_size % 4 AS rank, CASE WHEN p_size % 3 = 0 THEN p_brand END AS brand, CASE WHEN p_size > 40 THEN p_size END AS size FROM part),
@@ -255,11 +261,13 @@ def e6_fold_groups(spark, d):
     return resolve.fold_groups(g, k, "fp")
 
 
-@query("SELECT n.k, CASE WHEN coalesce(n.rank, 0) < coalesce(o.rank, 0) THEN o.rank ELSE n.rank END AS rank FROM (SELECT p_partkey AS k, p_size % 4 AS rank FROM part) n LEFT JOIN (SELECT s_suppkey AS k, s_nationkey % 5 AS rank FROM supplier) o ON o.k = n.k")
+@query("""WITH n AS (SELECT p_partkey AS k, p_size % 4 AS rank, p_name AS title FROM part), o AS (SELECT s_suppkey AS k, s_nationkey % 5 AS rank, s_name AS title FROM supplier)
+SELECT n.k, CASE WHEN o.rank > n.rank THEN o.rank ELSE n.rank END AS rank, CASE WHEN o.rank > n.rank THEN o.title ELSE n.title END AS title FROM n LEFT JOIN o ON o.k = n.k""")
 def e7_backup_upgrades(spark, d):
-    n = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 4).alias("rank"))
-    o = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") % 5).alias("old"))
-    return n.join(o, "k", "left").select("k", F.greatest("rank", "old").alias("rank"))
+    """A second pass over what staged matching (j11) paired by id: a backup row only replaces one of a lower rank."""
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 4).alias("rank"), F.col("p_name").alias("title"))
+    o = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") % 5).alias("rank"), F.col("s_name").alias("title"))
+    return remote.upgraded(n, o, "k", "rank")
 
 
 @query(INDEX + "SELECT doc_id FROM keys WHERE key = (SELECT key FROM keys WHERE doc_id = 0) AND doc_id % 2 = 0")
@@ -269,8 +277,11 @@ def e8_exact_candidates(spark, d):
     return k.where("doc_id % 2 = 0").join(asked, "key", "left_semi").select("doc_id")
 
 
-@query("SELECT k, name, aliases FROM (SELECT p_partkey AS k, p_name AS name, p_brand AS aliases FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name, '' FROM supplier)")
+@query("""WITH i AS (SELECT c_custkey % 300 AS k, min(c_name) AS name FROM customer WHERE c_custkey % 300 < 200 GROUP BY 1), r AS (SELECT p_partkey % 300 AS k, p_name AS name, p_partkey FROM part),
+n AS (SELECT k, list_sort(list_distinct(list(name))) AS names, arg_min(name, p_partkey) AS first FROM r GROUP BY 1)
+SELECT coalesce(i.k, n.k) AS k, coalesce(i.name, first) AS name, coalesce(array_to_string(list_filter(names, lambda x: x <> coalesce(i.name, first)), ','), '') AS aliases FROM i FULL JOIN n ON n.k = i.k""")
 def e9_promote(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit("").alias("aliases"))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("aliases"))
-    return s.unionByName(p.join(s, "k", "left_anti"))
+    i = table(spark, d, "customer").select((F.col("c_custkey") % 300).alias("k"), F.col("c_name").alias("name")).where("k < 200").groupBy("k").agg(F.min("name").alias("name"))
+    i = i.withColumn("aliases", F.array().cast("array<string>"))
+    r = table(spark, d, "part").select((F.col("p_partkey") % 300).alias("k"), F.col("p_name").alias("name"), "p_partkey")
+    return remote.promote(i, r, ["k"], ["p_partkey"]).withColumn("aliases", F.array_join("aliases", ","))

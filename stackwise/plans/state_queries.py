@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ingest, liveness, ranking
+from ..session import shared_folder
 from ..sources.catalog import SQL, Catalog, table
 from ..streaming import events as S
+from .function_queries import EDITIONS, LINK_SQL, LINKS, REMARKS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,11 +29,6 @@ def stamped(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stackwise-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 RATE = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 w AS (SELECT user_id, rn, event_id, ts AS start, 1 AS attempt FROM e WHERE rn = 1
   UNION ALL
@@ -58,10 +52,10 @@ def r3_provider_budget(spark, d):
     return S.daily_budget(stamped(spark, d), 50, ("event_type",))
 
 
-@query(None)
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def r2_streaming_counts(spark, d):
-    root = scratch(spark)
-    return S.run_to_end(S.streaming_daily_counts(S.read_stream(spark, d)), f"{root}/out", f"{root}/checkpoint")
+    root = shared_folder(spark)
+    return S.run_complete(S.streaming_daily_counts(S.read_stream(spark, d)), f"{root}/out", f"{root}/checkpoint")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (event_type = 'error' AND value > 50) AS retry FROM events WHERE CASE WHEN event_type IN ('view', 'click') THEN 1706400000 - epoch(ts) < 86400 * 10 WHEN event_type = 'error' THEN user_id > 20 ELSE FALSE END")
@@ -80,7 +74,7 @@ def r5_event_dedup(spark, d):
 
 @query("SELECT event_type, count(DISTINCT sha256(event_type || '|' || user_id || '|' || strftime(ts, '%Y-%m-%d %H'))) AS events FROM events GROUP BY 1")
 def r5_streaming_dedup(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     out = S.run_to_end(S.streaming_dedup(S.read_stream(spark, d)).select("event_key", "event_type"), f"{root}/out", f"{root}/checkpoint")
     return out.groupBy("event_type").agg(F.count("*").alias("events"))
 
@@ -140,6 +134,41 @@ def a1_holder_created(spark, d):
     return ingest.holder_created(folded(spark, d)[0])
 
 
+# the fold of whole rows into items, editions and links, on parts that share links; links and remarks are those whose
+# meaning x11 and x6 state
+
+ROWS = f"""{EDITIONS}, w AS (SELECT part.*, p_partkey % 96 AS k, p_partkey % 16 AS j FROM part),
+l AS (SELECT k, {LINK_SQL} FROM (SELECT DISTINCT k, j, k AS p_partkey FROM w)),
+g AS (SELECT w.p_partkey, w.p_size % 3 = 0 AS gone, w.p_size, l.provider, coalesce(l.share, 'unknown:' || sha256(l.url)) AS canonical, 'title:' || regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || ':0:' ||
+  CASE WHEN r.season_from IS NOT NULL OR r.episode_from IS NOT NULL OR r.complete THEN 'tv' ELSE 'movie' END AS identity, r.k AS edition, r.k = 4 AS unparsed FROM w JOIN l ON l.k = w.k JOIN r ON r.k = w.p_partkey % 7),
+o AS (SELECT *, row_number() OVER (PARTITION BY provider, canonical ORDER BY p_size, p_partkey) AS rn, first_value(identity || '/' || edition) OVER (PARTITION BY provider, canonical ORDER BY p_size, p_partkey) AS holder FROM g)
+"""
+
+
+def sheet(spark, d):
+    p = table(spark, d, "part")
+    url = F.replace(F.get(F.array(*[F.lit(x[0]) for x in LINKS]), (F.col("p_partkey") % 16).cast("int")), F.lit("{k}"), (F.col("p_partkey") % 96).cast("string"))
+    remark = F.get(F.array(*map(F.lit, REMARKS)), (F.col("p_partkey") % 7).cast("int"))
+    gone = F.when(F.col("p_size") % 3 == 0, F.col("p_partkey"))
+    return p.select(F.lit(0).alias("source_priority"), F.col("p_partkey").alias("row_no"), F.col("p_name").alias("title"), F.lit("").alias("preferred"), url.alias("link"), F.lit(None).cast("string").alias("code"), remark.alias("note"), F.col("p_size").cast("long").alias("created"), gone.alias("deleted"))
+
+
+@query(ROWS + """SELECT provider, sha256(canonical) AS link_hash, max(holder) AS holder, count(*) AS occurrences, min(p_size)::BIGINT AS created, CASE WHEN count(*) FILTER (NOT gone) = 0 THEN max(p_partkey) END AS deleted,
+  count(DISTINCT identity || '/' || edition) > 1 AS shared FROM o GROUP BY 1, 2""")
+def a1_library_links(spark, d):
+    links = ingest.fold_library(sheet(spark, d))["links"]
+    edition = F.array_position(F.array(*map(F.lit, REMARKS)), F.col("note")) - 1
+    return links.select("provider", "link_hash", F.concat("identity", F.lit("/"), edition.cast("string")).alias("holder"), "occurrences", "created", "deleted", "shared")
+
+
+@query(ROWS + """, c AS (SELECT * FROM o WHERE rn = 1 OR identity || '/' || edition <> holder)
+SELECT identity, count(DISTINCT CASE WHEN edition IN (6) THEN 6 ELSE edition END) AS editions, max(unparsed) AS unparsed FROM c GROUP BY 1""")
+def a1_library_items(spark, d):
+    out = ingest.fold_library(sheet(spark, d))
+    groups = out["editions"].groupBy("identity").agg(F.count("*").alias("editions"), F.max(F.array_contains("reasons", "unparsed_edition")).alias("unparsed"))
+    return out["items"].select("identity").join(groups, "identity")
+
+
 # composite reads
 
 
@@ -237,9 +266,9 @@ def b32_link_check_round(spark, d):
     return last.select("user_id", "verdict", "unknowns", check_delay(F.col("verdict"), F.col("unknowns")).alias("delay"))
 
 
-@query("SELECT count(*) FILTER (s_nationkey < 8) AS queued, count(*) FILTER (s_nationkey BETWEEN 8 AND 15) AS disabled, count(*) FILTER (s_nationkey > 15) AS unsupported FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey < 300)")
+@query("SELECT count(*) FILTER (s_nationkey < 8) AS queued, count(*) FILTER (s_nationkey BETWEEN 8 AND 15) AS disabled, count(*) FILTER (s_nationkey > 15) AS unsupported FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)")
 def b34_queue_recheck(spark, d):
-    ids = table(spark, d, "lineitem").where("l_orderkey < 300").select(F.col("l_suppkey").alias("s_suppkey"))
+    ids = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
     s = table(spark, d, "supplier").join(ids, "s_suppkey", "left_semi")
     return s.agg(F.count_if(F.expr("s_nationkey < 8")).alias("queued"), F.count_if(F.expr("s_nationkey between 8 and 15")).alias("disabled"), F.count_if(F.expr("s_nationkey > 15")).alias("unsupported"))
 

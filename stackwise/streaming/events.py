@@ -32,6 +32,14 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_complete(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Processes what is there in complete mode: every batch replaces the result, so windows that are still open when
+    input ends are in it. State is one row for each group of the aggregation."""
+    spark = stream.sparkSession
+    stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def daily_budget(events: DataFrame, cap: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """day, n, spent, exhausted by UTC day (and keys)."""
     day = F.to_date("ts").alias("day")
@@ -39,6 +47,8 @@ def daily_budget(events: DataFrame, cap: int, keys: tuple[str, ...] = ()) -> Dat
 
 
 def streaming_daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Counts by UTC day and type. In append mode (run_to_end) a day appears once the watermark has passed it; run_complete
+    also gives the days that are still open."""
     w = F.window("ts", "1 day")
     return stream.withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
