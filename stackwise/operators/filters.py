@@ -15,9 +15,13 @@ class Filters:
     kind: str | None = None
     year_from: int | None = None
     year_to: int | None = None
-    genre: int | None = None
+    genre: int | str | None = None
     quality: str | None = None
     hdr: str | None = None
+    source: str | None = None
+    complete: bool | None = None
+    season: int | None = None
+    has_backdrop: bool = False
     min_size: float | None = None
     max_size: float | None = None
     providers: tuple[str, ...] = ()
@@ -25,7 +29,7 @@ class Filters:
 
     def over(self, parsed: Filters) -> Filters:
         """Explicit values win over those parsed from a query; a parsed genre is consumed but never applied."""
-        mine = {k: v for k, v in vars(self).items() if v not in (None, ())}
+        mine = {k: v for k, v in vars(self).items() if v not in (None, (), False)}
         return Filters(**(vars(parsed) | {"genre": None} | mine))
 
 
@@ -37,10 +41,17 @@ def apply_filters(items: DataFrame, editions: DataFrame, links: DataFrame, live:
         out = out.where(F.col("year") >= f.year_from)
     if f.year_to is not None:
         out = out.where(F.col("year") <= f.year_to)
-    if f.genre is not None:
+    if f.genre is not None and "genres" in items.columns:
+        # one of an item's genres, in any case
+        out = out.where(F.exists("genres", lambda g: F.lower(g) == str(f.genre).lower()))
+    elif f.genre is not None:
         out = out.where(F.col("genre") == f.genre)
+    if f.has_backdrop:
+        out = out.where(F.col("backdrop").isNotNull() & (F.coalesce("overview", F.lit("")) != ""))
     e = editions
-    for c in ("quality", "hdr"):
+    if f.season is not None:
+        e = e.where(F.lit(f.season).between(F.col("season_from"), F.coalesce("season_to", "season_from")))
+    for c in ("quality", "hdr", "source", "complete"):
         if getattr(f, c) is not None:
             e = e.where(F.col(c) == getattr(f, c))
     if f.min_size is not None:

@@ -160,16 +160,30 @@ def _filtered(name: str, sql: str, f: filters.Filters):
 
 LIVE_ONE = "EXISTS (SELECT 1 FROM editions e WHERE e.item_id = i.item_id AND EXISTS (SELECT 1 FROM live l WHERE l.edition_id = e.edition_id))"
 _filtered("f2a_type_and_years", f"kind = 'BUILDING' AND year >= 1996 AND year <= 2100 AND {LIVE_ONE}", filters.Filters(kind="BUILDING", year_from=1996, year_to=2100))
-_filtered("f2b_genre", f"genre = 5 AND {LIVE_ONE}", filters.Filters(genre=5))
 _filtered("f2d_same_edition", "EXISTS (SELECT 1 FROM editions e WHERE e.item_id = i.item_id AND quality = '1-URGENT' AND hdr = 'O' AND size BETWEEN 50000 AND 150000 AND EXISTS (SELECT 1 FROM live l WHERE l.edition_id = e.edition_id))", filters.Filters(quality="1-URGENT", hdr="O", min_size=50000, max_size=150000))
 _filtered("f2e_providers", "EXISTS (SELECT 1 FROM editions e WHERE e.item_id = i.item_id AND hdr = 'F' AND EXISTS (SELECT 1 FROM live l WHERE l.edition_id = e.edition_id AND provider IN ('R', 'A')))", filters.Filters(hdr="F", providers=("R", "A")))
 _filtered("f2f_include_deleted", "EXISTS (SELECT 1 FROM editions e WHERE e.item_id = i.item_id AND quality = '5-LOW' AND EXISTS (SELECT 1 FROM links l WHERE l.edition_id = e.edition_id AND provider IN ('N')))", filters.Filters(quality="5-LOW", providers=("N",), include_deleted=True))
 _filtered("f4_effective_filters", f"kind = 'MACHINERY' AND year >= 1993 AND {LIVE_ONE}", filters.Filters(kind="MACHINERY").over(filters.Filters(kind="BUILDING", genre=3, year_from=1993)))
 
 
-@query("SELECT item_id, title FROM items i WHERE rating > 100 AND kind IS NOT NULL AND title <> ''")
+@query(f"SELECT item_id, title FROM items i WHERE (genre = 5 OR kind = 'BUILDING') AND {LIVE_ONE}")
+def f2b_genre(c, spark, d):
+    """One of an item's genres, in any case."""
+    items = c.items.withColumn("genres", F.array(F.concat(F.lit("G"), F.col("genre").cast("string")), F.when(F.col("kind") == "BUILDING", "g5").otherwise("Other")))
+    return filters.apply_filters(items, c.editions, c.links, live_of(c), filters.Filters(genre="g5")).select("item_id", "title")
+
+
+@query("SELECT item_id, title FROM items i WHERE rating > 100 AND kind <> 'BUILDING' AND EXISTS (SELECT 1 FROM editions e WHERE e.item_id = i.item_id)")
 def f2c_has_backdrop(c, spark, d):
-    return c.items.where("rating > 100 and kind is not null and title <> ''").select("item_id", "title")
+    items = c.items.withColumns({"backdrop": F.when(F.col("rating") > 100, F.col("title")), "overview": F.when(F.col("kind") == "BUILDING", "").otherwise(F.col("kind"))})
+    return filters.apply_filters(items, c.editions, c.links, live_of(c), filters.Filters(has_backdrop=True, include_deleted=True)).select("item_id", "title")
+
+
+@query("SELECT item_id, title FROM items i WHERE EXISTS (SELECT 1 FROM editions e WHERE e.item_id = i.item_id AND quality = '1-URGENT' AND edition_id % 2 = 0 AND 3 BETWEEN edition_id % 5 AND coalesce(CASE WHEN edition_id % 3 = 0 THEN edition_id % 5 + 2 END, edition_id % 5) AND EXISTS (SELECT 1 FROM live l WHERE l.edition_id = e.edition_id))")
+def f2d_season(c, spark, d):
+    n = F.col("edition_id")
+    e = c.editions.withColumns({"season_from": n % 5, "season_to": F.when(n % 3 == 0, n % 5 + 2), "complete": n % 2 == 0})
+    return filters.apply_filters(c.items, e, c.links, live_of(c), filters.Filters(quality="1-URGENT", season=3, complete=True)).select("item_id", "title")
 
 
 @query(f"SELECT item_id FROM items i WHERE (kind = 'FURNITURE' AND {LIVE_ONE}) OR EXISTS (SELECT 1 FROM editions e WHERE e.item_id = i.item_id AND hdr = 'P')")

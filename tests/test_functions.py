@@ -1,7 +1,11 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from stackwise.functions import catalog as C
+from stackwise.functions import editions as E
+from stackwise.functions import links as L
 from stackwise.functions import text as T
 from stackwise.operators import ingest, search, tokens
 from stackwise.operators.filters import Filters
@@ -34,19 +38,64 @@ def test_split_year(spark, cell, want):
     assert (got["t"], got["y"]) == want
 
 
-def test_edition(spark):
-    e = first(spark, "Show S01E02-E06 1080p WEB-DL HDR10+ x265 DDP Atmos", C.parse_edition)
-    assert (e["season_from"], e["season_to"], e["episode_from"], e["episode_to"], e["quality"], e["source"], e["hdr"], e["codec"]) == (1, 1, 2, 6, "1080p", "web", "hdr10+", "hevc")
-    assert e["audio"] == ["atmos", "dd+"]
-    assert first(spark, "nothing here", lambda c: C.fingerprint(C.parse_edition(c))) == "unspecified"
-    assert first(spark, "s02e03 720p", lambda c: C.edition_label(C.parse_edition(c))) == "S02E03 · 720p"
+@pytest.mark.parametrize("text,want", [
+    ("Show S01E02-E06 1080p WEB-DL HDR10+ x265 DDP5.1 Atmos", dict(season_from=1, season_to=1, episode_from=2, episode_to=6, quality="1080p", source="webdl", hdr="hdr10plus", codec="hevc", audio=["atmos", "ddp5.1"])),
+    ("Se7en 1080p", dict(season_from=None, episode_from=None, quality="1080p")), ("Stage2 720p", dict(season_from=None, episode_from=None, quality="720p")), ("wire2 part", dict(episode_from=None, quality=None)),
+    ("第二季 第十集 【4K】", dict(season_from=2, episode_from=10, quality="2160p")), ("12集全 内封简繁 国语", dict(episode_from=1, episode_to=12, complete=True, audio=["mandarin"], subtitle=["embedded:zh-hans+zh-hant"])),
+    ("蓝光 DV&HDR DTS-HD MA 7.1 NF 补", dict(source="bluray", hdr="dv_hdr", audio=["dtshdma7.1"], tags=["resend", "src:netflix"])), ("全2季 ２１６０ｐ 豆瓣 9", dict(season_from=1, season_to=2, complete=True, quality="2160p", tags=["douban:9"])),
+    (None, dict(quality=None, complete=False, unparsed=False)), ("nothing here", dict(unparsed=True)), ("x" * 30_000 + " 720p", dict(quality="720p")),
+])
+def test_edition(spark, text, want):
+    e = first(spark, text, E.parse_edition).asDict()
+    assert {k: e[k] for k in want} == want
+
+
+def test_editions_merge_and_print(spark):
+    row = spark.createDataFrame([("s02e03 720p", "2160p 全集 HQ", "Show.S09.FLAC.mkv")], "r string, t string, f string").select(E.parse_edition(F.col("r"), F.col("t"), F.col("f")).alias("e"))
+    row = row.select("e", E.fingerprint(F.col("e")).alias("f"), E.edition_label(F.col("e")).alias("l"), E.item_kind(F.col("e"), F.lit("")).alias("k")).first()
+    assert row["f"] == "s2-2|e3-3|full|720p|webdl|?|?|a=flac|t=|x=hq" and row["l"] == "S02E03 · 720p · webdl" and row["k"] == "tv"
+    assert first(spark, "", lambda c: E.fingerprint(E.parse_edition(c))) == "unspecified"
+    assert first(spark, "DV+HDR10", lambda c: E.spec_chips(F.lit("uhd"), c, F.lit("x"))) == ("4K", "DV/HDR", None)
+
+
+@pytest.mark.parametrize("url,provider,canonical,code", [
+    ("HTTPS://WWW.115.com/s/abc?Password=x1#pwd=y2", "115", "115:abc", "x1"), ("https://pan.quark.cn/s/abc/def", "unknown", None, None), ("https://pan.baidu.com/s/1xYz?pwd=1", "baidu", "baidu:xYz", "1"),
+    ("https://pan.baidu.com/share/init?surl=q", "baidu", "baidu:q", None), ("http://cloud.189.cn:80/t/a%20b?z=1&a=2&pwd=c", "tianyicloud", "tianyicloud:cloud.189.cn/t/a%20b?a=2&z=1", "c"),
+    ("https://123pan.com/s/n?b&a=%E4%B8%AD", "123", "123:/s/n?a=中&b=", None), ("HTTPS://a.com/x", "unknown", None, None), ("HTTP://b.com/y?z=1", "unknown", None, None), ("javascript:x", "unknown", None, None),
+    ("ED2K://|file|n[1].mkv|1|ABCDEF0123456789ABCDEF0123456789|/", "ed2k", "ed2k:abcdef0123456789abcdef0123456789", None), ("magnet:?dn=x", "ed2k", None, None), ("magnet:?xt=urn:btih:AB&pwd=k", "ed2k", "ed2k:ab", "k"), (None, "unknown", None, None),
+])
+def test_links(spark, url, provider, canonical, code):
+    x = first(spark, url, L.parse_link)
+    assert (x["provider"], x["access_code"]) == (provider, code)
+    assert x["canonical"] == canonical if canonical else x["canonical"].endswith(hashlib.sha256((url or "").encode()).hexdigest())
+
+
+def test_link_parts(spark):
+    labels = [first(spark, u, L.parse_link)["label"] for u in ("https://115.com/s/abcdef", "https://x.org/s/1", "text", "ed2k://|file|a%20b|1|" + "0" * 32 + "|/")]
+    assert labels == ["115 网盘 分享 · abc…f", "未知来源 · x.org", L.INVALID, "ED2K · a b"]
+    assert first(spark, "https://115.com/s/abcdef?pwd=1", lambda c: L.parse_link(c, F.lit(" 2 ")))["conflict"] and first(spark, "abc", L.mask_code) == "…"
+    assert first(spark, "https://a/1 magnet:?xt=2 ed2k://f", ingest.split_links) == ["https://a/1", "magnet:?xt=2", "ed2k://f"]
 
 
-def test_links(spark):
-    assert first(spark, "HTTPS://www.Example.com/a/b.html?z=1&pwd=x&a=2#top".replace("HTTPS", "https"), C.canonical_url) == "example.com/a/b?a=2&z=1"
-    assert first(spark, "https://x/y?pwd=aa#pwd=bb", C.access_code) == "bb"
-    assert first(spark, "https://a/1 magnet:?xt=2 ed2k://f", ingest.split_links) == ["https://a/1", "magnet:?xt=2", "ed2k://f"]
-    assert first(spark, "abcdef", C.mask_code) == "abc…f" and first(spark, "abc", C.mask_code) == "…"
+def test_identity_keeps_every_script(spark):
+    of = lambda t: first(spark, t, lambda c: C.identity(F.lit("movie"), F.lit(None).cast("string"), c, F.lit(2020)))
+    assert of("黑客帝国") == "title:黑客帝国:2020:movie" and of("电影") != of("黑客帝国") and of("Été") == "title:été:2020:movie"
+    assert first(spark, "黑客帝国", lambda c: C.alias_conflict(c, F.lit("黑客"))) is False and first(spark, "黑客帝国", lambda c: C.alias_conflict(c, F.lit("电影"))) is True
+
+
+def test_library_fold(spark):
+    rows = [(0, 1, "Alpha (2001)", "", "https://115.com/s/a https://pan.quark.cn/s/b", None, "S01 1080p", 50, None), (0, 2, "Alpha 2001", "", "https://115.com/s/a?pwd=q", None, "S01 1080p", 10, 99), (0, 3, "Beta / 贝塔", "", "https://115cdn.com/s/a", "w", "720p", 60, 70),
+            (1, 1, "Gamma", "伽马", "note", None, "https://115.com/s/c", None, 5), (1, 2, "Blank", "", None, None, "4K", 1, None)]
+    out = ingest.fold_library(spark.createDataFrame(rows, "source_priority int, row_no long, title string, preferred string, link string, code string, note string, created long, deleted long"))
+    links = {r["url"]: r for r in out["links"].collect()}
+    a = links["https://115.com/s/a?pwd=q"]
+    assert (a["occurrences"], a["created"], a["deleted"], a["shared"], a["code_conflicts"]) == (3, 10, None, True, 1) and len(links) == 3
+    assert links["https://115.com/s/c"]["deleted"] == 5 and a["identity"] == "title:alpha:2001:tv"
+    items = {r["title"]: r for r in out["items"].collect()}
+    assert set(items) == {"Alpha", "Beta / 贝塔", "伽马"} and items["Beta / 贝塔"]["aliases"] == ["Beta", "贝塔"]
+    reasons = {r["identity"]: r["reasons"] for r in out["editions"].collect()}
+    assert "link_shared_across_groups" in reasons["title:alpha:2001:tv"] and "shifted_row" in reasons["title:伽马:0:movie"]
+    assert out["provenance"].count() == 5
 
 
 def test_tokens():
