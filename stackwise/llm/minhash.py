@@ -230,17 +230,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     same = several.join(sketch.select("doc_id", "digest"), "doc_id").join(nodes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     same = materialise(same.join(nodes.select("rep"), F.col("a") == F.col("rep"), "left_semi"), "same", root)
 
+    # buckets with two members or more: all that later steps look at
     members = nodes.select("rep", "n", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
+    members = materialise(members.join(shared, "key").select("key", "rep", "n"), "buckets", root)
     for r in range(rounds):
-        # buckets with two components or more, and a pivot of each
-        here = members if r == 0 else members.join(nodes.select("rep", "comp"), "rep")
-        comp = "rep" if r == 0 else "comp"
+        here = members.join(nodes.select("rep", "comp"), "rep")
         turn = F.col("rep") if r == 0 else F.xxhash64(F.lit(r), "rep")
-        mixed = here.groupBy("key").agg(F.min(comp).alias("c0"), F.max(comp).alias("c1"), F.min_by(F.struct("rep", "n", F.col(comp).alias("comp")), F.struct(turn.alias("t"), "rep")).alias("p")).where("c0 <> c1").select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-        here = here.join(mixed, "key")
-        if r == 1:  # later rounds only see buckets that are still mixed
-            members = materialise(here.select("rep", "n", "key"), "open", root)
-        pairs = here.where((F.col(comp) != F.col("pc")) & (F.least("n", "pn") * 100 >= percent * F.greatest("n", "pn"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        pivot = F.min(F.struct(turn.alias("t"), "rep", "n", "comp")).alias("p")
+        mixed = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), pivot).where("c0 <> c1").select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
+        pairs = here.join(mixed, "key").where((F.col("comp") != F.col("pc")) & (F.least("n", "pn") * 100 >= percent * F.greatest("n", "pn"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
         links = confirm(pairs, texts, width, percent, f"links{r}", root)
         nodes = materialise(relabelled(nodes, links.unionByName(same) if r == 0 else links), f"nodes{r + 1}", root)
 
