@@ -13,7 +13,7 @@ def test_oracles_belong_to_queries():
 
 
 def test_flagship(spark):
-    assert entry.entry(spark).columns == ["doc_id", "key", "tier", "final"]
+    assert entry.entry(spark).columns == ["doc_id", "key", "tier", "coverage", "final"]
 
 
 def test_imports_without_the_training_data_part(tmp_path):
