@@ -6,14 +6,12 @@ as ``[^\\x20\\x09-\\x0D]+`` on characters, since those bytes never occur inside
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..session import shared_folder
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -27,17 +25,11 @@ POWERS = np.multiply.accumulate(np.concatenate([[U(1)], np.full(4095, U(0xD6E8FE
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder. Only a local session may do without one; it gets a temporary
-    folder, which the machines of a cluster could not share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="stackwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder below the cluster's checkpoint folder, which is also set for checkpoint()."""
+    path = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return path
 
 
 def materialise(df: DataFrame, name: str, root: str | None = None) -> DataFrame:

@@ -156,6 +156,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name:
 
 def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes (rep, comp) with the components that new links between reps give."""
+    if links.isEmpty():
+        return nodes
     here = nodes.select("rep", "comp")
     ends = links.join(here.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(here.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
     joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("comp", "to")

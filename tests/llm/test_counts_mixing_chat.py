@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from stackwise.llm.chat import SQL, chat_format, op10_chat
 from stackwise.llm.mixing import mix_sources, sainte_lague, targets
@@ -72,6 +73,26 @@ def test_mixing(spark):
         assert abs(taken[s] - t) <= max(2, 0.05 * t)
 
 
+def test_mixing_takes_the_words_of_a_listed_stream(spark):
+    """One source, one shard: every word of the stream listed, every block taken as often as the quota says."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, i, i // 2]), " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    d = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string")
+    order = [F.xxhash64(F.lit(18), "doc_id", F.xxhash64("text")), F.col("doc_id"), F.xxhash64("text")]
+    docs = [(r["doc_id"], len(r["text"].split())) for r in d.orderBy(*order).collect()]
+    size = sum(n for _, n in docs)
+    goal = 1.5 * size
+    block = max(1, min(64, int(goal // 32)))
+    blocks = -(-size // block)
+    quota = min(round(goal / block), 2 * blocks)
+    times = [quota // blocks + ((i + 1) * (quota % blocks) + 17 * 7919 % blocks) // blocks - (i * (quota % blocks) + 17 * 7919 % blocks) // blocks for i in range(blocks)]
+    stream, want = [k for k, (_, n) in enumerate(docs) for _ in range(n)], [0] * len(docs)
+    for place, k in enumerate(stream):
+        want[k] += times[place // block]
+    got = mix_sources(d).collect()
+    assert sorted(map(str, [(r["doc_id"], r["size"], r["taken"]) for r in got])) == sorted(map(str, [(i, n, w) for (i, n), w in zip(docs, want)]))
+
+
 def test_mixing_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     got = mix_sources(spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")).collect()
