@@ -12,7 +12,7 @@ Only name fields make candidates: the overview adds to the score of documents th
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -101,9 +101,13 @@ class Index:
     buckets: int
     pinyin: bool
     charmap: dict[str, str] | None = None
+    tables: dict[str, DataFrame] = field(default_factory=dict, compare=False)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table of the index; its files are listed once, since an index does not change."""
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self.tables[name]
 
     def terms(self, wanted: list[str]) -> DataFrame:
         """The rows of some terms: only their partitions are read, and of these what may hold them."""
