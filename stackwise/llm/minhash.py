@@ -6,8 +6,8 @@ the threshold shares no band with a probability below 1e-6. Sets with equal SHA-
 
 Links are confirmed on full sets, never on signatures, and no bucket is expanded into its pairs:
 
-1. in ROUNDS rounds (one is enough as a rule), each member of a bucket that is not yet connected to the bucket's pivot (another one each round, the
-   smallest id first) is compared with it, and linked documents form components;
+1. in ROUNDS rounds (one, as a rule), each member of a bucket that is not yet connected to the bucket's pivot (the smallest
+   id first, another one in each further round) is compared with it, and linked documents form components;
 2. the members of buckets that still hold different components are *open*, and compared by their sets in units of two
    chunks of at most CHUNK members: members of the bucket's largest component against all others, and these among each
    other, but none with one of its own component. A bucket with k members outside of that component sends k sets for each
