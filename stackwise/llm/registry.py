@@ -9,6 +9,7 @@ from .minhash import op2_minhash
 from .mixing import op6_mixing
 from .pii import op8_pii
 from .quality import op4_quality
+from .spelling import op12_spelling
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op5_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLES: dict[str, str] = {"op10_chat": chat.SQL}
