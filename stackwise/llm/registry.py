@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from . import chat
+from .alignment import op11_alignment
 from .chat import op10_chat
 from .decontaminate import op7_decontaminate
+from .language_id import op13_language_id
 from .minhash import op2_minhash
 from .mixing import op6_mixing
 from .pii import op8_pii
@@ -26,7 +28,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op11_alignment": op11_alignment,
     "op12_spelling": op12_spelling,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES: dict[str, str] = {"op10_chat": chat.SQL}
