@@ -18,7 +18,8 @@ The key is a secret of the caller: who has it can undo the permutations. ``sessi
 
 Defined results: null text stays null with no finding, empty text stays empty; an invalid number stays as it is; of
 kinds that fit the same place (ties) the first in PATTERNS counts; a null doc_id keeps its row; repeated rows get equal
-results; long texts are read whole; columns of any name pass, but for ``pii``, which is replaced.
+results; long texts are read whole (a domain has at most 127 labels, as names have; Java's matcher recurses on unbounded
+groups, so there are none here); columns of any name pass, but for ``pii``, which is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 KEY_SETTING = "spark.stackwise.pii.key"
 #: kind, pattern; in order of preference at the same place
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key)[ ]{0,3}[=:][ ]{0,3}[\"']?(?=[A-Za-z_+/-]{0,80}[0-9])[A-Za-z0-9_+/-]{8,200}+",
     "key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
