@@ -20,8 +20,10 @@ whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ HELD_PAIRS = 1 << 19
 DOC_BITS, A_BITS = U(16), U(20)  # a posting's key: B id of the bucket, A id, document of the unit (slices() has at most 2^14)
 MADE = "kind string, unit string, doc int, bucket int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, payload binary, size long"
 MADE_ARROW = pa.schema([("kind", pa.string()), ("unit", pa.string()), ("doc", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("payload", pa.binary()), ("size", pa.int64())])
+PROBE = ["It's 1234 words,\n\n  and\t(more)...  ", "naïve é中文 𝄞 ٣²"]
 _LOADED: dict = {}
 
 
@@ -48,25 +51,46 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def byte_level(path: str):
+    """The vocabulary of a byte-level BPE file, and its encoder without special tokens.
+
+    Where ids follow the order of merges (each merge makes the next id), the vocabulary is all that BPE needs, and tiktoken
+    encodes with it, four times as fast as the file's own library; ids are the same. Else that library encodes."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    t.encode_special_tokens = True
+    symbols, vocabulary = byte_of_symbol(), t.get_vocab()
+    special = {x.content for x in t.get_added_tokens_decoder().values()}
+    table = [b""] * (max(vocabulary.values()) + 1)
+    for entry, i in vocabulary.items():
+        table[i] = entry.encode() if entry in special else bytes(symbols[c] for c in entry)
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"].get("merges", [])
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+    slow = lambda texts: [e.ids for e in t.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)]
+    if joined and all(vocabulary.get(m) == 256 + k for k, m in enumerate(joined)):
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {b: i for i, b in enumerate(table) if i < 256 + len(joined)}
+        k = tiktoken.Encoding(name=os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        fast = lambda texts: [k.encode_ordinary(f" {x}") for x in texts]
+        if fast(PROBE) == slow(PROBE):  # the file cuts words as tiktoken is told to
+            return table, fast
+    return table, slow
+
+
 class Side:
     """One tokenizer: encode texts, the bytes of each id, and the id as text before each separator."""
 
     def __init__(self, name: str):
         path = tokenizer_path(name)
         if name.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            t = Tokenizer.from_file(path)
-            t.no_truncation()
-            t.no_padding()
-            t.encode_special_tokens = True
-            self.encode = lambda texts: [e.ids for e in t.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)]
-            symbols, vocabulary = byte_of_symbol(), t.get_vocab()
-            special = {x.content for x in t.get_added_tokens_decoder().values()}
-            self.bytes = [b""] * (max(vocabulary.values()) + 1)
-            for entry, i in vocabulary.items():
-                self.bytes[i] = entry.encode() if entry in special else bytes(symbols[c] for c in entry)
+            self.bytes, self.encode = byte_level(path)
         else:
             import sentencepiece
 
@@ -75,7 +99,9 @@ class Side:
             ids = range(p.get_piece_size())
             self.bytes = [bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace("▁", " ").encode() for i in ids]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.shown = [f"{i}{end}" for i in range(len(self.bytes)) for end in (",", "|", ";")]
+        # an id and a separator as bytes, filled up with zeros
+        width = len(str(len(self.bytes))) + 1
+        self.shown = np.frombuffer(b"".join(f"{i}{end}".encode().ljust(width, b"\0") for i in range(len(self.bytes)) for end in ",|;"), np.uint8).reshape(-1, width)
 
 
 def side(name: str) -> Side:
@@ -101,20 +127,24 @@ class Aligned:
 
     def __init__(self, ids_a: list, ids_b: list, a: Side, b: Side):
         self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        self.a, self.b = (np.fromiter((t for x in ids for t in x), np.int64, int(n.sum())) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
+        self.a, self.b = (np.array(list(chain.from_iterable(ids)), np.int64) for ids in (ids_a, ids_b))
         end_a, end_b = np.cumsum(a.lengths[self.a]), np.cumsum(b.lengths[self.b])
-        common = end_a[np.isin(end_a, end_b, assume_unique=True)]
-        first_a, first_b = (np.concatenate([[0], np.cumsum(n)]) for n in (self.n_a, self.n_b))
-        self.group_a, self.group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-        groups = np.concatenate([self.group_a, [len(common)]])[first_a]
-        self.n_groups = np.diff(groups)
+        size = int(end_a[-1]) + 1 if len(end_a) else 1
+        ends_a, ends_b = np.zeros(size, bool), np.zeros(size, bool)
+        ends_a[end_a] = ends_b[end_b] = True
+        common = ends_a & ends_b
+        # how many ends lie before each byte offset
+        before = lambda ends: np.cumsum(ends, dtype=np.int32) - ends
+        group = before(common)
+        self.group_a, self.group_b = group[end_a], group[end_b]
+        self.of_groups = int(common.sum())
+        first_a = np.concatenate([[0], np.cumsum(self.n_a)])
+        self.n_groups = np.diff(np.append(self.group_a, self.of_groups)[first_a])
         # between two ends, of whichever side, exactly one token of each side covers the bytes: one link
-        ends = np.union1d(end_a, end_b)
-        self.link_a, self.link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        doc = np.repeat(np.arange(len(ids_a)), self.n_a)
-        self.link_doc = doc[self.link_a] if len(ends) else np.zeros(0, np.int64)
+        ends = np.flatnonzero(ends_a | ends_b)
+        self.link_a, self.link_b = before(ends_a)[ends], before(ends_b)[ends]
+        self.link_doc = np.repeat(np.arange(len(ids_a)), self.n_a)[self.link_a]
         self.n_links = np.bincount(self.link_doc, minlength=len(ids_a)).astype(np.int64)
-        self.first_a, self.first_b, self.common = first_a, first_b, common
 
     def hashes(self, a: Side, b: Side) -> list[str]:
         """SHA-256 of each text's groups as written; empty without tokens."""
@@ -122,25 +152,18 @@ class Aligned:
             return [""] * len(self.n_a)
         last_a = np.append(self.group_a[1:] != self.group_a[:-1], True)
         last_b = np.append(self.group_b[1:] != self.group_b[:-1], True)
-        shown = np.empty(len(self.a) + len(self.b), np.int64)
-        of_a = np.bincount(self.group_a, minlength=len(self.common))
-        of_b = np.bincount(self.group_b, minlength=len(self.common))
-        before_b, upto_a = np.cumsum(of_b) - of_b, np.cumsum(of_a)
-        shown[np.arange(len(self.a)) + before_b[self.group_a]] = self.a * 3 + last_a
-        shown[np.arange(len(self.b)) + upto_a[self.group_b]] = -1 - (self.b * 3 + 2 * last_b)
-        out, at = [], 0
-        for n in (self.n_a + self.n_b).tolist():
-            if not n:
-                out.append("")
-                continue
-            h = hashlib.sha256()
-            for i in range(at, at + n, 1 << 16):
-                piece = shown[i : min(i + (1 << 16), at + n)].tolist()
-                s = "".join([a.shown[x] if x >= 0 else b.shown[-1 - x] for x in piece])
-                h.update((s[:-1] if i + (1 << 16) >= at + n else s).encode())
-            out.append(h.hexdigest())
-            at += n
-        return out
+        of_a = np.bincount(self.group_a, minlength=self.of_groups)
+        of_b = np.bincount(self.group_b, minlength=self.of_groups)
+        width = max(a.shown.shape[1], b.shown.shape[1])
+        written = np.zeros((len(self.a) + len(self.b), width), np.uint8)
+        at = np.arange(len(self.a)) + (np.cumsum(of_b) - of_b)[self.group_a]
+        written[at, : a.shown.shape[1]] = a.shown[self.a * 3 + last_a]
+        at = np.arange(len(self.b)) + np.cumsum(of_a)[self.group_b]
+        written[at, : b.shown.shape[1]] = b.shown[self.b * 3 + 2 * last_b]
+        solid = written != 0
+        ends = np.concatenate([[0], np.cumsum(solid.sum(axis=1))])[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
+        text = written[solid].tobytes()
+        return [hashlib.sha256(text[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def unit_keys(links: Aligned, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -113,3 +113,15 @@ def test_all_documents(spark):
     want = {(i, *b) for (i, _), b in zip(docs, brute([t for _, t in docs]), strict=True)}
     got = [tuple(r) for r in al.op11_alignment(spark, sf).collect()]
     assert len(got) == len(docs) and set(got) == want
+
+
+def test_fast_encoder_gives_the_librarys_ids():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path(al.A))
+    t.encode_special_tokens = True
+    rng = random.Random(6)
+    odd = ["\u00a0", "\u2003", "\u3000", "\u0085", "\u200b", "\u1680", "'s", "'LL", "\u0345", "\u0130", "\u01c5", "\u0663", "\u00b2", "\u2167", "\U0001f1e9", "\u0301", "\r\n", "\x1c", "_", "<|endoftext|>", "a", "Z", " ", "9", "\ufeff", "\ufffd", "\U000e0001", "\u07fd"]
+    texts = [e for e in EDGES if e] + ["".join(rng.choice(odd) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    assert al.side(al.A).encode(texts) == [t.encode(" " + x, add_special_tokens=False).ids for x in texts]
