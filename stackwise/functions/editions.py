@@ -195,56 +195,70 @@ def spec_chips(quality: Column, hdr: Column, source: Column) -> Column:
 
 # composition: what a remote resource holds, by its publisher's words and, where they are silent, its file names
 
-_DASH = r"[-~–—至到]"
-_CN = "[0-9一二三四五六七八九十]+"
+# fixed values: patterns, numerals and bounds of compositions
+COMPOSITION = {
+    "season_range": r"\bs(\d{1,2})\s*[-–—~～]\s*s?(\d{1,2})\b",
+    "season": r"\bs(\d{1,2})(?![\d])",
+    "season_cn": r"第\s*([0-9]{1,2}|[零一二两三四五六七八九十]{1,3})\s*季",
+    "episode_cn_range": r"第\s*(\d{1,4})\s*[-–—~～]\s*(\d{1,4})\s*集",
+    "episode_range": r"e(\d{1,4})\s*[-–—~～]\s*e?(\d{1,4})",
+    "season_episode": r"s(\d{1,2})e(\d{1,4})",
+    "episode_cn": r"第\s*(\d{1,4})\s*集",
+    "episode": r"\bep?(\d{1,4})(?![\d])",
+    "count": r"(?:全|共)?\s*(\d{1,4})\s*集",
+    "file_episode": r"(?:^|[^\d])e(?:p)?(\d{1,4})(?![\d])",
+}
+COMPLETE, UPDATING, COLLECTION = "完结|全集", "更新中|连载|首更|更新至", "合集|全集"
+NUMERALS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
 VIDEO = "mkv|mp4|ts|avi|m2ts|iso|rmvb|wmv|mov|flv"
 MOST_SEASON, MOST_EPISODE = 99, 9999
+SHOWN_COLLECTION, SHOWN_UNKNOWN = "合集", "构成未说明"
 
 
 def composition(text: Column, files: Column) -> Column:
-    """struct(kind, seasons, episode_start, episode_end, episode_count, completion, confidence). files: array of names."""
+    """struct(kind, seasons, episode_start, episode_end, episode_count, completion, confidence, display). text: the first
+    that is not blank of remark, title and share title; files: array of names."""
     names = F.coalesce(files, F.array().cast("array<string>"))
-    return let(F.struct(F.trim(F.coalesce(text, F.lit(""))).alias("t"), names.alias("f")), lambda s: _composed(_declared(s["t"]), _seen(s["f"])))
+    return let(F.struct(F.coalesce(text, F.lit("")).alias("t"), names.alias("f")), lambda s: _composed(_declared(s["t"]), _seen(s["f"])))
+
+
+def small_numeral(raw: Column) -> Column:
+    """A season's number in digits or in Chinese numerals up to 99; null for anything else."""
+    value = F.create_map(*[F.lit(x) for k, v in NUMERALS.items() for x in (k, v)])
+    head, tail = F.substring_index(raw, "十", 1), F.regexp_extract(raw, "^[^十]*十(.*)$", 1)
+    tens = F.when(head == "", 1).otherwise(F.coalesce(F.try_element_at(value, head), F.lit(1)))
+    ones = F.when(tail == "", 0).otherwise(F.coalesce(F.try_element_at(value, tail), F.lit(0)))
+    in_tens = F.when((tens != 0) & ones.between(0, 9), tens * 10 + ones)
+    return F.when(raw.rlike("^[0-9]+$"), raw.try_cast("int")).otherwise(F.coalesce(F.try_element_at(value, raw), F.when(F.contains(raw, F.lit("十")), in_tens)))
+
+
+def _within(n: Column, most: int) -> Column:
+    return F.when(n.between(1, most), n)
 
 
 def _declared(t: Column) -> Column:
     """What the publisher's words say: seasons, start, end, count, completion, collection."""
-    ok = lambda n, most: F.when(n.between(1, most), n)
-    s_range = rf"\bS\s*(\d{{1,2}})\s*{_DASH}\s*S\s*(\d{{1,2}})\b"
-    lo, hi = ok(number(t, s_range), MOST_SEASON), ok(number(t, s_range, 2), MOST_SEASON)
-    numeral = F.create_map(*[F.lit(x) for k, v in CJK_DIGITS.items() for x in (k, v)])
-
-    def read(raw: Column) -> Column:
-        tens = F.when(F.startswith(raw, F.lit("十")), 1).otherwise(F.try_element_at(numeral, F.substring(raw, 1, 1)))
-        units = F.when(F.endswith(raw, F.lit("十")), 0).otherwise(F.try_element_at(numeral, F.substring(raw, -1, 1)))
-        return F.when(raw.rlike("^[0-9]+$"), raw.try_cast("int")).when(F.contains(raw, F.lit("十")), tens * 10 + units).otherwise(F.try_element_at(numeral, raw))
-
-    single = F.transform(F.regexp_extract_all(t, F.lit(r"(?iU)(?<![a-z0-9])S(\d{1,2})(?!\d)"), F.lit(1)), lambda x: x.try_cast("int"))
-    spoken = F.transform(F.regexp_extract_all(t, F.lit(f"第\\s*({_CN})\\s*季"), F.lit(1)), read)
-    listed = F.array_sort(F.array_distinct(F.filter(F.concat(single, spoken), lambda n: n.between(1, MOST_SEASON))))
+    rule = COMPOSITION
+    lo, hi = (_within(number(t, rule["season_range"], g), MOST_SEASON) for g in (1, 2))
+    every = lambda name: F.regexp_extract_all(t, F.lit(f"(?iU){rule[name]}"), F.lit(1))
+    numbers = F.concat(F.transform(every("season"), lambda x: x.try_cast("int")), F.transform(every("season_cn"), small_numeral))
+    listed = F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n.between(1, MOST_SEASON))))
     seasons = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(listed)
-
-    ranges = [(rf"第\s*(\d{{1,4}})\s*{_DASH}\s*(\d{{1,4}})\s*集", 2), (rf"e(\d{{1,4}})\s*{_DASH}\s*e?(\d{{1,4}})", 2), (r"S\d{1,2}\s*E(\d{1,4})", 1), (r"第\s*(\d{1,4})\s*集", 1), (r"\bE(\d{1,4})\b", 1)]
     start = end = F.lit(None).cast("int")
-    for pattern, groups in reversed(ranges):
-        a, b = ok(number(t, pattern), MOST_EPISODE), ok(number(t, pattern, groups), MOST_EPISODE)
+    for name, first, last in reversed([("episode_cn_range", 1, 2), ("episode_range", 1, 2), ("season_episode", 2, 2), ("episode_cn", 1, 1), ("episode", 1, 1)]):
+        a, b = (_within(number(t, rule[name], g), MOST_EPISODE) for g in (first, last))
         start, end = F.when(a <= b, a).otherwise(start), F.when(a <= b, b).otherwise(end)
-    count = F.when(start.isNotNull(), end - start + 1).otherwise(ok(number(t, r"(\d{1,4})\s*集"), MOST_EPISODE))
-    done = has(t, "完结|全集")
-    completion = F.when(done, "complete").when(has(t, r"更新中|连载|首更|更新?至"), "updating").otherwise("unknown")
-    collection = has(t, "合集|全集")
-
-    return F.struct(seasons.alias("seasons"), start.alias("start"), end.alias("end"), count.alias("count"), completion.alias("completion"), collection.alias("collection"))
+    count = F.when(start.isNotNull(), end - start + 1).otherwise(_within(number(t, rule["count"]), MOST_EPISODE))
+    completion = F.when(t.rlike(COMPLETE), "complete").when(t.rlike(UPDATING), "updating").otherwise("unknown")
+    return F.struct(seasons.alias("seasons"), start.alias("start"), end.alias("end"), count.alias("count"), completion.alias("completion"), t.rlike(COLLECTION).alias("collection"))
 
 
 def _seen(files: Column) -> Column:
-    """Seasons and episodes of the video files."""
+    """Seasons and episodes of the video files; a name with season and episode is read for nothing else."""
     names = F.filter(files, lambda f: f.rlike(rf"(?i)\.({VIDEO})\s*$"))
-    pair, bare = r"(?i)S(\d{1,2})[\s._-]*E(\d{1,4})", r"(?i)(?:^|[^a-z0-9])EP?(\d{1,4})(?!\d)"
-    episode = lambda f: F.coalesce(F.regexp_extract(f, pair, 2).try_cast("int"), F.regexp_extract(f, bare, 1).try_cast("int"))
-    seen = F.filter(F.array_distinct(F.transform(names, episode)), lambda n: n.between(1, MOST_EPISODE))
-    seasons = F.array_sort(F.filter(F.array_distinct(F.transform(names, lambda f: F.regexp_extract(f, pair, 1).try_cast("int"))), lambda n: n.between(1, MOST_SEASON)))
-    return F.struct(seen.alias("episodes"), seasons.alias("seasons"))
+    episode = lambda f: F.when(has(f, COMPOSITION["season_episode"]), number(f, COMPOSITION["season_episode"], 2)).otherwise(number(f, COMPOSITION["file_episode"]))
+    sorted_ = lambda of, most: F.array_sort(F.array_distinct(F.filter(F.transform(names, of), lambda n: n.between(1, most))))
+    return F.struct(sorted_(episode, MOST_EPISODE).alias("episodes"), sorted_(lambda f: number(f, COMPOSITION["season_episode"]), MOST_SEASON).alias("seasons"))
 
 
 def _composed(declared: Column, seen: Column) -> Column:
@@ -266,8 +280,20 @@ def _settled(d: Column, s: Column) -> Column:
         .when(start.isNotNull(), F.when(start == end, "episode_single").otherwise("episode_range"))
         .when(count.isNotNull() & some, by_completion(F.lit("season_partial")))
         .when(some, by_completion(F.when(completion == "updating", "season_partial").otherwise("unknown")))
-        .when(collection & count.isNull(), "collection")
+        .when(collection, "collection")
         .otherwise("unknown")
     )
     confidence = F.when(inferred, "file_inferred").when(declared & ((kind != "unknown") | some | (completion != "unknown")), "declared").otherwise("unknown")
-    return F.struct(kind.alias("kind"), seasons.alias("seasons"), start.alias("episode_start"), end.alias("episode_end"), count.alias("episode_count"), completion.alias("completion"), confidence.alias("confidence"))
+    return F.struct(kind.alias("kind"), seasons.alias("seasons"), start.alias("episode_start"), end.alias("episode_end"), count.alias("episode_count"), completion.alias("completion"), confidence.alias("confidence"), _shown(seasons, start, end, count, kind).alias("display"))
+
+
+def _shown(seasons: Column, start: Column, end: Column, count: Column, kind: Column) -> Column:
+    two = lambda c: F.concat(F.lit("S"), F.lpad(c.cast("string"), 2, "0"))
+    season = F.when(F.size(seasons) == 1, two(F.get(seasons, 0))).when(F.size(seasons) > 1, F.concat(two(F.get(seasons, 0)), F.lit("-"), two(F.element_at(seasons, -1))))
+    part = (
+        F.when((kind == "collection") & (F.size(seasons) == 0), SHOWN_COLLECTION)
+        .when(start == end, F.concat(F.lit("第 "), start.cast("string"), F.lit(" 集")))
+        .when(start.isNotNull(), F.concat(F.lit("第 "), start.cast("string"), F.lit("–"), end.cast("string"), F.lit(" 集")))
+        .when(count.isNotNull(), F.concat(count.cast("string"), F.lit("集")))
+    )
+    return F.coalesce(F.nullif(F.concat_ws(" · ", season, part), F.lit("")), F.lit(SHOWN_UNKNOWN))

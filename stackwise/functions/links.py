@@ -169,7 +169,7 @@ def classify_response(provider: Column, code: Column, body: Column) -> Column:
     """status:reason of a provider's answer. body: JSON text; members are compared as they stand there, so neither true
     nor 0.0 counts as a whole number."""
     is_object = body.rlike(r"^\s*\{")
-    raw = lambda name: F.nullif(F.regexp_extract(body, rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9.eE+]+|true|false|null)', 1), F.lit(""))
+    raw = lambda name: F.nullif(F.regexp_extract(body, rf'"{name}"\s*:\s*("[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9.eE+]+|true|false|null)', 1), F.lit(""))
     text = lambda name: F.when(raw(name).rlike('^"'), F.regexp_extract(raw(name), '^"(.*)"$', 1))
     verdict = lambda reason, other: F.when(reason.isNotNull(), F.concat(F.lit("invalid:"), reason)).otherwise(other)
     res, quark, state = raw("res_code"), raw("code"), raw("state")

@@ -61,12 +61,12 @@ def ratio(a: str | None, b: str | None) -> float:
 
 @F.pandas_udf(StringType())
 def _normalise_udf(s: pd.Series) -> pd.Series:
-    return s.map(normalise)
+    return s.map(normalise, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
 def _key_udf(s: pd.Series) -> pd.Series:
-    return s.map(key_of)
+    return s.map(key_of, na_action="ignore")
 
 
 @F.pandas_udf(DoubleType())
@@ -74,6 +74,11 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def is_ascii(c: Column) -> Column:
+    """One byte for each character. Python is then given null in a text's place: only other texts travel to it."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def normalise_ascii(c: Column) -> Column:
     """The built-in path, exact for texts without characters above 0x7F."""
     return F.trim(F.regexp_replace(F.translate(F.lower(c), ASCII_SEPARATORS, " " * len(ASCII_SEPARATORS)), r"[\s\x1c-\x1f\x0b]+", " "))
@@ -81,7 +86,7 @@ def normalise_ascii(c: Column) -> Column:
 
 def normalise_col(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), normalise_ascii(c)).otherwise(_normalise_udf(c))
+    return F.when(is_ascii(c), normalise_ascii(c)).otherwise(_normalise_udf(F.when(~is_ascii(c), c)))
 
 
 def fold_column(c: Column, charmap: dict[str, str] | None = None) -> Column:
@@ -107,7 +112,7 @@ def key_ascii(c: Column) -> Column:
 
 def search_key(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), key_ascii(c)).otherwise(_key_udf(c))
+    return F.when(is_ascii(c), key_ascii(c)).otherwise(_key_udf(F.when(~is_ascii(c), c)))
 
 
 def clean_text(c: Column, cap: int = 200) -> Column:

@@ -133,22 +133,26 @@ def x16_specs(spark, d):
     return e.select("p_partkey", "x.*")
 
 
-SAID = ["S01E01-E10 首更", "第二季 24集 完结", "第3集", "合集", "S1-S3 全集", "", "更新中 第十一季"]
-COMPOSED = """WITH s(k, kind, seasons, episode_start, episode_end, episode_count, completion, confidence) AS (VALUES (0, 'season_partial', '1', 1, 10, 10, 'updating', 'declared'), (1, 'season_complete', '2', NULL, NULL, 24, 'complete', 'declared'),
-  (2, 'episode_single', '', 3, 3, 1, 'unknown', 'declared'), (3, 'collection', '', NULL, NULL, NULL, 'unknown', 'declared'), (4, 'season_complete', '1,2,3', NULL, NULL, NULL, 'complete', 'declared'),
-  (5, 'unknown', '', NULL, NULL, NULL, 'unknown', 'unknown'), (6, 'season_partial', '11', NULL, NULL, NULL, 'updating', 'declared'))
-SELECT p_partkey, CASE WHEN f AND k = 3 THEN 'episode_range' WHEN f AND k = 5 THEN 'episode_range' WHEN f AND k IN (4, 6) THEN kind ELSE kind END AS kind, CASE WHEN f AND k IN (3, 5) THEN '2' ELSE seasons END AS seasons,
-  CASE WHEN f AND k IN (3, 4, 5, 6) THEN 5 ELSE episode_start END AS episode_start, CASE WHEN f AND k IN (3, 4, 5, 6) THEN 7 ELSE episode_end END AS episode_end,
-  CASE WHEN f AND k IN (3, 4, 5, 6) THEN 2 ELSE episode_count END AS episode_count, completion, CASE WHEN f AND k IN (3, 4, 5, 6) THEN 'file_inferred' ELSE confidence END AS confidence
-FROM (SELECT p_partkey, p_size % 2 = 0 AS f, s.* FROM part JOIN s ON s.k = p_partkey % 7)"""
+# remarks and file names made of each part's own numbers: s is a season, e an episode, k how many more
+SAID = [r"'S' || lpad(s::string, 2, '0') || '-' || (s + k) || ' 全集'", "'EP' || e || ' 更至 5集'", "'S' || s || 'E' || e || '-E' || (e + k) || ' 首更'", "'第' || s || '季 ' || e || '集 完结'", "'第 ' || e || ' ～ ' || (e + k) || ' 集'", "'合集 ' || e || '集'", "''", "'连载 第' || substring('零一二三四五六七八九', s % 10 + 1, 1) || '季'", "'x' || s || ' notes'"]
+COMPOSED = """WITH p AS (SELECT p_partkey, p_size % 30 + 1 AS s, p_partkey % 500 + 1 AS e, p_partkey % 4 AS k, p_partkey % 9 AS t, p_size % 2 = 0 AS f FROM part),
+q AS (SELECT *, f AND t IN (0, 6, 7, 8) AS inferred, CASE WHEN t = 0 THEN range(s, s + k + 1) WHEN t IN (2, 3) THEN [s] WHEN t = 7 AND s % 10 > 0 THEN [s % 10] WHEN f AND t IN (6, 7, 8) THEN [2] ELSE []::INT[] END AS ss,
+  CASE WHEN t IN (0, 3) THEN 'complete' WHEN t IN (2, 7) THEN 'updating' ELSE 'unknown' END AS completion FROM p),
+r AS (SELECT *, CASE WHEN inferred OR t IN (1, 2, 4) THEN e END AS a, CASE WHEN inferred OR t IN (2, 4) THEN e + k WHEN t = 1 THEN e END AS b FROM q),
+u AS (SELECT *, CASE WHEN inferred THEN 2 - (k = 0)::INT WHEN a IS NOT NULL THEN b - a + 1 WHEN t IN (3, 5) THEN e END AS n,
+  CASE WHEN len(ss) > 0 AND (completion = 'complete') THEN 'season_complete' WHEN len(ss) > 0 AND completion = 'updating' THEN 'season_partial' WHEN a = b THEN 'episode_single' WHEN a < b THEN 'episode_range' WHEN t = 5 THEN 'collection' ELSE 'unknown' END AS kind FROM r)
+SELECT p_partkey, kind, array_to_string(ss, ',') AS seasons, a AS episode_start, b AS episode_end, n AS episode_count, completion, CASE WHEN inferred THEN 'file_inferred' WHEN t IN (6, 8) THEN 'unknown' ELSE 'declared' END AS confidence,
+  coalesce(nullif(concat_ws(' · ', CASE WHEN len(ss) > 0 THEN 'S' || lpad(ss[1]::VARCHAR, 2, '0') || CASE WHEN len(ss) > 1 THEN '-S' || lpad(ss[-1]::VARCHAR, 2, '0') ELSE '' END END,
+    CASE WHEN kind = 'collection' THEN '合集' WHEN a = b THEN '第 ' || a || ' 集' WHEN a < b THEN '第 ' || a || '–' || b || ' 集' WHEN n IS NOT NULL THEN n || '集' END), ''), '构成未说明') AS display FROM u"""
 
 
 @query(COMPOSED)
 def x36_composition(spark, d):
-    text = F.get(F.array(*map(F.lit, SAID)), (F.col("p_partkey") % 7).cast("int"))
-    files = F.when(F.col("p_size") % 2 == 0, F.array(*map(F.lit, ["Show.S02E07.mkv", "show s02e05.MP4", "S09E09.txt", "notes.mkv"]))).otherwise(F.array().cast("array<string>"))
-    c = table(spark, d, "part").select("p_partkey", E.composition(text, files).alias("c"))
-    return c.select("p_partkey", "c.kind", F.array_join("c.seasons", ",").alias("seasons"), "c.episode_start", "c.episode_end", "c.episode_count", "c.completion", "c.confidence")
+    p = table(spark, d, "part").selectExpr("p_partkey", "p_size % 30 + 1 AS s", "p_partkey % 500 + 1 AS e", "p_partkey % 4 AS k", "p_partkey % 9 AS t", "p_size % 2 = 0 AS f")
+    said = F.expr("CASE t " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SAID)) + " END")
+    files = F.expr("CASE WHEN f THEN array('Show.S02E' || e || '.mkv', 'show ep' || (e + k) || '.MP4', 'S09E09.txt', 'notes.mkv') END")
+    c = p.select("p_partkey", E.composition(said, files).alias("c"))
+    return c.select("p_partkey", "c.kind", F.array_join("c.seasons", ",").alias("seasons"), "c.episode_start", "c.episode_end", "c.episode_count", "c.completion", "c.confidence", "c.display")
 
 
 WORKS = "CASE p_partkey % 3 WHEN 0 THEN '黑客 ' || p_brand WHEN 1 THEN 'Été, ' || p_brand ELSE p_name END"

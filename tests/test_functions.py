@@ -199,3 +199,38 @@ def test_incremental_index_equals_rebuild_on_changed_documents(spark, tmp_path):
     assert rows(got, "doc_id not in (4, 20, 21)") == rows(old, "doc_id not in (4, 20, 21)")
     search.write_terms(got, str(tmp_path / "again"), 4)
     assert rows(spark.read.parquet(str(tmp_path / "again")), "true") == rows(got, "true")
+
+
+@pytest.mark.parametrize("text,files,want", [
+    ("S01-04 全集", None, ("season_complete", [1, 2, 3, 4], None, None, None, "complete", "declared", "S01-S04")), ("EP12", None, ("episode_single", [], 12, 12, 1, "unknown", "declared", "第 12 集")),
+    ("第两季 完结", None, ("season_complete", [2], None, None, None, "complete", "declared", "S02")), ("更至 5集", None, ("unknown", [], None, None, 5, "unknown", "unknown", "5集")),
+    ("第零季 第三十一季 第十季", None, ("unknown", [10, 31], None, None, None, "unknown", "declared", "S10-S31")), ("第 3～7 集", None, ("episode_range", [], 3, 7, 5, "unknown", "declared", "第 3–7 集")),
+    ("全集 24集", None, ("collection", [], None, None, 24, "complete", "declared", "合集")), ("", ["a.E3.mkv", "S01E02.TS", "S02E02.ts", None, "e9.txt"], ("episode_range", [1, 2], 2, 3, 2, "unknown", "file_inferred", "S01-S02 · 第 2–3 集")),
+    (None, None, ("unknown", [], None, None, None, "unknown", "unknown", "构成未说明")), ("更新中 S3", ["S03E08.mkv"], ("season_partial", [3], 8, 8, 1, "updating", "file_inferred", "S03 · 第 8 集")),
+])
+def test_composition(spark, text, files, want):
+    c = spark.createDataFrame([(text, files)], "t string, f array<string>").select(E.composition(F.col("t"), F.col("f")).alias("c")).first()["c"]
+    assert tuple(c) == want
+
+
+# every pattern that the package gives to the JVM, and the unit that each of its loops can go round on
+LOOPS = ["a.", "x@a.", "1 ", "1-", "1.", "a1", "ab ", "\\\\\"", "\\\\n", "第1季", "S1E1-", "/ ", "集", "( ", "http://x ", "%41", "&a=b", "é ", "\U0001f600"]
+
+
+@pytest.mark.parametrize("unit", LOOPS)
+def test_long_bodies_and_texts(spark, unit):
+    """1 MB of one unit, in a JSON string, through every rule that matches patterns."""
+    body = '{"state": false, "code": "X", "error": "' + unit * (1_000_000 // len(unit)) + '"}'
+    long = unit * (1_000_000 // len(unit))
+    row = spark.createDataFrame([(body, long, 200)], "body string, long string, code int").select(
+        L.classify_response(F.lit("115"), F.col("code"), F.col("body")).alias("a"), L.classify_response(F.lit("alipan"), F.col("code"), F.col("body")).alias("b"),
+        E.parse_edition(F.col("long")).alias("c"), E.composition(F.col("long"), F.array("long")).alias("d"), C.parse_title(F.col("long"), F.lit("")).alias("e"), T.clean_text(F.col("long")).alias("f"), T.normalise_col(F.col("long")).alias("g"),
+    ).first()
+    assert row["b"] == "valid:ok" and row["a"].startswith("unknown")
+
+
+def test_ascii_texts_do_not_go_to_python(spark):
+    """The Python functions' argument is null where the text is plain ASCII."""
+    for column in (T.normalise_col(F.col("t")), T.search_key(F.col("t"))):
+        plan = spark.createDataFrame([("a",)], "t string").select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "udf(CASE WHEN NOT" in plan, plan
