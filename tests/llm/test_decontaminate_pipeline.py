@@ -156,3 +156,82 @@ def test_stages_judge_rows_not_ids(spark, sf_dir):
     assert sorted(map(str, stages["toxicity"](spark, docs, sf_dir).collect())) == sorted(map(str, docs.collect()))
     mixed = stages["mixing"](spark, docs, sf_dir)
     assert sorted(str((r["doc_id"], r["text"])) for r in mixed.collect()) == sorted(str(r) for r in rows)
+
+
+def reworded(rng, n_items=120, n_docs=360, kept=0.62):
+    """Items, and documents of which every second holds an item with some of its words replaced, but for its last ones:
+    too few in order for the lexical lane."""
+    vocab = [f"term{i}" for i in range(3000)] + ["the", "of", "and"] * 400
+    say = lambda k: [rng.choice(vocab) for _ in range(k)]
+    items = [say(rng.randint(24, 60)) for _ in range(n_items)]
+    docs, truth = [], {}
+    for i in range(n_docs):
+        w = say(rng.randint(40, 250))
+        if i % 2:
+            k = rng.randrange(n_items)
+            p = list(items[k])
+            for j in rng.sample(range(len(p) - 5), round((1 - kept) * len(p))):
+                p[j] = f"new{rng.randrange(10**9)}"
+            at = rng.randint(0, len(w))
+            w[at:at] = p
+            truth[i] = k
+        docs.append((i, " ".join(w)))
+    return items, docs, truth
+
+
+def test_paraphrases_come_by_the_latent_space(spark, monkeypatch):
+    """Recall of items that keep 62 % of their words; without the space, none of them is found."""
+    import numpy as np
+
+    from stackwise.llm import decontaminate as module
+
+    items, docs, truth = reworded(random.Random(21))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    ranks, real = [], module.latent_space
+    monkeypatch.setattr(module, "latent_space", lambda *a: (lambda r: (ranks.append(r[1].shape[1]), r)[1])(real(*a)))
+    hits = module.leaks(d, b).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in hits}
+    assert ranks and max(ranks) < len(items)
+    assert sum((i, k) in found for i, k in truth.items()) >= 0.9 * len(truth)
+    assert {r["doc_id"] for r in hits} <= set(truth) and {r["lane"] for r in hits} == {"latent"}
+    monkeypatch.setattr(module, "latent_space", lambda *a: (lambda r: (r[0], np.zeros_like(r[1])))(real(*a)))
+    assert module.leaks(d, b).count() <= 0.05 * len(truth)
+
+
+def test_lexical_lane_finds_all_that_the_space_drops(spark, monkeypatch):
+    import numpy as np
+
+    from stackwise.llm import decontaminate as module
+
+    items, docs, truth = reworded(random.Random(22), kept=0.75)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    both = {(r["doc_id"], r["item_id"]): r["lane"] for r in module.leaks(d, b).collect()}
+    real = module.latent_space
+    monkeypatch.setattr(module, "latent_space", lambda *a: (lambda r: (r[0], np.zeros_like(r[1])))(real(*a)))
+    alone = {(r["doc_id"], r["item_id"]): r["lane"] for r in module.leaks(d, b).collect()}
+    assert set(alone) == set(both) == set(truth.items()) and set(alone.values()) == {"lexical"} and "latent" in both.values()
+
+
+def test_space_is_the_blocks_main_directions(spark):
+    """The distributed SVD's space holds as much of the passages' weight as the exact one."""
+    import numpy as np
+
+    from stackwise.llm import decontaminate as module
+
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(900)] + ["the", "of"] * 200
+    say = lambda k: " ".join(rng.choice(vocab) for _ in range(k))
+    b = spark.createDataFrame([(k, say(40)) for k in range(200)], "item_id long, text string")
+    idf = np.ones(1 << module.BITS, np.float32)
+    block = list(module.passages(b))
+    none = spark.createDataFrame([], "words array<long>")
+    feats, v = module.latent_space(spark, block, idf, none)
+    assert v.shape[1] == module.RANK < len(block) and np.abs(v.T @ v - np.eye(module.RANK)).max() < 1e-3
+    a = np.zeros((len(block), len(feats)))
+    for k, (_, _, h) in enumerate(block):
+        at, n = np.unique(np.searchsorted(feats, module.places(h)), return_counts=True)
+        a[k, at] = n / np.sqrt((n * n).sum())
+    s = np.linalg.svd(a, compute_uv=False)
+    assert ((a @ v) ** 2).sum() >= 0.97 * (s[: module.RANK] ** 2).sum()
