@@ -8,13 +8,16 @@ selection. How many words of a document are taken follows from its place in the
 
 Shards hold about 1,000 documents, or more where that would make more than 65,536 of them and one for each source; their
 sizes, and the sources', are what the driver gets. More than MAX_SOURCES sources are refused. Documents are dealt to
-shards by a hash of id and text, so null or repeated ids don't gather in one.
+shards by a hash of id and text, so null or repeated ids don't gather in one. Rows without words are not placed at all, and
+equal rows (same source, id and text) have one place for all of them: the stream runs through them one after another, and
+which of them is the how-manieth is counted within the parts that they were written in, after the counts of the parts
+before. A row that a third of the corpus repeats so is one row of its shard's window.
 
 Defined results: null and empty texts have size 0 and nothing is taken; a null source is a source of its own, the last;
 sources without words have target 0; documents with equal or null doc_id are separate; repeated rows share a shard, one
 after another; a long text counts whole; ties in the order of a shard fall to id, then text hash, then size, after which
 rows are alike; reruns give the same rows; columns not asked for are ignored, whatever their names; an empty table gives
-an empty result.
+an empty result. Of equal rows, which one gets which of their takes is open.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights:
     spark = docs.sparkSession
     root = shared_dir(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_none")).alias("kept"))
-    d = materialise(d, "sizes", root)
+    d = materialise(d.withColumns({"rid": F.monotonically_increasing_id(), "piece": F.spark_partition_id()}), "sizes", root)
     found = d.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -122,11 +125,23 @@ def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights:
             q = min(q, cap * blocks)
             quotas.append((number, shard, block, blocks, q // blocks, q % blocks, (seed * 7919 + number * 104_729 + shard * 1_299_709) % blocks))
     q = spark.createDataFrame(quotas, "number int, shard int, block long, blocks long, rounds long, rest long, phase long")
-    w = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "h"), "doc_id", "h", "size")
-    d = d.withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.join(F.broadcast(q), ["number", "shard"], "left")
-    taken = F.coalesce(_taken(F.col("end")) - _taken(F.col("end") - F.col("size")), F.lit(0)).cast("long")
-    return d.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col("kept")[c].alias(c) for c in keep])
+    slim = d.where("size > 0").select("rid", "piece", "number", "shard", F.struct("doc_id", "h", "size").alias("k"))
+    same = slim.groupBy("number", "shard", "k").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"))
+    w = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "k.doc_id", "k.h"), "k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = same.withColumn("start", F.coalesce(F.sum(F.col("k.size") * F.col("copies")).over(w), F.lit(0)))
+    placed = materialise(placed.join(F.broadcast(q), ["number", "shard"]), "placed", root)
+    at = F.col("start") + F.coalesce("nth", F.lit(0)) * F.col("k.size")
+    taken = F.coalesce(_taken(at + F.col("k.size")) - _taken(at), F.lit(0)).cast("long").alias("taken")
+    once = placed.where("copies = 1").withColumn("nth", F.lit(0)).select("rid", taken)
+    several = slim.join(placed.where("copies > 1").drop("rid"), ["number", "shard", "k"])
+    several = materialise(several, "several", root)
+    before = Window.partitionBy("number", "shard", "k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = several.groupBy("number", "shard", "k", "piece").agg(F.count("*").alias("n")).select("number", "shard", "k", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("number", "shard", "k", "piece").orderBy("rid")
+    several = several.withColumn("nth", F.row_number().over(inside) - 1).join(pieces, ["number", "shard", "k", "piece"]).withColumn("nth", F.col("before") + F.col("nth"))
+    takes = once.unionByName(several.select("rid", taken))
+    d = d.join(takes, "rid", "left")
+    return d.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col("kept")[c].alias(c) for c in keep])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

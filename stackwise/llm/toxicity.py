@@ -5,11 +5,12 @@ byte below 0x80 that is no letter or digit as separator, hashed into 2^18 places
 non-zero weights; the model is at most 1 MB whatever the corpus, and goes to the executors with the task.
 
 Features of fewer than MIN_DOCS sampled documents are left out. The model is fitted on at most ``sample`` labelled
-documents, those with the smallest hash of doc_id outside the held-out fold; everything else reads the whole table.
+documents, those with the smallest hash of doc_id outside the held-out fold, and one text of each, the first by hash,
+however many rows it has; everything else reads the whole table.
 Labels, lang, source and doc_id are no features.
 
 Defined results: repeated labels of a document count as toxic if one says so, null labels are ignored; a null doc_id is
-never held out or used for fitting; repeated rows of a labelled doc_id are all fitted; null and empty texts have the
+never held out or used for fitting; repeated rows of a labelled doc_id are fitted as one; null and empty texts have the
 model's bias as score; a long text is scored whole; equal texts (ties) have equal scores; with fewer than one document of
 each class there is no model and every score is 0. Extra columns are ignored, whatever their names.
 """
@@ -105,12 +106,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
-    """Dense weights and bias, or None without both classes. docs: doc_id, text; labels: doc_id, toxic."""
+def fitted_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """At most ``sample`` rows of doc_id, toxic, text, one for each labelled id."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
+    """Dense weights and bias, or None without both classes. docs: doc_id, text; labels: doc_id, toxic."""
+    rows = fitted_rows(docs, labels, sample)
     rows = rows.mapInArrow(featurise, "doc_id long, toxic int, features array<int>")
     model = rows.groupBy(F.lit(0).alias("one")).applyInArrow(fit, "places binary, weights binary, bias double, classes int").first()
     if model is None or model["classes"] < 2:

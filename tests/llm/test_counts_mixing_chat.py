@@ -77,12 +77,14 @@ def test_mixing_takes_the_words_of_a_listed_stream(spark):
     """One source, one shard: every word of the stream listed, every block taken as often as the quota says."""
     rng = random.Random(7)
     rows = [(rng.choice([None, i, i // 2]), " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(0, 40)))) for i in range(300)]
-    d = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string")
+    rows += rows[:40] * 5 + [(None, "one hot text of many rows")] * 400
+    d = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string").repartition(6)
     order = [F.xxhash64(F.lit(18), "doc_id", F.xxhash64("text")), F.col("doc_id"), F.xxhash64("text")]
     docs = [(r["doc_id"], len(r["text"].split())) for r in d.orderBy(*order).collect()]
     size = sum(n for _, n in docs)
     goal = 1.5 * size
     block = max(1, min(64, int(goal // 32)))
+    assert len(docs) <= 1000  # one shard
     blocks = -(-size // block)
     quota = min(round(goal / block), 2 * blocks)
     times = [quota // blocks + ((i + 1) * (quota % blocks) + 17 * 7919 % blocks) // blocks - (i * (quota % blocks) + 17 * 7919 % blocks) // blocks for i in range(blocks)]
@@ -120,20 +122,35 @@ def test_chat_rotation(spark):
     assert chat_format(d.limit(0)).count() == 0
 
 
-def test_long_dialogues_repeat_their_system_turns(spark):
-    turns = [(1, 0, "system", "rules"), *[(1, i, "ann" if i % 2 else "bob", str(i)) for i in range(1, 100)], (1, 100, "cat", "x" * 60_000), *[(2, None, "ann", f"n{i:03d}") for i in range(9)], (2, None, "system", "s")]
-    d = spark.createDataFrame([(*t, 0) for t in turns], "conv_id long, turn long, role string, text string, part int")
-    got = {(r["conv_id"], r["perspective"], r["segment"], r["part"]): r for r in chat_format(d, segment=40, part=5).collect()}
-    assert {k for k in got if k[0] == 1 and k[1] == "cat"} == {(1, "cat", 0, 0), (1, "cat", 2, 4)}
-    ann = [got[k]["text"] for k in sorted((k for k in got if k[:2] == (1, "ann")), key=lambda k: k[2:])]
-    assert all(t.startswith("<|system|>\nrules<|end|>\n") for t in ann)
-    said = [w for t in ann for w in re.findall(r"assistant\|>\n(\d+)<", t)]
-    assert said == [str(i) for i in range(1, 100, 2)]
-    for r in got.values():
-        assert r["masks"] or (r["segment"] in (0, None) and r["part"] == 0)
-        assert all(r["text"][m["end"] - 7 : m["end"]] == "<|end|>" for m in r["masks"])
-    # without numbers: ten turns by role and text, five to a part; the only system turn stands in the last part
-    assert {k[2:] for k in got if k[0] == 2} == {(None, 0), (None, 1)}
+def rendered(turns, perspective):
+    """The whole dialogue, turn by turn."""
+    out, spans = "", []
+    for _, _, role, text in turns:
+        out += "<|system|>\n" if role == "system" else "<|assistant|>\n" if role == perspective else f"<|user name={role}|>\n"
+        if role == perspective:
+            spans.append((len(out), len(out) + len(text) + 7))
+        out += f"{text}<|end|>\n"
+    return out, spans
+
+
+def test_pieces_of_long_dialogues_join_to_the_whole(spark):
+    rng = random.Random(8)
+    turns = [(1, 0, "system", "rules"), *[(1, i, "ann" if i % 2 else "bob", "t" * rng.randint(0, 9) + str(i)) for i in range(1, 100)], (1, 100, "cat", "x" * 60_000), (1, 100, "system", "late"), *[(1, 7, "ann", f"tie{i:03d}") for i in range(30)]]
+    hot = [(2, None, "ann" if i % 3 else "bob", f"n{i:05d}") for i in range(4000)] + [(2, None, "system", "s")]  # most turns, without a number
+    d = spark.createDataFrame([(*t, 0) for t in turns + hot], "conv_id long, turn long, role string, text string, part int").repartition(6)
+    rows = chat_format(d, segment=40, part=64).collect()
+    assert max(r["n_turns"] for r in rows) <= 64 and len({(r["segment"], r["part"]) for r in rows if r["conv_id"] == 2}) == 63
+    for conv, own in ((1, turns), (2, hot)):
+        own = sorted(own, key=lambda t: (t[1] is not None, t[1] or 0, t[2], t[3]))
+        for who in {t[2] for t in own} - {"system"}:
+            mine = sorted((r for r in rows if r["conv_id"] == conv and r["perspective"] == who), key=lambda r: (r["segment"] is not None, r["segment"] or 0, r["part"]))
+            text, spans = rendered(own, who)
+            assert "".join(r["text"] for r in mine) == text
+            assert [r["begin_char"] for r in mine] == [sum(len(x["text"]) for x in mine[:i]) for i in range(len(mine))]
+            assert [(r["begin_char"] + m["start"], r["begin_char"] + m["end"]) for r in mine for m in r["masks"]] == spans
+    # rows for use by themselves begin with the system turns of those before
+    ann = sorted((r for r in chat_format(d, segment=40, part=64, heads=True).collect() if r["conv_id"] == 1 and r["perspective"] == "ann"), key=lambda r: (r["segment"], r["part"]))
+    assert len(ann) > 2 and all(r["text"].startswith("<|system|>\nrules<|end|>\n") for r in ann) and all(r["text"].count("rules") == 1 for r in ann)
 
 
 @pytest.mark.parametrize("table", ["given", "long"])

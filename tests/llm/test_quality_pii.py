@@ -169,3 +169,12 @@ def test_quality_without_rows_or_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["doc_id"]: (r["kept"], r["level"]) for r in quality_rules(d, none).collect()} == {1: (True, 0), 2: (False, 0), 3: (False, 0)}
     assert quality_rules(d.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["a.", "a", "@", "x@a.", "1", "1-", "1.", "1 ", "+1 ", "(1)", "2024-01-", "1/", "password=a", "AKIA", "A", "_/", "%+", " "])
+def test_long_texts_of_every_patterns_own_characters(spark, unit):
+    """1 MB of what each pattern can go round on; a finding after it is still replaced."""
+    long = unit * (1_000_000 // len(unit))
+    d = spark.createDataFrame([(1, f"x@{long} mail bob.b@mail.example.com now"), (2, long)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pseudonymise(d, "k").collect()}
+    assert "bob.b@mail.example.com" not in rows[1]["text"] and len(rows) == 2

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from stackwise.llm.toxicity import toxicity, without_toxic
+from stackwise.llm.toxicity import fitted_rows, toxicity, without_toxic
 
 BAD = ["vile", "nasty", "rotten"]
 
@@ -55,3 +55,15 @@ def test_each_row_is_kept_by_its_own_score(spark):
     scores = toxicity(d, lab).where("predicted = 0").count()
     assert len(kept) == scores
     assert without_toxic(d.limit(0), lab).count() == 0
+
+
+def test_a_labelled_id_on_a_third_of_all_rows_is_fitted_once(spark):
+    docs, labels = rows(300)
+    hot = [(1, f"vile {i % 3}", "x") for i in range(3000)]
+    d = spark.createDataFrame(docs + hot, "doc_id long, text string, source string").repartition(5)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fitted = fitted_rows(d, lab, 100)
+    assert fitted.count() == 100 and fitted.select("doc_id").distinct().count() == 100
+    whole = fitted_rows(d, lab).collect()
+    assert sum(r["doc_id"] == 1 for r in whole) == 1
+    assert sorted(map(str, whole)) == sorted(map(str, fitted_rows(d.repartition(3), lab).collect()))
