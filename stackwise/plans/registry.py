@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, function_queries, search_queries, state_queries
+from . import catalog_queries, function_queries, library_queries, search_queries, state_queries
 
-MODULES = [catalog_queries, function_queries, search_queries, state_queries]
+MODULES = [catalog_queries, function_queries, search_queries, state_queries, library_queries]
 
 
 def queries() -> dict:

@@ -27,7 +27,10 @@ def query(sql: str | None):
 
 def corpus(spark, d):
     """Items of four languages: the first eight words of a document are its title."""
-    t = table(spark, d, "documents").select("doc_id", "text")
+    return corpus_of(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def corpus_of(t):
     # a limited split reads no further than the title's eight words and what may stand before them
     words = F.array_remove(F.split("text", r"[^\p{L}\p{M}\p{N}]+", 10), "")
     boost = search.static_boost(F.col("doc_id") % 2 == 0, F.col("doc_id") % 10, F.col("doc_id") % 3 == 0)
