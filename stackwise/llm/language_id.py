@@ -7,8 +7,8 @@ their bytes, so every byte of every text counts. Training is Adam on windows cut
 them shortened, so that short texts are known too.
 
 The network is fitted on at most ``sample`` labelled texts outside the held-out fold, PIECES windows of each: of every
-language the first by a hash of id and text, the languages in turn, one row for equal rows; what is gathered does not grow
-with the corpus. Weights are some 20 KB and go to the tasks. Neither lang, source nor doc_id is an input.
+language an equal number, the first by a hash of the id, one row for equal rows; what is gathered does not grow with the
+corpus. Weights are some 20 KB and go to the tasks. Neither lang, source nor doc_id is an input.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0, and so is every text if no row has a language;
 a null doc_id is never held out and never learned from; rows with null lang are not learned from; repeated rows each get
@@ -146,20 +146,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample_of(docs: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` rows of doc_id, lang, pieces; docs: doc_id, text, lang. Rows are thinned by hash to a few times
+    """At most ``sample`` rows of doc_id, lang, pieces; docs: doc_id, text, lang. Rows are thinned by hash to about twice
     what is wanted of a language before any of them is moved; the counts need two short columns."""
     rows = docs.where("doc_id is not null and lang is not null").where(~held_out())
     counts = rows.groupBy("lang").agg(F.count("*").alias("of"))
-    kept = counts.select(F.col("lang").alias("name"), (F.lit(4.0 * sample) / F.col("of")).alias("share"))
+    turns = counts.agg(F.greatest(F.lit(1), F.ceil(F.lit(sample) / F.count("*"))).cast("int").alias("turns"))
+    kept = counts.crossJoin(F.broadcast(turns)).select(F.col("lang").alias("name"), "turns", ((2 * F.col("turns") + 200) / F.col("of")).alias("share"))
     place = F.xxhash64(F.lit(13), "doc_id")
     rows = rows.join(kept, F.col("lang") == F.col("name")).where(F.pmod(place, F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     length = F.char_length("text")
     start = [F.lit(1), *(F.greatest(F.lit(1), F.floor((length - WINDOW) * (k / (PIECES - 1))).cast("int") + 1) for k in range(1, PIECES))]
     pieces = F.array_distinct(F.array(*[F.substring("text", s, F.lit(WINDOW)) for s in start]))
-    rows = rows.groupBy("lang", "doc_id", F.xxhash64("text").alias("h")).agg(F.first(pieces).alias("pieces"))
+    rows = rows.groupBy("lang", "turns", "doc_id", F.xxhash64("text").alias("h")).agg(F.first(pieces).alias("pieces"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id", "h")
-    rows = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample)
+    rows = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= F.col("turns"))
     return rows.orderBy("turn", F.xxhash64("lang"), "lang").limit(sample).select("doc_id", "lang", "pieces")
 
 
