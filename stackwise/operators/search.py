@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, fold_column, is_cjk, strip_marks
-from .tokens import STOPWORDS, Asked, Terms, classify, last_word, plain_column, token_column, understand
+from .tokens import KINDS, STOPWORDS, Asked, Terms, classify, last_word, plain_column, token_column, token_of, token_strings, understand
 
 # fixed values: ranking constants
 K1, B = 1.2, 0.75
@@ -44,21 +44,22 @@ def postings(docs: DataFrame, charmap: dict[str, str] | None = None) -> DataFram
     """
     fields = [f for f in FIELD_WEIGHTS if f in docs.columns]
     text = lambda f: F.array_join(f, " ") if docs.schema[f].dataType.typeName() == "array" else F.col(f)
-    d = docs.select("doc_id", *[text(f).alias(f) for f in fields]).repartition("doc_id").select("doc_id", *[token_column(F.col(f), charmap).alias(f) for f in fields])
+    d = docs.select("doc_id", *[text(f).alias(f) for f in fields]).repartition("doc_id").select("doc_id", *[token_strings(F.col(f), charmap).alias(f) for f in fields])
     ends, at = [], F.lit(0)
     for f in fields:
         at = at + F.size(f)
         ends.append(at.alias(f"end_{f}"))
     rows = d.select("doc_id", *ends, F.concat(*fields).alias("all"))
-    rows = rows.select("doc_id", F.size("all").cast("long").alias("dl"), *[f"end_{f}" for f in fields], F.posexplode("all").alias("pos", "t"))
+    # the outer form: for the inner one, the optimizer tests the array's size below, which splits all texts once more
+    rows = rows.select("doc_id", F.size("all").cast("long").alias("dl"), *[f"end_{f}" for f in fields], F.posexplode_outer("all").alias("pos", "w")).where("w is not null")
+    term, nth = token_of(F.col("w"))
     counts = []
     for before, f in zip([None, *fields], fields, strict=False):
         inside = F.col("pos") < F.col(f"end_{f}")
         counts.append(F.count_if(inside & (F.col("pos") >= F.col(f"end_{before}")) if before else inside).alias(f"tf_{f}"))
-    kinds = sorted(KIND_WEIGHTS)
-    nth = F.array_position(F.array(*map(F.lit, kinds)), F.col("t.kind"))  # a number, so that rows combine by hash
-    p = rows.groupBy("doc_id", "dl", F.col("t.term").alias("term")).agg(F.min(nth).alias("nth"), (F.min("pos") == 0).alias("first"), *counts)
-    return p.select("doc_id", "term", F.element_at(F.array(*map(F.lit, kinds)), F.col("nth").cast("int")).alias("kind"), "dl", "first", *[f"tf_{f}" for f in fields])
+    # the kind is a number, so that rows combine by hash
+    p = rows.groupBy("doc_id", "dl", term.alias("term")).agg(F.min(nth).alias("nth"), (F.min("pos") == 0).alias("first"), *counts)
+    return p.select("doc_id", "term", F.element_at(F.array(*map(F.lit, KINDS)), F.col("nth").cast("int")).alias("kind"), "dl", "first", *[f"tf_{f}" for f in fields])
 
 
 def document_frequencies(p: DataFrame) -> DataFrame:
@@ -144,7 +145,8 @@ def build_index(docs: DataFrame, path: str, buckets: int = BUCKETS, charmap: dic
     """Writes the index of docs (doc_id, title, and what else postings and document_keys know) to a new folder. Choose
     buckets so that a partition of ``terms`` has some million rows."""
     spark = docs.sparkSession
-    keys = document_keys(docs, charmap)
+    document_keys(docs, charmap).write.parquet(f"{path}/documents")
+    keys = spark.read.parquet(f"{path}/documents")
     with_documents(postings(docs, charmap), keys).write.parquet(f"{path}/postings")
     p = spark.read.parquet(f"{path}/postings")
     vocabulary = p.groupBy("term").agg(F.min("kind").alias("kind"), F.count("*").alias("df"))
@@ -154,8 +156,9 @@ def build_index(docs: DataFrame, path: str, buckets: int = BUCKETS, charmap: dic
     names.repartitionByRange("name", "doc_id").sortWithinPartitions("name").write.parquet(f"{path}/names")
     index = open_index(spark, path, charmap)
     write_terms(weighted(p.join(index.table("vocabulary").select("term", "df"), "term"), index.n_docs, index.avgdl), f"{path}/terms", buckets)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/postings")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    for name in ("postings", "documents"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return index
 
 
@@ -201,10 +204,13 @@ def recall(rows: DataFrame, terms: Terms, limit: int = RECALL) -> DataFrame:
     gate = F.col("term").isin(*terms.names) & reduce(lambda a, b: a | b, [F.col(f"w_{f}").isNotNull() for f in fields if f in NAME_FIELDS])
     mixed = terms.numeric and not terms.numeric & set(terms.names)
     factor = F.when(F.col("term").isin(*sorted(terms.numeric)), NUMERIC_WEIGHT).otherwise(1.0) if mixed else F.lit(1.0)
-    name = F.sum(F.when(gate, reduce(lambda a, b: a + b, names)).otherwise(0.0))
+    scored = rows.withColumns({"_name": reduce(lambda a, b: a + b, names), "_gate": gate})
+    # the gate first, on sums of numbers; only then what else is known of the documents that it let in and kept
+    hits = scored.where("_gate").groupBy("doc_id").agg(F.round(F.sum("_name"), 9).alias("name_score"), F.sum("_name").alias("_exact"), F.count("*").alias("matched"))
+    hits = F.broadcast(hits.orderBy(F.desc("name_score"), "doc_id").limit(limit))
     more = F.sum(factor * F.coalesce("w_overview", F.lit(0.0))) if "overview" in fields else F.lit(0.0)
-    hits = rows.groupBy("doc_id").agg(F.round(name, 9).alias("name_score"), F.round(name + more, 9).alias("score"), F.count_if(gate).alias("matched"), F.first("doc", ignorenulls=True).alias("doc")).where("matched > 0")
-    return hits.orderBy(F.desc("name_score"), "doc_id").limit(limit)
+    known = scored.join(hits, "doc_id").groupBy("doc_id", "name_score", "_exact", "matched").agg(more.alias("_more"), F.first("doc", ignorenulls=True).alias("doc"))
+    return known.select("doc_id", "name_score", F.round(F.col("_exact") + F.col("_more"), 9).alias("score"), "matched", "doc").orderBy(F.desc("name_score"), "doc_id")
 
 
 def recall_many(index: Index, queries: DataFrame, limit: int = RECALL) -> DataFrame:
