@@ -149,11 +149,12 @@ def sample_of(docs: DataFrame, sample: int) -> DataFrame:
     """At most ``sample`` rows of doc_id, lang, pieces; docs: doc_id, text, lang. Rows are thinned by hash to about twice
     what is wanted of a language before any of them is moved; the counts need two short columns."""
     rows = docs.where("doc_id is not null and lang is not null").where(~held_out())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("of"))
+    # of more languages than the sample has rows, the most frequent ones; so few that they can be broadcast
+    counts = rows.groupBy("lang").agg(F.count("*").alias("of")).orderBy(F.desc("of"), "lang").limit(sample)
     turns = counts.agg(F.greatest(F.lit(1), F.ceil(F.lit(sample) / F.count("*"))).cast("int").alias("turns"))
     kept = counts.crossJoin(F.broadcast(turns)).select(F.col("lang").alias("name"), "turns", ((2 * F.col("turns") + 200) / F.col("of")).alias("share"))
     place = F.xxhash64(F.lit(13), "doc_id")
-    rows = rows.join(kept, F.col("lang") == F.col("name")).where(F.pmod(place, F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    rows = rows.join(F.broadcast(kept), F.col("lang") == F.col("name")).where(F.pmod(place, F.lit(1 << 20)) < F.col("share") * (1 << 20))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     length = F.char_length("text")
     start = [F.lit(1), *(F.greatest(F.lit(1), F.floor((length - WINDOW) * (k / (PIECES - 1))).cast("int") + 1) for k in range(1, PIECES))]
