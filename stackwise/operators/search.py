@@ -197,20 +197,28 @@ def expansions(index: Index, prefix: str, limit: int = EXPANSIONS) -> DataFrame:
     return index.table("vocabulary").where((F.col("kind") == "latin") & F.startswith("term", F.lit(prefix))).orderBy("term").limit(limit).select("term")
 
 
-def recall(rows: DataFrame, terms: Terms, limit: int = RECALL) -> DataFrame:
-    """doc_id, name_score, score, matched, doc of at most limit documents that a name field lets in. rows: of terms.all."""
-    fields = [c[2:] for c in rows.columns if c.startswith("w_")]
-    names = [F.coalesce(f"w_{f}", F.lit(0.0)) for f in fields if f in NAME_FIELDS]
-    gate = F.col("term").isin(*terms.names) & reduce(lambda a, b: a | b, [F.col(f"w_{f}").isNotNull() for f in fields if f in NAME_FIELDS])
+def _quoted(values) -> str:
+    """Literals of a statement that spark.sql formats with tables."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}") + "'" for v in values) or "NULL"
+
+
+def _recall(columns: list[str], terms: Terms, limit: int) -> str:
+    """The statement of recall, over {rows}. A query's plan is one statement: it is analysed once, not for each step."""
+    fields = [c[2:] for c in columns if c.startswith("w_")]
+    named = [f for f in fields if f in NAME_FIELDS]
     mixed = terms.numeric and not terms.numeric & set(terms.names)
-    factor = F.when(F.col("term").isin(*sorted(terms.numeric)), NUMERIC_WEIGHT).otherwise(1.0) if mixed else F.lit(1.0)
-    scored = rows.withColumns({"_name": reduce(lambda a, b: a + b, names), "_gate": gate})
+    factor = f"CASE WHEN term IN ({_quoted(sorted(terms.numeric))}) THEN {NUMERIC_WEIGHT}D ELSE 1D END" if mixed else "1D"
+    more = f"sum({factor} * coalesce(w_overview, 0D))" if "overview" in fields else "0D"
     # the gate first, on sums of numbers; only then what else is known of the documents that it let in and kept
-    hits = scored.where("_gate").groupBy("doc_id").agg(F.round(F.sum("_name"), 9).alias("name_score"), F.sum("_name").alias("_exact"), F.count("*").alias("matched"))
-    hits = F.broadcast(hits.orderBy(F.desc("name_score"), "doc_id").limit(limit))
-    more = F.sum(factor * F.coalesce("w_overview", F.lit(0.0))) if "overview" in fields else F.lit(0.0)
-    known = scored.join(hits, "doc_id").groupBy("doc_id", "name_score", "_exact", "matched").agg(more.alias("_more"), F.first("doc", ignorenulls=True).alias("doc"))
-    return known.select("doc_id", "name_score", F.round(F.col("_exact") + F.col("_more"), 9).alias("score"), "matched", "doc").orderBy(F.desc("name_score"), "doc_id")
+    return f"""
+WITH scored AS (SELECT *, {" + ".join(f"coalesce(w_{f}, 0D)" for f in named)} AS name_part, term IN ({_quoted(terms.names)}) AND ({" OR ".join(f"w_{f} IS NOT NULL" for f in named)}) AS gate FROM {{rows}}),
+hits AS (SELECT doc_id, round(sum(name_part), 9) AS name_score, sum(name_part) AS exact, count(*) AS matched FROM scored WHERE gate GROUP BY doc_id ORDER BY name_score DESC, doc_id LIMIT {int(limit)}),
+recalled AS (SELECT /*+ BROADCAST(hits) */ doc_id, name_score, round(exact + {more}, 9) AS score, matched, first(doc, true) AS doc FROM scored JOIN hits USING (doc_id) GROUP BY doc_id, name_score, exact, matched)"""
+
+
+def recall(rows: DataFrame, terms: Terms, limit: int = RECALL) -> DataFrame:
+    """doc_id, name_score, score, matched, doc of at most limit documents that a name field lets in. rows: of terms.all."""
+    return rows.sparkSession.sql(f"{_recall(rows.columns, terms, limit)} SELECT * FROM recalled ORDER BY name_score DESC, doc_id", rows=rows)
 
 
 def recall_many(index: Index, queries: DataFrame, limit: int = RECALL) -> DataFrame:
@@ -242,30 +250,31 @@ def with_pinyin(hits: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame
     return both.select("doc_id", "name_score", F.greatest("score", "s").alias("score"), F.coalesce("matched", F.lit(1)).alias("matched"), F.coalesce("doc", "d").alias("doc"), "lane")
 
 
+def _rerank(source: str, asked: Asked, terms: Terms, charmap: dict[str, str] | None, lane: str) -> str:
+    """The statement of rerank, over a source with doc_id, score, matched and doc."""
+    text = _quoted([fold(asked.text, charmap)])
+
+    def has(t: str) -> str:
+        q = _quoted([t])
+        return f"(contains(doc.key, {q}) OR exists(doc.aliases, a -> contains(a, {q})))" if any(map(is_cjk, t)) else f"array_contains(doc.words, {q})"
+
+    number = {t: f"has{i}" for i, t in enumerate(terms.names)}
+    any_of = lambda found: "(" + (" OR ".join(number[t] for t in found if t in number) or "false") + ")"
+    units = " + ".join(f"CAST({any_of([t for t in terms.names if u in terms.units_of(t)])} AS int)" for u in terms.units) or "0"
+    by_year = f"CASE WHEN doc.year = {asked.year} THEN 1.2D ELSE 0.8D END" if asked.year is not None else "1D"
+    return f"""
+SELECT doc_id, key, tier, round(coverage, 6) AS coverage, round(score * (1 + 0.15D * (matched - 1)) * (CASE WHEN exact_name THEN 2D ELSE 1D END * CASE WHEN begins THEN 1.5D ELSE 1D END * CASE WHEN contains(key, {text}) THEN 1.3D ELSE 1D END) * {by_year} * doc.boost * (1 + 0.5D * coverage), 6) AS final
+FROM (SELECT *, CASE WHEN exact_name THEN 0 WHEN begins OR exists(doc.aliases, a -> startswith(a, {text})) OR {any_of(terms.runs)} OR lane = 1 THEN 1 WHEN {any_of(terms.bigrams)} OR coverage >= 0.5D OR lane = 2 THEN 2 ELSE 3 END AS tier
+  FROM (SELECT *, CASE WHEN lane = 1 THEN 1D ELSE ({units}) / {max(1, len(terms.units))} END AS coverage
+    FROM (SELECT doc_id, score, matched, doc, doc.key AS key, {lane} AS lane, coalesce(doc.key = {text}, false) OR coalesce(array_contains(doc.aliases, {text}), false) AS exact_name, coalesce(startswith(doc.key, {text}), false) AS begins{"".join(f", {has(t)} AS {n}" for t, n in number.items())} FROM {source})))
+ORDER BY tier, final DESC, doc_id"""
+
+
 def rerank(hits: DataFrame, asked: Asked, terms: Terms, charmap: dict[str, str] | None = None) -> DataFrame:
     """doc_id, key, tier, coverage, final, in order of tier, final and id. Tiers: 0 the name itself, 1 its beginning, a
     whole run of the query or pinyin, 2 a bigram, half of the units or initials, 3 else."""
-    text, key, aliases = fold(asked.text, charmap), F.col("doc.key"), F.col("doc.aliases")
-    lane = F.coalesce("lane", F.lit(0)) if "lane" in hits.columns else F.lit(0)
-    any_of = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
-    within = lambda t: F.contains(key, F.lit(t)) | F.exists(aliases, lambda a: F.contains(a, F.lit(t)))
-    has = {t: within(t) if any(map(is_cjk, t)) else F.array_contains("doc.words", t) for t in terms.names}
-    hits = hits.select("*", *[c.alias(f"_has{i}") for i, c in enumerate(has.values())])
-    has = {t: F.col(f"_has{i}") for i, t in enumerate(has)}
-    covered = [any_of([has[t] for t in terms.names if u in terms.units_of(t)]).cast("int") for u in terms.units]
-    coverage = F.when(lane == 1, 1.0).otherwise(reduce(lambda a, b: a + b, covered, F.lit(0)) / max(1, len(terms.units)))
-    exact = (key == text) | F.array_contains(aliases, text)
-    begins = F.startswith(key, F.lit(text))
-    tier = (
-        F.when(exact, 0)
-        .when(begins | F.exists(aliases, lambda a: F.startswith(a, F.lit(text))) | any_of([has[t] for t in terms.runs if t in has]) | (lane == 1), 1)
-        .when(any_of([has[t] for t in terms.bigrams if t in has]) | (coverage >= 0.5) | (lane == 2), 2)
-        .otherwise(3)
-    )
-    by_year = F.when(F.col("doc.year") == asked.year, 1.2).otherwise(0.8) if asked.year is not None else F.lit(1.0)
-    boosts = F.when(exact, 2.0).otherwise(1.0) * F.when(begins, 1.5).otherwise(1.0) * F.when(F.contains(key, F.lit(text)), 1.3).otherwise(1.0)
-    final = F.col("score") * (1 + 0.15 * (F.col("matched") - 1)) * boosts * by_year * F.col("doc.boost") * (1 + 0.5 * coverage)
-    return hits.select("doc_id", key.alias("key"), tier.alias("tier"), F.round(coverage, 6).alias("coverage"), F.round(final, 6).alias("final")).orderBy("tier", F.desc("final"), "doc_id")
+    lane = "coalesce(lane, 0)" if "lane" in hits.columns else "0"
+    return hits.sparkSession.sql(_rerank("{hits}", asked, terms, charmap, lane), hits=hits)
 
 
 def corrections(vocabulary: DataFrame, terms: list[str]) -> DataFrame:
@@ -301,14 +310,15 @@ def ranked(index: Index, asked: Asked, limit: int = RECALL, editions: DataFrame
     if not terms.all or not index.n_docs:
         return index.spark.createDataFrame([], RANKED)
     rows = index.terms(terms.all)
-    hits = recall(rows, terms, limit)
     text = asked.text.strip()
+    # the query's own terms decide on evidence and coverage, not the words that its last one may begin
+    own = classify(asked.text, charmap=index.charmap)
     if index.pinyin and text.isascii() and " " not in text:
         found = by_pinyin(index, fold(text, index.charmap))
         docs = index.table("terms").join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi").where("doc is not null").groupBy("doc_id").agg(F.first("doc").alias("doc"))
-        hits = with_pinyin(hits, found, docs)
-    # the query's own terms decide on evidence and coverage, not the words that its last one may begin
-    out = rerank(hits, asked, classify(asked.text, charmap=index.charmap), index.charmap)
+        out = rerank(with_pinyin(recall(rows, terms, limit), found, docs), asked, own, index.charmap)
+    else:
+        out = index.spark.sql(_recall(rows.columns, terms, limit) + _rerank("recalled", asked, own, index.charmap, "0"), rows=rows)
     return out if editions is None else with_filters(out, asked, editions)
 
 
