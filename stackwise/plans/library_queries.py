@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ladder, search, upserts
+from ..operators import cascade, ladder, search, upserts
 from ..operators.segments import Maintained
 from ..session import shared_folder, written
 from ..sources.bundles import Library, Matched, Plan
@@ -181,3 +181,27 @@ def u4_state_table(spark, d):
     t.merge(rows, latest)
     t.merge(rows.where("k % 50 = 3").withColumns({"v": F.concat("v", F.lit(" later")), "touched": F.lit(True)}), latest)
     return t.read()
+
+
+# every third and fourth customer of four became the one before; shares are parts, fingerprints priorities
+CASCADE = """WITH m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 IN (2, 3) THEN c_custkey - c_custkey % 4 + 1 ELSE c_custkey END AS root FROM customer),
+e0 AS (SELECT o_orderkey AS edition_id, m.root AS item_id, m.root % 4 = 1 AND (SELECT count(*) FROM m x WHERE x.root = m.root) > 1 AS touched, o_orderpriority AS fingerprint FROM orders JOIN m ON m.id = o_custkey),
+e AS (SELECT *, CASE WHEN touched THEN min(edition_id) OVER (PARTITION BY item_id, fingerprint) ELSE edition_id END AS target FROM e0),
+l0 AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS link_id, target, l_partkey AS share, folded FROM lineitem JOIN (SELECT *, count(*) OVER (PARTITION BY target) AS folded FROM e) e ON e.edition_id = l_orderkey),
+l AS (SELECT *, CASE WHEN folded > 1 THEN min(link_id) OVER (PARTITION BY target, share) ELSE link_id END AS kept FROM l0),
+ne AS (SELECT item_id, count(*) AS editions FROM e WHERE edition_id = target GROUP BY 1), nl AS (SELECT e.item_id, count(*) AS links FROM l JOIN e ON e.edition_id = l.target WHERE link_id = kept GROUP BY 1)
+SELECT m.id AS item_id, coalesce(editions, 0) AS editions, coalesce(links, 0)::BIGINT AS links, 0::BIGINT AS orphans FROM m LEFT JOIN ne ON ne.item_id = m.id LEFT JOIN nl ON nl.item_id = m.id WHERE m.id = m.root"""
+
+
+@query(CASCADE)
+def e6_cascade(spark, d):
+    """Chains of merged items through editions and links; counts of touched items alone are made anew."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("item_id"))
+    editions = table(spark, d, "orders").select(F.col("o_orderkey").alias("edition_id"), F.col("o_custkey").alias("item_id"), F.col("o_orderpriority").alias("fingerprint"))
+    links = table(spark, d, "lineitem").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("link_id"), F.col("l_orderkey").alias("edition_id"), F.col("l_partkey").alias("share")).distinct()
+    changes = c.where("item_id % 4 IN (2, 3)").select(F.col("item_id").alias("old"), (F.col("item_id") - 1).alias("new"))
+    m = cascade.cascade(changes, c, editions, links, {"ratings": c})
+    n = editions.join(links.groupBy("edition_id").agg(F.count("*").alias("links")), "edition_id", "left").groupBy("item_id").agg(F.count("*").alias("editions"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    stored = c.join(n, "item_id", "left").na.fill(0)
+    lost = cascade.orphans(m).agg(F.count("*").alias("orphans"))
+    return cascade.recounted(m, stored).crossJoin(F.broadcast(lost))
