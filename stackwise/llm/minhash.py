@@ -36,6 +36,7 @@ PERMUTATIONS = 96
 ROUNDS = 2
 CHUNK = 128
 SLAB = 4096
+BITS = 1 << 25
 FACTORS = np.random.default_rng(7001).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
 OFFSETS = np.random.default_rng(7002).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
@@ -147,8 +148,23 @@ def set_maker(width: int):
     return step
 
 
+def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of texts whose tid may be one of ids (id): all that are, and few others. Each id sets one of BITS bits, 4 MB for
+    any number of ids, which are broadcast; a join with the ids then moves these texts and not all."""
+
+    def place(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(BITS))
+
+    bits = ids.select(place("id").alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = F.bitmap_bit_position(place("tid"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = texts.join(F.broadcast(bits), F.bitmap_bucket_number(place("tid")) == F.col("bucket"))
+    return found.where(F.getbit(byte, at % 8) == 1).select(texts.columns)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str, root: str) -> DataFrame:
     """The links among distinct (a, b), written. a's text meets b's by joins whose hot sides Spark can split."""
+    texts = likely(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     with_a = pairs.join(texts, F.col("a") == F.col("tid")).select("a", "b", F.col("text").alias("ta"))
     with_both = with_a.join(texts, F.col("b") == F.col("tid")).select("a", "b", "ta", F.col("text").alias("tb"))
     return materialise(with_both.mapInArrow(pair_checker(width, percent), "a long, b long"), name, root)
@@ -240,12 +256,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
         pivot = F.min(F.struct(turn.alias("t"), "rep", "n", "comp")).alias("p")
         mixed = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), pivot).where("c0 <> c1").select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
         pairs = here.join(mixed, "key").where((F.col("comp") != F.col("pc")) & (F.least("n", "pn") * 100 >= percent * F.greatest("n", "pn"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        pairs = materialise(pairs, f"pairs{r}", root)
         links = confirm(pairs, texts, width, percent, f"links{r}", root)
         nodes = materialise(relabelled(nodes, links.unionByName(same) if r == 0 else links), f"nodes{r + 1}", root)
 
     units = materialise(units_of(members.join(nodes.select("rep", "comp"), "rep")), "units", root)
     still = units.select("rep", "comp").distinct()
-    sets = still.join(texts, F.col("rep") == F.col("tid")).select("rep", "comp", "text").mapInArrow(set_maker(width), "rep long, comp long, shingles array<long>")
+    sets = still.join(likely(texts, still.select(F.col("rep").alias("id"))), F.col("rep") == F.col("tid")).select("rep", "comp", "text").mapInArrow(set_maker(width), "rep long, comp long, shingles array<long>")
     sets = materialise(sets.select("rep", "shingles"), "sets", root)
     links = units.join(sets, "rep").groupBy("key", "u", "v").applyInArrow(unit_checker(percent), "a long, b long")
     nodes = relabelled(nodes, materialise(links, "links", root))

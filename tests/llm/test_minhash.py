@@ -4,7 +4,7 @@ import re
 import pytest
 
 from stackwise.llm.graph import components
-from stackwise.llm.minhash import near_duplicates
+from stackwise.llm.minhash import likely, near_duplicates
 
 
 def sets_of(text):
@@ -92,3 +92,14 @@ def test_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r["id"]: r["comp"] for r in components(e).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_joins_move_the_texts_of_their_ids_only(spark):
+    """A bitmap keeps every text that is asked for, and hardly another."""
+    rng = random.Random(4)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(20_000)] + [0, -1, 2**63 - 1, -(2**63)]
+    texts = spark.createDataFrame([(i, str(i)) for i in ids], "tid long, text string")
+    asked = ids[::10] + ids[-4:]
+    got = {r["tid"] for r in likely(texts, spark.createDataFrame([(i,) for i in asked], "id long")).collect()}
+    assert set(asked) <= got and len(got) <= len(set(asked)) + 20
+    assert likely(texts, spark.createDataFrame([], "id long")).count() == 0
