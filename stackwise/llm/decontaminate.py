@@ -1,11 +1,12 @@
 """Operator 7: benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words over all documents give the IDF weights (2^18 places, a fixed size).
-2. A randomised SVD of TF-IDF passages, of a block of benchmark passages and of a bounded sample of the corpus, gives the
-   latent space: every task multiplies its rows A with a matrix G and returns its share of A'(A G); the sum, a few MB, is
-   made orthogonal on the driver and goes round once more. RANK directions (of few passages three quarters) are fewer than
-   the passages, so the space keeps what passages have in common and drops what is single; CORPUS of the weight in it is
-   the corpus'.
+1. All documents are hashed word by word once, and kept so for the passes that follow. Document frequencies over all of them
+   give the IDF weights (2^18 places, a fixed size).
+2. A randomised SVD of TF-IDF passages, of a block of benchmark passages and of the whole corpus, each word of it in one
+   passage, gives the latent space: every task multiplies its rows A with a matrix G and returns its share of A'(A G); the
+   sum, a few MB, is made orthogonal on the driver and goes round once more. RANK directions (of few passages three
+   quarters) are fewer than the passages, so the space keeps what passages have in common and drops what is single; CORPUS
+   of the weight in it is the corpus', by the words that the latent lane compares.
 3. Latent lane: every document is read in windows that start every STEP words, as long as the items are. Windows and items
    are projected, and windows whose cosine to an item is COSINE or more, with NORM of its length, are candidates.
 4. A candidate is confirmed by the longest common subsequence of item and words around the window: it covers LCS of the
@@ -15,8 +16,9 @@
    the least weight a part LCS of its words can have are confirmed by that part too, so no stretch with LCS of an item is
    lost, whatever the space is. Paraphrases come by the latent lane only. Each hit names its lane.
 
-The benchmark is read passage by passage. The corpus is read once for all blocks whose models fit in MODELS bytes (some
-3,000 passages), which is also the most that goes to a task; a larger benchmark takes a pass for each such part.
+The benchmark is read passage by passage. The hashed corpus is read twice for each block's space and once for all blocks
+whose models fit in MODELS bytes (some 3,000 passages), which is also the most that goes to a task; a larger benchmark takes
+a pass for each such part.
 
 Words are runs of letters, digits and bytes from 0x80, ASCII-lower-cased. Defined results: null and empty texts, and
 items without words, match nothing; items of any length are looked for, very short ones as they stand; a long text is read
@@ -50,10 +52,11 @@ ANSWER = 5
 ANSWER_WEIGHT = 0.3
 RANK = 96
 BLOCK = 256
-SAMPLE = 4096  # corpus passages that the space is fitted on
+GROUP = 512  # corpus passages that are multiplied at a time
 CORPUS = 0.25
 COSINE, NORM = 0.6, 0.5
 MODELS = 128 << 20
+HASHED = "ids array<long>, ends binary, words binary"
 HITS = "doc_id long, item_id long, lcs double, lane string"
 
 
@@ -104,24 +107,38 @@ def summed(rows: DataFrame, dtype: str, fan: int) -> np.ndarray:
     return np.concatenate([parts[i] for i in range(SLABS)]) if parts else np.zeros(0, dtype)
 
 
-def count_documents(batches):
-    df, n = np.zeros((1 << BITS) + SLABS, np.int64), 0
+def hash_documents(batches):
+    """About 1 MB of text to a row: its ids, offsets and word hashes."""
     for batch in slices(batches, "text"):
         h, off = terms(batch["text"])
+        ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch["doc_id"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array([pack_bytes(off.astype(np.int64))], pa.binary()), pa.array([pack_bytes(h)], pa.binary())], ["ids", "ends", "words"])
+
+
+def hashed_rows(batches) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, word hashes, offsets) of each row of HASHED."""
+    for batch in batches:
+        for ids, ends, words in zip(batch["ids"], batch["ends"], batch["words"], strict=True):
+            yield ids.values, unpack_bytes(words.as_py()).view(np.uint64), unpack_bytes(ends.as_py()).view(np.int64)
+
+
+def count_documents(batches):
+    df, n = np.zeros((1 << BITS) + SLABS, np.int64), 0
+    for ids, h, off in hashed_rows(batches):
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
         keys = np.unique(doc.astype(np.int64) << BITS | places(h)) & ((1 << BITS) - 1)
         df[:-SLABS] += np.bincount(keys, minlength=1 << BITS)
-        n += batch.num_rows
+        n += len(ids)
     df[-1] = n
     yield vector_rows(df, task_number())
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(weights of all places, number of documents)."""
-    df = summed(docs.select("text").mapInArrow(count_documents, VECTOR), "int64", 1024)
+def inverse_frequencies(hashed: DataFrame) -> np.ndarray:
+    """Weights of all places."""
+    df = summed(hashed.mapInArrow(count_documents, VECTOR), "int64", 1024)
     n = int(df[-1]) if len(df) else 0
     df = df[:-SLABS] if len(df) else np.zeros(1 << BITS, np.int64)
-    return np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05), n
+    return np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
 
 
 def passages(benchmark: DataFrame) -> Iterator[tuple[int, bool, np.ndarray]]:
@@ -136,57 +153,79 @@ def passages(benchmark: DataFrame) -> Iterator[tuple[int, bool, np.ndarray]]:
                 yield r["item_id"], k + 1 == len(cuts), words
 
 
-def middles(batches):
-    """A passage from the middle of each text, as word hashes."""
-    for batch in slices(batches, "text"):
-        h, off = terms(batch["text"])
-        out = []
-        for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            at = lo + max(0, hi - lo - PASSAGE) // 2
-            out.append(h[at : min(hi, at + PASSAGE)].view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["words"])
-
-
-def corpus_sample(docs: DataFrame, n: int, root: str) -> DataFrame:
-    """words of at most SAMPLE passages, of the documents whose text hashes lowest; thinned before any is moved."""
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    few = docs.select("text").where("text is not null").where(place < F.lit(min(1.0, 4 * SAMPLE / max(1, n)) * (1 << 30))).distinct()
-    return materialise(few.orderBy(place, "text").limit(SAMPLE).mapInArrow(middles, "words array<long>").where(F.size("words") > 0), "sample", root)
-
-
-def latent_space(spark, block: list, idf: np.ndarray, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(features that the block has, ascending; their coordinates in the space, orthonormal columns)."""
+def needs(block: list, idf: np.ndarray, feats: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """(each passage's features, how often and how heavy; the weight that a copy shares at least; whether a feature is light,
+    that is, weighs little in every passage)."""
+    times, light, least = [], np.ones(len(feats), bool), np.zeros(len(block))
+    for k, (_, _, h) in enumerate(block):
+        at, n = np.unique(np.searchsorted(feats, places(h)), return_counts=True)
+        w2 = idf[feats[at]].astype(np.float64) ** 2
+        times.append((at, n, w2))
+        least[k] = 0.999 * least_weight(np.repeat(w2, n))
+        order = np.argsort(w2, kind="stable")
+        light[at[order][np.cumsum((n * w2)[order]) > least[k] / 2]] = False
+    return times, least, light
+
+
+def corpus_sharer(g: np.ndarray, lookup: np.ndarray, idf: np.ndarray, size: int):
+    """Share of A'(A g) and of A's squared length. Rows of A are all passages of PASSAGE words, of unit length over all of their
+    words, of which A has those that lookup knows; a word's count goes in by its root, so that a length is a plain sum. lookup: place to row of g, or -1."""
+    weight = np.zeros(len(g), np.float32)
+    weight[lookup[lookup >= 0]] = idf[lookup >= 0]
+
+    def share(batches):
+        b, total = np.zeros(g.shape, np.float32), 0.0
+        for _, h, off in hashed_rows(batches):
+            p = places(h)
+            parts = -(-np.diff(off) // PASSAGE)
+            starts = np.repeat(off[:-1], parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * PASSAGE
+            at = lookup[p]
+            take = np.flatnonzero(at >= 0)
+            if not len(take):
+                continue
+            length = np.sqrt(np.add.reduceat(idf[p] ** 2, starts))
+            key, count = np.unique((np.searchsorted(starts, take, side="right") - 1) * len(g) + at[take], return_counts=True)
+            own, word = key // len(g), key % len(g)
+            w = (np.sqrt(count) * weight[word] / length[own]).astype(np.float32)
+            total += float((w.astype(np.float64) ** 2).sum())
+            cuts = np.searchsorted(own, np.arange(0, len(starts) + GROUP, GROUP))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                new = np.diff(own[i:j], prepend=-1) != 0
+                y = np.add.reduceat(g[word[i:j]] * w[i:j, None], np.flatnonzero(new), axis=0)
+                order = np.argsort(word[i:j], kind="stable")
+                by_word = word[i:j][order]
+                first = np.flatnonzero(np.diff(by_word, prepend=-1))
+                b[by_word[first]] += np.add.reduceat(y[(np.cumsum(new) - 1)[order]] * w[i:j][order, None], first, axis=0)
+        v = np.zeros(size, np.float32)
+        v[: b.size] = b.ravel()
+        v[b.size] = total
+        yield vector_rows(v, task_number())
+
+    return share
+
+
+def latent_space(spark, block: list, idf: np.ndarray, corpus: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(features that the block has, ascending; their coordinates in the space, orthonormal columns). corpus: HASHED."""
     feats = np.unique(np.concatenate([places(h) for _, _, h in block]))
     rank = min(RANK, max(1, 3 * len(block) // 4), len(feats))
     width = min(rank + 8, len(feats))  # a few directions more make the first ones right
-    size = -(-len(feats) * width // SLABS) * SLABS
-    lookup = np.full(1 << BITS, -1, np.int64)
-    lookup[feats] = np.arange(len(feats))
+    size = -(-(len(feats) * width + 1) // SLABS) * SLABS
+    times, _, light = needs(block, idf, feats)
+    lookup = np.full(1 << BITS, -1, np.int32)
+    lookup[feats[~light]] = np.flatnonzero(~light)
+    own = np.zeros((len(block), len(feats)), np.float32)
+    for k, (at, n, _) in enumerate(times):
+        w = n * idf[feats[at]]
+        own[k, at] = w / max(1e-9, np.sqrt((w * w).sum()))
 
-    def sharer(g: np.ndarray):
-        def share(batches):
-            b = np.zeros((len(feats), width), np.float32)
-            for batch in batches:
-                for words, own in zip(batch["words"].to_pylist(), batch["weight"].to_pylist(), strict=True):
-                    p = places(np.array(words, np.int64).view(np.uint64))
-                    at, n = np.unique(p, return_counts=True)
-                    w = n * idf[at]
-                    w *= own / max(1e-9, np.sqrt((w * w).sum()))
-                    inside = lookup[at] >= 0
-                    at, w = lookup[at[inside]], w[inside].astype(np.float32)
-                    b[at] += w[:, None] * (w @ g[at])
-            v = np.zeros(size, np.float32)
-            v[: b.size] = b.ravel()
-            yield vector_rows(v, task_number())
-
-        return share
-
-    own = spark.createDataFrame([(h.view(np.int64).tolist(), 1.0) for _, _, h in block], "words array<long>, weight double")
-    n = sample.count()
-    rows = own.unionByName(sample.withColumn("weight", F.lit(float(np.sqrt(CORPUS / (1 - CORPUS) * len(block) / n)) if n else 0.0)))
     q = np.random.default_rng(4711).standard_normal((len(feats), width)).astype(np.float32)
     for _ in range(2):
-        y = summed(rows.mapInArrow(sharer(q), VECTOR), "float32", 16)[: len(feats) * width].reshape(len(feats), width)
+        y = own.T @ (own @ q)
+        rest = summed(corpus.mapInArrow(corpus_sharer(q, lookup, idf, size), VECTOR), "float32", 16)
+        if len(rest) and rest[y.size] > 0:
+            y += np.float32(CORPUS / (1 - CORPUS) * len(block) / rest[y.size]) * rest[: y.size].reshape(y.shape)
         u, s, _ = np.linalg.svd(y.astype(np.float64), full_matrices=False)
         q = u.astype(np.float32)
     return feats, u[:, :rank][:, s[:rank] > 1e-9 * s[0]].astype(np.float32)
@@ -233,15 +272,10 @@ def model_of(block: list, idf: np.ndarray, feats: np.ndarray, v: np.ndarray) ->
     words = [h.view(np.int64).tolist() for _, _, h in block]
     # each item's words by number (-1: others; the last column is for words outside the space), how often and how heavy
     local = np.full((len(block), len(feats) + 1), -1, np.int16)
-    times, light, least = [], np.ones(len(feats), bool), np.zeros(len(block))
-    for k, (_, _, h) in enumerate(block):
-        at, n = np.unique(np.searchsorted(feats, places(h)), return_counts=True)
-        w2 = idf[feats[at]].astype(np.float64) ** 2
+    times, least, light = needs(block, idf, feats)
+    for k, (at, _, _) in enumerate(times):
         local[k, at] = np.arange(len(at))
-        times.append((n, w2))
-        least[k] = 0.999 * least_weight(np.repeat(w2, n))
-        order = np.argsort(w2, kind="stable")
-        light[at[order][np.cumsum((n * w2)[order]) > least[k] / 2]] = False
+    times = [(n, w2) for _, n, w2 in times]
     # Words that weigh little in every item are most of a text. They are left out of the products, and an item then needs
     # that much less. part: per word, its share of what each item needs.
     part = np.zeros((len(feats), len(block)), np.float32)
@@ -360,12 +394,11 @@ def model_of(block: list, idf: np.ndarray, feats: np.ndarray, v: np.ndarray) ->
 
 def searcher(models: list[Callable]):
     def step(batches):
-        for batch in slices(batches, "text"):
-            h, off = terms(batch["text"])
+        for ids, h, off in hashed_rows(batches):
             found = [x for search in models for x in search(h, off)]
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch["doc_id"][d].as_py() for d, *_ in found], pa.int64()), pa.array([i for _, i, *_ in found], pa.int64()), pa.array([x for *_, x, _ in found], pa.float64()), pa.array([lane for *_, lane in found], pa.string())],
+                    [pa.array([ids[d].as_py() for d, *_ in found], pa.int64()), pa.array([i for _, i, *_ in found], pa.int64()), pa.array([x for *_, x, _ in found], pa.float64()), pa.array([lane for *_, lane in found], pa.string())],
                     ["doc_id", "item_id", "lcs", "lane"],
                 )
 
@@ -378,19 +411,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = passages(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null"))
-    hits, models, size, idf, sample, root = [], [], 0, None, None, shared_dir(spark)
+    hits, models, size, idf, root = [], [], 0, None, shared_dir(spark)
     while block := list(islice(items, BLOCK)):
         if idf is None:
-            idf, documents = inverse_frequencies(d)
-            sample = corpus_sample(d, documents, root)
-        search, n = model_of(block, idf, *latent_space(spark, block, idf, sample))
+            hashed = materialise(d.mapInArrow(hash_documents, HASHED), "hashed", root)
+            idf = inverse_frequencies(hashed)
+        search, n = model_of(block, idf, *latent_space(spark, block, idf, hashed))
         if models and size + n > MODELS:
-            hits.append(materialise(d.mapInArrow(searcher(models), HITS), f"hits{len(hits)}", root))
+            hits.append(materialise(hashed.mapInArrow(searcher(models), HITS), f"hits{len(hits)}", root))
             models, size = [], 0
         models.append(search)
         size += n
     if models:
-        hits.append(d.mapInArrow(searcher(models), HITS))
+        hits.append(hashed.mapInArrow(searcher(models), HITS))
     out = reduce(DataFrame.unionByName, hits) if hits else spark.createDataFrame([], HITS)
     best = F.max(F.struct("lcs", (F.col("lane") == "latent").alias("latent"), "lane"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.lcs", "b.lane")

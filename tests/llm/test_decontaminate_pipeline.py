@@ -235,3 +235,45 @@ def test_space_is_the_blocks_main_directions(spark):
         a[k, at] = n / np.sqrt((n * n).sum())
     s = np.linalg.svd(a, compute_uv=False)
     assert ((a @ v) ** 2).sum() >= 0.97 * (s[: module.RANK] ** 2).sum()
+
+
+def test_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """Words that stand together at the ends of documents, not in their middles: the space holds as much of the weight of
+    the benchmark and all passages as the exact one."""
+    import numpy as np
+
+    from stackwise.llm import decontaminate as module
+
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [rng.sample(vocab, 24) for _ in range(40)]
+    docs = []
+    for i in range(300):
+        topic = vocab[i % 10 * 40 : i % 10 * 40 + 40]
+        docs.append((i, " ".join([*rng.sample(topic, 30), *(f"x{rng.randrange(10**6)}" for _ in range(162)), *rng.sample(topic, 30)])))
+    docs.append((None, None))
+    seen, real = [], module.latent_space
+    monkeypatch.setattr(module, "CORPUS", 0.95)
+    monkeypatch.setattr(module, "latent_space", lambda *a: (lambda r: (seen.append((a[1], a[2], *r)), r)[1])(real(*a)))
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    module.leaks(spark.createDataFrame(docs, "doc_id long, text string"), b)
+    [(block, idf, feats, v)] = seen
+
+    light = module.needs(block, idf, feats)[2]
+
+    def row(p, root):
+        at, n = np.unique(p, return_counts=True)
+        w = (np.sqrt(n) if root else n) * idf[at]
+        inside = np.isin(at, feats[~light] if root else feats)
+        out = np.zeros(len(feats))
+        out[np.searchsorted(feats, at[inside])] = (w / np.sqrt((w * w).sum()))[inside]
+        return out
+
+    import pyarrow as pa
+
+    own = [row(module.places(h), False) for _, _, h in block]
+    words = [module.places(module.terms(pa.array([t]))[0]) for _, t in docs[:-1]]
+    rest = np.array([row(p[i : i + 64], True) for p in words for i in range(0, len(p), 64)])
+    a = np.concatenate([own, rest * np.sqrt(19 * len(own) / (rest**2).sum())])
+    s = np.linalg.svd(a, compute_uv=False)
+    assert ((a @ v) ** 2).sum() >= 0.95 * (s[: v.shape[1]] ** 2).sum()
