@@ -277,3 +277,16 @@ def test_space_is_fitted_on_every_passage(spark, monkeypatch):
     a = np.concatenate([own, rest * np.sqrt(19 * len(own) / (rest**2).sum())])
     s = np.linalg.svd(a, compute_uv=False)
     assert ((a @ v) ** 2).sum() >= 0.95 * (s[: v.shape[1]] ** 2).sum()
+
+
+def test_pipeline_fits_its_space_on_every_word(spark, sf_dir, monkeypatch):
+    import pyarrow as pa
+
+    from stackwise.llm import decontaminate as module
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    corpora, real = [], module.latent_space
+    monkeypatch.setattr(module, "latent_space", lambda *a: (corpora.append(a[3]), real(*a))[1])
+    dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, sf_dir)
+    words = sum(len(h) for _, h, _ in module.hashed_rows(b for c in corpora[:1] for b in c.toArrow().to_batches()))
+    assert words == sum(len(module.terms(pa.array([r["text"]], pa.string()))[0]) for r in docs.select("text").collect()) > 0
