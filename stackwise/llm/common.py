@@ -6,6 +6,9 @@ as ``[^\\x20\\x09-\\x0D]+`` on characters, since those bytes never occur inside
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +43,17 @@ def materialise(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new shared folder that goes with the block; what outlives the block must be written elsewhere or collected."""
+    root = shared_dir(spark)
+    try:
+        yield root
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(30))
     x *= C2

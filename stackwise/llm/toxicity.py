@@ -4,9 +4,11 @@ Features of a text are the distinct words, word pairs and pairs with one word be
 byte below 0x80 that is no letter or digit as separator, hashed into 2^18 places. Per-coordinate rates and L1 leave few
 non-zero weights; the model is at most 1 MB whatever the corpus, and goes to the executors with the task.
 
-Features of fewer than MIN_DOCS sampled documents are left out. The model is fitted on at most ``sample`` labelled
-documents, those with the smallest hash of doc_id outside the held-out fold, and one text of each, the first by hash,
-however many rows it has; everything else reads the whole table.
+The model is fitted on every labelled document outside the held-out fold, and one text of each, the first by hash, however
+many rows it has. Documents are dealt by a hash of doc_id to parts of about PART to 2 PART; each part is fitted by itself, without
+features of fewer than MIN_DOCS of its documents, and the model is the mean of the parts' weights by their documents
+(parameter mixing). Fewer than 2 PART documents are one part. Weights are summed as whole numbers, so any order gives the same.
+``sample`` fits on so many documents with the smallest hashes only; no query sets it.
 Labels, lang, source and doc_id are no features.
 
 Defined results: repeated labels of a document count as toxic if one says so, null labels are ignored; a null doc_id is
@@ -25,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import C1, LOWER, U, flat_bytes, join2, mix64, slices, word_hashes
+from .common import C1, LOWER, U, flat_bytes, join2, materialise, mix64, scratch, slices, word_hashes
+from .minhash import likely
 
 BITS = 18
-SAMPLE = 12_000
+PART = 12_000
+SCALE = 1 << 24  # of weights summed as whole numbers
 THRESHOLD = 0.3
 MIN_DOCS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.01
@@ -61,30 +65,26 @@ def feature_rows(texts) -> tuple[np.ndarray, np.ndarray]:
     return (keys & U((1 << BITS) - 1)).astype(np.int32), np.searchsorted(keys >> U(BITS), np.arange(len(off)).astype(np.uint64))
 
 
-def featurise(batches):
-    for batch in slices(batches, "text"):
-        flat, off = feature_rows(batch["text"])
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))], ["doc_id", "toxic", "features"])
-
-
 def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
     return np.where(np.abs(z) <= L1, 0.0, w)
 
 
+MODEL = "documents long, toxic long, bias double, places array<int>, weights array<float>"
+
+
 def fit(key, table):
-    """FTRL-proximal over the sample in a fixed order; the last coordinate is the bias, which L1 spares."""
+    """FTRL-proximal over a part in a fixed order; the last coordinate is the bias, which L1 spares."""
     order = np.argsort(mix64(table["doc_id"].to_numpy().astype(np.uint64)), kind="stable")
     y = table["toxic"].to_numpy().astype(float)
-    feats = table["features"].combine_chunks()
-    if isinstance(feats, pa.ChunkedArray):
-        feats = pa.concat_arrays(feats.chunks)
-    off, flat = feats.offsets.to_numpy().astype(np.int64), feats.values.to_numpy()
+    pieces = [feature_rows(b["text"]) for b in slices(table.to_batches(), "text")]
+    flat = np.concatenate([f for f, _ in pieces])
+    off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in pieces]))])
     often = (np.bincount(flat, minlength=1 << BITS) >= MIN_DOCS)[flat]
     off, flat = np.concatenate([[0], np.cumsum(often)])[off], flat[often]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bz = bn = 0.0
-    for _ in range(max(3, min(10, 36_000 // max(1, len(y))))):  # small samples are read more often
+    for _ in range(max(3, min(10, 36_000 // max(1, len(y))))):  # small parts are read more often
         for i in order.tolist():
             at = flat[off[i] : off[i + 1]]
             w = weights_of(z[at], n[at])
@@ -99,31 +99,41 @@ def fit(key, table):
     w = weights_of(z, n).astype(np.float32)
     at = np.flatnonzero(w).astype(np.int32)
     bias = -bz / ((BETA + math.sqrt(bn)) / ALPHA + L2)
-    return pa.table({"places": pa.array([at.tobytes()], pa.binary()), "weights": pa.array([w[at].tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64()), "classes": pa.array([len(np.unique(y))], pa.int32())})
+    one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+    return pa.table({"documents": pa.array([len(y)], pa.int64()), "toxic": pa.array([int(y.sum())], pa.int64()), "bias": pa.array([bias], pa.float64()), "places": one(at, pa.int32()), "weights": one(w[at], pa.float32())})
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fitted_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` rows of doc_id, toxic, text, one for each labelled id."""
+def fitted_rows(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> DataFrame:
+    """doc_id, toxic, text: one row for each labelled id of docs, or for those with the ``sample`` smallest hashes."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    if sample is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # only texts with a label are moved, and copies are combined before
+    texts = likely(docs.select(F.col("doc_id").alias("tid"), "text"), chosen.select(F.col("doc_id").alias("id")))
+    texts = texts.groupBy(F.col("tid").alias("doc_id")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return texts.join(chosen, "doc_id").select("doc_id", "toxic", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> tuple[np.ndarray, float] | None:
     """Dense weights and bias, or None without both classes. docs: doc_id, text; labels: doc_id, toxic."""
-    rows = fitted_rows(docs, labels, sample)
-    rows = rows.mapInArrow(featurise, "doc_id long, toxic int, features array<int>")
-    model = rows.groupBy(F.lit(0).alias("one")).applyInArrow(fit, "places binary, weights binary, bias double, classes int").first()
-    if model is None or model["classes"] < 2:
-        return None
+    with scratch(docs.sparkSession) as root:
+        rows = materialise(fitted_rows(docs, labels, sample), "fitted", root)
+        part = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(max(1, rows.count() // PART)))
+        parts = materialise(rows.groupBy(part.alias("part")).applyInArrow(fit, MODEL), "parts", root)
+        whole = lambda w: F.sum(F.round(w * F.col("documents") * SCALE).cast("long"))
+        total = parts.agg(F.sum("documents").alias("n"), F.sum("toxic").alias("toxic"), whole(F.col("bias")).alias("bias")).first()
+        if not total["toxic"] or total["toxic"] == total["n"]:
+            return None
+        each = parts.select("documents", F.explode(F.arrays_zip("places", "weights")).alias("x"))
+        each = each.groupBy(F.col("x.places").alias("place")).agg(whole(F.col("x.weights").cast("double")).alias("w")).toArrow()
     w = np.zeros(1 << BITS, np.float32)
-    w[np.frombuffer(model["places"], np.int32)] = np.frombuffer(model["weights"], np.float32)
-    return w, model["bias"]
+    w[each["place"].to_numpy()] = each["w"].to_numpy() / (total["n"] * SCALE)
+    return w, total["bias"] / (total["n"] * SCALE)
 
 
 def scorer(model):
@@ -144,7 +154,7 @@ def scorer(model):
     return step
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, score, and with ``keep`` the row itself as ``row``."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if keep else []))
     model = train(d.select("doc_id", "text"), labels, sample)
@@ -153,13 +163,13 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return rows.mapInArrow(scorer(model), out)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     out = scored(docs, labels, sample, id_col, text_col)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with a score below the threshold; each row by its own text."""
     return scored(docs, labels, sample, id_col, text_col, keep=True).where(F.col("score") < threshold).select("row.*")
 

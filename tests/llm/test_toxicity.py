@@ -67,3 +67,30 @@ def test_a_labelled_id_on_a_third_of_all_rows_is_fitted_once(spark):
     whole = fitted_rows(d, lab).collect()
     assert sum(r["doc_id"] == 1 for r in whole) == 1
     assert sorted(map(str, whole)) == sorted(map(str, fitted_rows(d.repartition(3), lab).collect()))
+
+
+def test_every_labelled_document_is_fitted(spark):
+    d = spark.range(17_000).selectExpr("id AS doc_id", "concat('word', id % 50, IF(id % 7 = 0, ' vile', ' fine')) AS text")
+    lab = d.selectExpr("doc_id", "IF(doc_id % 7 = 0, 1, 0) AS toxic")
+    fitted = fitted_rows(d, lab)
+    assert fitted.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(17_000)) > 12_000
+
+
+def test_parts_make_one_model(spark, monkeypatch):
+    """Parts of about 100 documents, whatever their order and partitions; labels of ids that no row has make no parts."""
+    from stackwise.llm import toxicity as module
+
+    docs, labels = rows(1200)
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    lab = spark.createDataFrame([*labels, *((i, 1, i % 2) for i in range(50_000, 52_000))], "doc_id long, quality int, toxic int")
+    n = fitted_rows(d, lab).count()
+    assert n == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1200))
+    monkeypatch.setattr(module, "PART", 100)
+    seen, real = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name, root: (lambda r: (seen.extend(x["documents"] for x in r.collect() if name == "parts"), r)[1])(real(df, name, root)))
+    got = toxicity(d, lab).collect()
+    assert len(seen) == n // 100 and sum(seen) == n and min(seen) >= 50
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.9
+    assert sorted(map(str, got)) == sorted(map(str, toxicity(d.repartition(3), lab.repartition(5)).collect()))
