@@ -6,6 +6,7 @@ as ``[^\\x20\\x09-\\x0D]+`` on characters, since those bytes never occur inside
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -27,9 +28,9 @@ BYTE_KEY = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint
 POWERS = np.multiply.accumulate(np.concatenate([[U(1)], np.full(4095, U(0xD6E8FEB86659FD93))]).astype(np.uint64))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder, which is also set for checkpoint()."""
-    path = shared_folder(spark)
+def shared_dir(spark: SparkSession, below: str | None = None) -> str:
+    """A new folder below the given one, or the cluster's checkpoint folder, which is also set for checkpoint()."""
+    path = f"{below}/{uuid.uuid4().hex}" if below else shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return path
@@ -43,6 +44,12 @@ def materialise(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, root: str) -> None:
+    """Deletes a shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new shared folder that goes with the block; what outlives the block must be written elsewhere or collected."""
@@ -50,8 +57,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     try:
         yield root
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        discard(spark, root)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -21,13 +21,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return low.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, below: str | None = None) -> DataFrame:
     """(id, comp) for every end of an edge (a, b); comp is the smallest id of its component.
 
     Rounds are logarithmic in the longest path; each is written to the shared folder, which ends its lineage. Hubs are
     joined to their minimum only, so Spark can split a hot hub's rows.
     """
-    root = shared_dir(edges.sparkSession)
+    root = shared_dir(edges.sparkSession, below)
     e = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges0", root)
     state = None
     for i in range(1, 64):

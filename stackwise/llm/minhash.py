@@ -170,11 +170,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name:
     return materialise(with_both.mapInArrow(pair_checker(width, percent), "a long, b long"), name, root)
 
 
-def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def relabelled(nodes: DataFrame, links: DataFrame, below: str | None = None) -> DataFrame:
     """nodes (rep, comp) with the components that new links between reps give."""
     here = nodes.select("rep", "comp")
     ends = links.join(here.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(here.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
-    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("comp", "to")
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), below).withColumnRenamed("comp", "to")
     return nodes.join(joined, F.col("comp") == F.col("id"), "left").withColumn("comp", F.coalesce("to", "comp")).drop("id", "to")
 
 
@@ -230,11 +230,11 @@ def units_of(here: DataFrame) -> DataFrame:
     return rows.select("key", F.least("chunk", "other").alias("u"), F.greatest("chunk", "other").alias("v"), "rep", "comp", "chunk")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, below: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents whose shingle sets have a Jaccard similarity of
-    percent/100 or more."""
+    percent/100 or more. below: a shared folder for all that is written, which must last until the result is read."""
     spark = docs.sparkSession
-    root = shared_dir(spark)
+    root = shared_dir(spark, below)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = materialise(d.mapInArrow(sketcher(width, rows_per_band(percent)), SKETCH), "sketch", root)
     nodes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -258,14 +258,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
         pairs = here.join(mixed, "key").where((F.col("comp") != F.col("pc")) & (F.least("n", "pn") * 100 >= percent * F.greatest("n", "pn"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
         pairs = materialise(pairs, f"pairs{r}", root)
         links = confirm(pairs, texts, width, percent, f"links{r}", root)
-        nodes = materialise(relabelled(nodes, links.unionByName(same) if r == 0 else links), f"nodes{r + 1}", root)
+        nodes = materialise(relabelled(nodes, links.unionByName(same) if r == 0 else links, below), f"nodes{r + 1}", root)
 
     units = materialise(units_of(members.join(nodes.select("rep", "comp"), "rep")), "units", root)
     still = units.select("rep", "comp").distinct()
     sets = still.join(likely(texts, still.select(F.col("rep").alias("id"))), F.col("rep") == F.col("tid")).select("rep", "comp", "text").mapInArrow(set_maker(width), "rep long, comp long, shingles array<long>")
     sets = materialise(sets.select("rep", "shingles"), "sets", root)
     links = units.join(sets, "rep").groupBy("key", "u", "v").applyInArrow(unit_checker(percent), "a long, b long")
-    nodes = relabelled(nodes, materialise(links, "links", root))
+    nodes = relabelled(nodes, materialise(links, "links", root), below)
 
     out = sketch.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "comp"), "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))

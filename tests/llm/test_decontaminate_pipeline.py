@@ -290,3 +290,20 @@ def test_pipeline_fits_its_space_on_every_word(spark, sf_dir, monkeypatch):
     dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, sf_dir)
     words = sum(len(h) for _, h, _ in module.hashed_rows(b for c in corpora[:1] for b in c.toArrow().to_batches()))
     assert words == sum(len(module.terms(pa.array([r["text"]], pa.string()))[0]) for r in docs.select("text").collect()) > 0
+
+
+def test_stages_clear_what_nothing_reads(spark, sf_dir, tmp_path, monkeypatch):
+    """Sketches, buckets and links are gone when the verdicts are written, and tables between stages with the next one."""
+    import uuid
+
+    from stackwise.llm import common
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"{tmp_path}/{uuid.uuid4().hex}")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        stage(spark, docs, sf_dir).collect()
+        left = {p.name for p in tmp_path.glob("*/*")}
+        assert left == {"toxicity": set(), "near_duplicates": {"rows", "copies"}}[name]
+    mixed = corpus_pipeline.run(spark, sf_dir)
+    assert not [p for p in tmp_path.glob("*/*") if p.name in dict(corpus_pipeline.STAGES)]
+    assert mixed.count() > 0
