@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
@@ -44,6 +45,12 @@ def materialise(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether every row has a whole number of its own there, so that it can be told from others by that."""
+    whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    return whole and docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty()
+
+
 def discard(spark: SparkSession, root: str) -> None:
     """Deletes a shared folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)

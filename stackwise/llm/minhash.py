@@ -140,25 +140,17 @@ def pair_checker(width: int, percent: int):
     return step
 
 
-def set_maker(width: int):
-    def step(batches):
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch["rep"], batch["comp"], lists(*shingle_sets(batch["text"], width))], ["rep", "comp", "shingles"])
-
-    return step
-
-
-def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+def likely(texts: DataFrame, ids: DataFrame, by: str = "tid") -> DataFrame:
     """Rows of texts whose tid may be one of ids (id): all that are, and few others. Each id sets one of BITS bits, 4 MB for
-    any number of ids, which are broadcast; a join with the ids then moves these texts and not all."""
+    any number of ids, which are broadcast; a join with the ids then moves these texts and not all. by: tid's name."""
 
     def place(c: str):
         return F.pmod(F.xxhash64(c), F.lit(BITS))
 
     bits = ids.select(place("id").alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    at = F.bitmap_bit_position(place("tid"))
+    at = F.bitmap_bit_position(place(by))
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = texts.join(F.broadcast(bits), F.bitmap_bucket_number(place("tid")) == F.col("bucket"))
+    found = texts.join(F.broadcast(bits), F.bitmap_bucket_number(place(by)) == F.col("bucket"))
     return found.where(F.getbit(byte, at % 8) == 1).select(texts.columns)
 
 
@@ -178,15 +170,14 @@ def relabelled(nodes: DataFrame, links: DataFrame, below: str | None = None) ->
     return nodes.join(joined, F.col("comp") == F.col("id"), "left").withColumn("comp", F.coalesce("to", "comp")).drop("id", "to")
 
 
-def unit_checker(percent: int):
+def unit_checker(width: int, percent: int):
     def step(key, table):
         """Links that join components, among the pairs of a unit: of chunk u with chunk v, or within one chunk."""
         u, v = key[1].as_py(), key[2].as_py()
         ids, comp, chunk = (table[c].to_numpy() for c in ("rep", "comp", "chunk"))
-        sets = table["shingles"].combine_chunks()
-        sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
-        off = sets.offsets.to_numpy().astype(np.int64)
-        flat = sets.values.to_numpy()[off[0] : off[-1]]
+        pieces = [shingle_sets(b["text"], width) for b in slices(table.to_batches(), "text")]
+        flat = np.concatenate([f for f, _ in pieces])
+        off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in pieces]))])
         n, own = np.diff(off), np.repeat(np.arange(len(ids)), np.diff(off))
         _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
         # a shingle that one member has is shared with none
@@ -222,7 +213,10 @@ def units_of(here: DataFrame) -> DataFrame:
     key, rep, comp. Chunks of the largest component have the numbers from 0, those of the others follow."""
     parts = here.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("content"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum("content").alias("content"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
-    mixed = mixed.groupBy("content", "m").agg(F.min(F.struct("key", "top")).alias("k")).select("k.key", F.col("k.top.comp").alias("main"), F.ceil(F.col("k.top.c") / CHUNK).cast("int").alias("ca"), F.ceil((F.col("m") - F.col("k.top.c")) / CHUNK).cast("int").alias("cb"))
+    mixed = mixed.groupBy("content", "m").agg(F.min(F.struct("key", "top")).alias("k")).select("k.key", F.col("k.top.comp").alias("main"), F.ceil(F.col("k.top.c") / CHUNK).cast("int").alias("ca"), F.ceil((F.col("m") - F.col("k.top.c")) / CHUNK).cast("int").alias("cb"), "m")
+    # few members are one chunk, and each goes to one unit only
+    few = F.col("m") <= CHUNK
+    mixed = mixed.withColumns({"main": F.when(~few, F.col("main")), "ca": F.when(few, 0).otherwise(F.col("ca")), "cb": F.when(few, 1).otherwise(F.col("cb"))}).drop("m")
     rows = here.join(mixed, "key").withColumn("inside", F.col("comp") == F.col("main"))
     rows = rows.withColumn("chunk", F.when(F.col("inside"), F.pmod(F.xxhash64("rep"), F.col("ca"))).otherwise(F.col("ca") + F.pmod(F.xxhash64("rep"), F.col("cb"))).cast("int"))
     first = F.when(F.col("inside"), F.col("ca")).otherwise(0)
@@ -249,6 +243,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     # buckets with two members or more: all that later steps look at
     members = nodes.select("rep", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
+    shared = materialise(shared, "shared", root)
+    members = likely(members, shared.select(F.col("key").alias("id")), "key")
     members = materialise(members.join(shared, "key").select("key", "rep", "n"), "buckets", root)
     for r in range(rounds):
         here = members.join(nodes.select("rep", "comp"), "rep")
@@ -261,10 +257,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
         nodes = materialise(relabelled(nodes, links.unionByName(same) if r == 0 else links, below), f"nodes{r + 1}", root)
 
     units = materialise(units_of(members.join(nodes.select("rep", "comp"), "rep")), "units", root)
-    still = units.select("rep", "comp").distinct()
-    sets = still.join(likely(texts, still.select(F.col("rep").alias("id"))), F.col("rep") == F.col("tid")).select("rep", "comp", "text").mapInArrow(set_maker(width), "rep long, comp long, shingles array<long>")
-    sets = materialise(sets.select("rep", "shingles"), "sets", root)
-    links = units.join(sets, "rep").groupBy("key", "u", "v").applyInArrow(unit_checker(percent), "a long, b long")
+    # a text is shorter than its set, so texts go to the units
+    asked = likely(texts, units.select(F.col("rep").alias("id")))
+    asked = units.join(asked, F.col("rep") == F.col("tid")).select("key", "u", "v", "rep", "comp", "chunk", "text")
+    links = asked.groupBy("key", "u", "v").applyInArrow(unit_checker(width, percent), "a long, b long")
     nodes = relabelled(nodes, materialise(links, "links", root), below)
 
     out = sketch.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "comp"), "digest", "left")

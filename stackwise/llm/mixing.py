@@ -92,12 +92,14 @@ def _taken(x: Column) -> Column:
     return F.col("rounds") * x + F.col("block") * chosen(i) + (chosen(i + 1) - chosen(i)) * inside
 
 
-def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and the columns of ``keep``, for every row of docs."""
+def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), copy: bool = True) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and the columns of ``keep``, for every row of docs. ``keep`` is copied with
+    what is written, so that nothing reads docs later; without ``copy``, for docs with an id of its own in every row, it is
+    read from docs again."""
     spark = docs.sparkSession
     root = shared_dir(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_none")).alias("kept"))
-    d = materialise(d.withColumns({"rid": F.monotonically_increasing_id(), "piece": F.spark_partition_id()}), "sizes", root)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.struct(*[F.col(c) for c in keep if copy], F.lit(0).alias("_none")).alias("kept"))
+    d = materialise(d.withColumns({"rid": F.monotonically_increasing_id() if copy else F.col("doc_id"), "piece": F.spark_partition_id()}), "sizes", root)
     found = d.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -141,6 +143,8 @@ def mix_sources(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights:
     several = several.withColumn("nth", F.row_number().over(inside) - 1).join(pieces, ["number", "shard", "k", "piece"]).withColumn("nth", F.col("before") + F.col("nth"))
     takes = once.unionByName(several.select("rid", taken))
     d = d.join(takes, "rid", "left")
+    if not copy:
+        d = d.drop("kept").join(docs.select(F.col(id_col).cast("long").alias("rid"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_none")).alias("kept")), "rid")
     return d.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col("kept")[c].alias(c) for c in keep])
 
 

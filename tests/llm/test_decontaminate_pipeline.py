@@ -307,3 +307,24 @@ def test_stages_clear_what_nothing_reads(spark, sf_dir, tmp_path, monkeypatch):
     mixed = corpus_pipeline.run(spark, sf_dir)
     assert not [p for p in tmp_path.glob("*/*") if p.name in dict(corpus_pipeline.STAGES)]
     assert mixed.count() > 0
+
+
+def test_rows_with_ids_of_their_own_are_not_copied(spark, sf_dir, tmp_path, monkeypatch):
+    """Only where ids are null or repeated are rows numbered and written; the mix reads its rows in place, with equal results."""
+    import uuid
+
+    from stackwise.llm import common
+    from stackwise.llm.mixing import mix_sources
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"{tmp_path}/{uuid.uuid4().hex}")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, d, n in (("near_duplicates", docs, 0), ("decontamination", docs, 0), ("decontamination", docs.unionByName(docs.limit(1)), docs.count() + 1)):
+        known = set(tmp_path.glob("*/rows"))
+        stages[name](spark, d, sf_dir)
+        [rows] = set(tmp_path.glob("*/rows")) - known
+        assert spark.read.parquet(str(rows)).count() == n
+    mixed = stages["mixing"](spark, docs, sf_dir)
+    [sizes] = tmp_path.glob("*/sizes")
+    assert "text" not in spark.read.parquet(str(sizes)).schema["kept"].dataType.names
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mix_sources(docs, keep=corpus_pipeline.KEPT).collect()))

@@ -103,3 +103,16 @@ def test_joins_move_the_texts_of_their_ids_only(spark):
     got = {r["tid"] for r in likely(texts, spark.createDataFrame([(i,) for i in asked], "id long")).collect()}
     assert set(asked) <= got and len(got) <= len(set(asked)) + 20
     assert likely(texts, spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_members_of_a_small_bucket_go_to_one_unit(spark):
+    from stackwise.llm import minhash
+
+    here = spark.createDataFrame([(1, r, 1 if r < 4 else r) for r in range(1, 11)] + [(2, r, 20 if r < 250 else r) for r in range(20, 290)], "key long, rep long, comp long")
+    units = minhash.units_of(here).collect()
+    assert sorted(u["rep"] for u in units if u["key"] == 1) == [*range(1, 11)]
+    pairs = {}
+    for u in (u for u in units if u["key"] == 2):
+        pairs.setdefault((u["u"], u["v"]), []).append((u["rep"], u["comp"], u["chunk"]))
+    met = {frozenset((a[0], b[0])) for (x, y), own in pairs.items() for a in own for b in own if a[2] == x and b[2] == y}
+    assert {frozenset((a, b)) for a in range(20, 290) for b in range(250, 290) if a != b} <= met
