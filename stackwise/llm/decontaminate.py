@@ -126,8 +126,9 @@ def count_documents(batches):
     df, n = np.zeros((1 << BITS) + SLABS, np.int64), 0
     for ids, h, off in hashed_rows(batches):
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        keys = np.unique(doc.astype(np.int64) << BITS | places(h)) & ((1 << BITS) - 1)
-        df[:-SLABS] += np.bincount(keys, minlength=1 << BITS)
+        keys = doc.astype(np.int64) << BITS | places(h)
+        keys.sort()
+        df[:-SLABS] += np.bincount(keys[np.diff(keys, prepend=-1) != 0] & ((1 << BITS) - 1), minlength=1 << BITS)
         n += len(ids)
     df[-1] = n
     yield vector_rows(df, task_number())
@@ -289,21 +290,20 @@ def model_of(block: list, idf: np.ndarray, feats: np.ndarray, v: np.ndarray) ->
     lengths = np.sqrt((points * points).sum(axis=1))
     directions = points / np.maximum(lengths, 1e-9)[:, None]
     span = np.array([-(-len(x) // STEP) + 1 for x in words])
-    # a window with fewer heavy words than a part NORM of the item's length needs is no candidate
-    longest = float(np.sqrt((coordinates * coordinates).sum(axis=1)).max(initial=0))
+    # a window is no longer than its words together: where these have less than a part NORM of the item's length, it is no candidate
+    reach = np.append(1.0001 * np.sqrt((coordinates * coordinates).sum(axis=1)), 0)
     near = []
     for k in np.unique(span):
         at = np.flatnonzero((span == k) & (lengths > 1e-6))
         if len(at):
-            near.append((int(k), at, np.ascontiguousarray(directions[at].T), lengths[at], int(np.ceil(NORM * lengths[at].min() / max(longest, 1e-9)))))
-    most = part.max(axis=1)
+            near.append((int(k), at, np.ascontiguousarray(directions[at].T), lengths[at]))
     most_common, half = ([at_least(share, len(x)) for x in words] for share in (LCS, LCS_ANSWER))
     lookup = np.full(1 << BITS, -1, np.int32)
     lookup[feats] = np.arange(len(feats))
     heavy = np.append(~light, False)
     # a window of so many segments holds every stretch of SPAN times the item's words that starts in its first segment
     long = np.array([-(-(SPAN * len(x) + STEP - 1) // STEP) for x in words])
-    classes = [(int(k), np.flatnonzero(long == k)) for k in np.unique(long)]
+    classes = [(int(k), (which := np.flatnonzero(long == k)), np.ascontiguousarray(part[:, which]), part[:, which].max(axis=1)) for k in np.unique(long)]
 
     def search(h: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float, str]]:
         """(text, item, longest common subsequence as a share of the passage, lane)."""
@@ -338,7 +338,7 @@ def model_of(block: list, idf: np.ndarray, feats: np.ndarray, v: np.ndarray) ->
         # latent lane, CHUNK windows at a time, with the segments that they reach
         take = np.flatnonzero(heavy[known])
         in_seg, widest = segment_of(take), max((k for k, *_ in near), default=0)
-        heavies = np.concatenate([[0], np.cumsum(np.bincount(in_seg, minlength=seg_off[-1]))])
+        reached = np.concatenate([[0], np.cumsum(np.bincount(in_seg, reach[known[take]], minlength=seg_off[-1]))])
         for base in range(0, int(seg_off[-1]) if near else 0, CHUNK):
             over = min(base + CHUNK + widest, int(seg_off[-1]))
             lo, hi = np.searchsorted(in_seg, [base, over])
@@ -349,8 +349,8 @@ def model_of(block: list, idf: np.ndarray, feats: np.ndarray, v: np.ndarray) ->
                 x[in_seg[j:e][cut] - base + 1] += np.add.reduceat(coordinates[known[take[j:e]]], cut, axis=0)
             np.cumsum(x, axis=0, out=x)
             every = np.arange(base, min(base + CHUNK, int(seg_off[-1])))
-            for k, which, unit, length, fewest in near:
-                at = every[heavies[np.minimum(every + k, seg_end[every])] - heavies[every] >= fewest]
+            for k, which, unit, length in near:
+                at = every[reached[np.minimum(every + k, seg_end[every])] - reached[every] >= NORM * length.min()]
                 w = (x[np.minimum(at + k, seg_end[at]) - base] - x[at - base]).astype(np.float32)
                 size = np.sqrt(np.einsum("ij,ij->i", w, w))
                 some = np.flatnonzero(size >= NORM * length.min())
@@ -359,32 +359,30 @@ def model_of(block: list, idf: np.ndarray, feats: np.ndarray, v: np.ndarray) ->
                     g, item = int(at[some[i]]), int(which[j])
                     d, more = int(seg_doc[g]), len(words[item])
                     check(d, item, max(int(off[d]), int(seg_lo[g]) - more), min(int(off[d + 1]), int(seg_lo[g]) + k * STEP + more), "latent")
-        # lexical lane
-        # no item is reached where even the largest parts of the words do not sum up to 1
-        bound = np.concatenate([[0.0], np.cumsum(np.bincount(in_seg, most[known[take]], minlength=seg_off[-1]))])
+        # lexical lane, by items' lengths: none is reached where even the largest parts of the words do not sum up to 1
         at = np.arange(seg_off[-1])
-        first = np.flatnonzero(bound[np.minimum(at + int(long.max(initial=1)), seg_end)] - bound[at] >= 1)
-        for i in range(0, len(first), CHUNK):
-            f = first[i : i + CHUNK]
-            # only the segments from this part's first to its last window
-            base, over = f[0], min(int(f[-1] + long.max()), int(seg_off[-1]))
-            need = np.zeros(over - base + 1, np.int64)
-            np.add.at(need, f - base, 1)
-            np.add.at(need, np.minimum(f + int(long.max()), seg_end[f]) - base, -1)
-            needed = np.cumsum(need)[:-1] > 0
-            number = np.concatenate([[0], np.cumsum(needed)])
-            close = slice(*np.searchsorted(in_seg, [base, over]))
-            chosen = needed[in_seg[close] - base]
-            t, g = take[close][chosen], number[in_seg[close][chosen] - base]
-            x = np.zeros((number[-1] + 1, len(block)))
-            for j in range(0, len(t), 8192):
-                cut = np.flatnonzero(np.diff(g[j : j + 8192], prepend=-1))
-                x[g[j : j + 8192][cut] + 1] += np.add.reduceat(part[known[t[j : j + 8192]]], cut, axis=0)
-            np.cumsum(x, axis=0, out=x)
-            for k, which in classes:
+        for k, which, own, most in classes:
+            bound = np.concatenate([[0.0], np.cumsum(np.bincount(in_seg, most[known[take]], minlength=seg_off[-1]))])
+            first = np.flatnonzero(bound[np.minimum(at + k, seg_end)] - bound[at] >= 1)
+            for i in range(0, len(first), CHUNK):
+                f = first[i : i + CHUNK]
                 last = np.minimum(f + k, seg_end[f])
-                total = x[:, which]
-                for a, b in zip(*np.nonzero(total[number[last - base]] - total[number[f - base]] >= 1), strict=True):
+                # only the segments from this part's first to its last window
+                base, over = f[0], int(last.max())
+                need = np.zeros(over - base + 1, np.int64)
+                np.add.at(need, f - base, 1)
+                np.add.at(need, last - base, -1)
+                needed = np.cumsum(need)[:-1] > 0
+                number = np.concatenate([[0], np.cumsum(needed)])
+                close = slice(*np.searchsorted(in_seg, [base, over]))
+                chosen = needed[in_seg[close] - base]
+                t, g = take[close][chosen], number[in_seg[close][chosen] - base]
+                x = np.zeros((number[-1] + 1, len(which)))
+                for j in range(0, len(t), 8192):
+                    cut = np.flatnonzero(np.diff(g[j : j + 8192], prepend=-1))
+                    x[g[j : j + 8192][cut] + 1] += np.add.reduceat(own[known[t[j : j + 8192]]], cut, axis=0)
+                np.cumsum(x, axis=0, out=x)
+                for a, b in zip(*np.nonzero(x[number[last - base]] - x[number[f - base]] >= 1), strict=True):
                     d = int(seg_doc[f[a]])
                     check(d, int(which[b]), int(seg_lo[f[a]]), int(min(off[d + 1], seg_lo[f[a]] + k * STEP)), "lexical")
         return [(d, items[i], share, lane) for (d, i), (share, lane) in found.items()]

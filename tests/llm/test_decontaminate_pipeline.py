@@ -328,3 +328,24 @@ def test_rows_with_ids_of_their_own_are_not_copied(spark, sf_dir, tmp_path, monk
     [sizes] = tmp_path.glob("*/sizes")
     assert "text" not in spark.read.parquet(str(sizes)).schema["kept"].dataType.names
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mix_sources(docs, keep=corpus_pipeline.KEPT).collect()))
+
+
+def test_windows_are_bounded_by_items_of_their_length(monkeypatch):
+    """A word of a short item again and again: within a short window it is too little, and a long item has none of it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stackwise.llm import decontaminate as module
+
+    words = lambda t: module.terms(pa.array([t]))[0]
+    say = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    block = [(1, True, words(say("s", 10))), (2, True, words(say("l", 400)))]
+    idf = np.ones(1 << module.BITS, np.float32)
+    feats = np.unique(np.concatenate([module.places(h) for _, _, h in block]))
+    search, _ = module.model_of(block, idf, feats, np.zeros((len(feats), 1), np.float32))
+    sizes, real = [], np.nonzero
+    monkeypatch.setattr(np, "nonzero", lambda a: (sizes.append(a.size * (a.ndim == 2)), real(a))[1])
+    h = words(" ".join(f"s{i // 100 % 10}" if i % 100 == 0 else f"x{i}" for i in range(20_000)))
+    assert search(h, np.array([0, len(h)])) == [] and sum(sizes) == 0
+    h = np.concatenate([h, block[0][2], h])
+    assert [(i, share) for _, i, share, _ in search(h, np.array([0, len(h)]))] == [(1, 1.0)] and 0 < sum(sizes) < 100
