@@ -10,7 +10,7 @@ Links are confirmed on full sets, never on signatures, and no bucket is expanded
    smallest id first) is compared with it, and linked documents form components;
 2. the members of buckets that still hold different components are *open*, and compared by their sets in units of two
    chunks of at most CHUNK members: members of the bucket's largest component against all others, and these among each
-   other, but none with one of its own component. A bucket with k members outside of that component sends k sets for each
+   other, but none with one of its own component; a bucket of at most CHUNK members is one unit. A larger one with k members outside of that component sends k texts for each
    chunk of the others, so work grows with its *unlinked* members, and shared shingles are counted by matrix products; only
    links that join components are emitted. Equal buckets are compared once.
 
