@@ -76,7 +76,9 @@ def has(c: Column, pattern: str) -> Column:
 
 
 def number(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(c, f"(?iU){pattern}", group).try_cast("int")
+    """The group as a number. Only what matched is cast: a cast of the empty text throws and catches, which takes twenty
+    times as long as a match."""
+    return let(F.regexp_extract(c, f"(?iU){pattern}", group), lambda x: F.when(x != "", x.try_cast("int")))
 
 
 def first_rule(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -86,17 +88,22 @@ def first_rule(c: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def spanned(c: Column, rules: list[tuple[str, bool]], in_all: str, groups: int) -> tuple[Column, Column, Column]:
+def numbers(c: Column, name: str, rules: list[tuple[str, bool]], in_all: str, groups: int) -> list[Column]:
+    """What spanned reads: of each rule the number and, if it is ranged, its end; and the number of all."""
+    of = lambda i, p, ranged: [number(c, p, g).alias(f"{name}{i}_{g}") for g in ((1, 2) if ranged else (1,))]
+    return [*[x for i, (p, ranged) in enumerate(rules) for x in of(i, p, ranged)], F.coalesce(*[number(c, in_all, g + 1) for g in range(groups)]).alias(f"{name}_all")]
+
+
+def spanned(found: Column, name: str, rules: list[tuple[str, bool]]) -> tuple[Column, Column, Column]:
     """(from, to, whether a number of all was given) by the first rule that matches; a second number is the end."""
-    low, high = F.lit(None).cast("int"), F.lit(None).cast("int")
-    n = F.coalesce(*[number(c, in_all, g + 1) for g in range(groups)])
+    n = found[f"{name}_all"]
     low, high = F.when(n.isNotNull(), 1), n
-    for pattern, ranged in reversed(rules):
-        a = number(c, pattern)
+    firsts = [found[f"{name}{i}_1"] for i in range(len(rules))]
+    for i, (_, ranged) in reversed(list(enumerate(rules))):
+        a = firsts[i]
         low = F.when(a.isNotNull(), a).otherwise(low)
-        high = F.when(a.isNotNull(), F.coalesce(number(c, pattern, 2), a) if ranged else a).otherwise(high)
-    matched = F.coalesce(*[number(c, p) for p, _ in rules]).isNotNull()
-    return low, high, ~matched & n.isNotNull()
+        high = F.when(a.isNotNull(), F.coalesce(found[f"{name}{i}_2"], a) if ranged else a).otherwise(high)
+    return low, high, F.coalesce(*firsts).isNull() & n.isNotNull()
 
 
 def parse_fragment(text: Column) -> Column:
@@ -105,8 +112,13 @@ def parse_fragment(text: Column) -> Column:
 
 
 def _fragment(c: Column) -> Column:
-    s1, s2, s_all = spanned(c, SEASON, SEASONS_IN_ALL, 2)
-    e1, e2, e_all = spanned(c, EPISODE, EPISODES_IN_ALL, 1)
+    found = F.struct(*numbers(c, "s", SEASON, SEASONS_IN_ALL, 2), *numbers(c, "e", EPISODE, EPISODES_IN_ALL, 1))
+    return let(found, lambda n: _described(c, n))
+
+
+def _described(c: Column, found: Column) -> Column:
+    s1, s2, s_all = spanned(found, "s", SEASON)
+    e1, e2, e_all = spanned(found, "e", EPISODE)
     complete = s_all | e_all | (s1.isNull() & has(c, ALL_SEASONS)) | (e1.isNull() & has(c, ALL_EPISODES))
     get = lambda p, g: F.regexp_extract(c, f"(?iU){p}", g)
     dd, dts = r"(DDP|DD\+|DD)\.?\s?(\d)\.(\d)", r"DTS(-HD)?(\s*MA)?(?:\s*(\d)\.(\d))?"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import identity, parse_title
 from ..functions.editions import fingerprint, item_kind, parse_edition
 from ..functions.links import canonical_hash, parse_link
-from ..session import shared_folder
+from ..session import shared_folder, written
 
 
 def judge_confirmations(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -37,6 +40,15 @@ def split_links(cell: Column) -> Column:
     return F.filter(F.transform(F.split(cell, r"(?=ed2k://|magnet:|https?://)"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def parsed_once(rows: DataFrame, texts: list[str], parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with the columns that ``parse`` adds to their texts. Each combination of texts is parsed once, however many rows
+    repeat it, and dealt by itself, however few files the rows come from; texts may be null. What was parsed is written, so
+    that Spark knows its size: if it is small, rows stay where they are. Texts that never repeat cost a join more."""
+    names = [f"_{t}" for t in texts]
+    known = written(parse(rows.select(*texts).distinct()).withColumnsRenamed(dict(zip(texts, names, strict=True))), "parsed")
+    return rows.join(known, reduce(lambda a, b: a & b, [F.col(t).eqNullSafe(F.col(n)) for t, n in zip(texts, names, strict=True)])).drop(*names)
+
+
 def fold_links(rows: DataFrame, key: list[str], order: list[str], holder: str) -> tuple[DataFrame, DataFrame]:
     """(links, flags). The first row of a key gives the link its holder; created is the least of all its rows, deleted the
     greatest only if every row is deleted. flags: holders that share a link with another one. Rows combine before they

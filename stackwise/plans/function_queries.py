@@ -9,6 +9,7 @@ from ..functions import editions as E
 from ..functions import links as L
 from ..functions import text as T
 from ..operators import remote
+from ..operators.ingest import parsed_once
 from ..sources.catalog import table
 
 QUERIES: dict = {}
@@ -102,13 +103,19 @@ def x6_parse_fragment(spark, d):
     return e.select("p_partkey", *[f"e.{n}" for n in FIELDS], *[F.array_join(f"e.{n}", "+").alias(n) for n in E.SETS])
 
 
-def editions(spark, d):
+def editions(spark, d, *columns):
+    """p_partkey and columns of e, what a part's remark and title say."""
+    parse = lambda t: t.select("r", "f", E.parse_edition(F.col("r"), F.col("f")).alias("e")).select("r", "f", *columns)
+    return parsed_once(remarks(spark, d), ["r", "f"], parse).drop("r", "f")
+
+
+def whole_editions(spark, d):
     return remarks(spark, d).select("*", E.parse_edition(F.col("r"), F.col("f")).alias("e"))
 
 
 @query(EDITIONS + f"SELECT p_partkey, {', '.join(FIELDS)}, unparsed FROM e")
 def x7_merge_editions(spark, d):
-    return editions(spark, d).select("p_partkey", *[f"e.{n}" for n in FIELDS], "e.unparsed")
+    return whole_editions(spark, d).select("p_partkey", *[f"e.{n}" for n in FIELDS], "e.unparsed")
 
 
 @query(EDITIONS + """, f AS (SELECT *, CASE WHEN tags LIKE '60fps%' THEN '60fps' ELSE '' END AS x FROM e)
@@ -118,18 +125,18 @@ SELECT p_partkey, CASE WHEN coalesce(season_from, episode_from) IS NULL AND coal
   concat_ws(' · ', nullif(coalesce('S' || lpad(season_from::VARCHAR, 2, '0') || CASE WHEN season_to > season_from THEN '-S' || lpad(season_to::VARCHAR, 2, '0') ELSE '' END, '') ||
     coalesce('E' || lpad(episode_from::VARCHAR, 2, '0') || CASE WHEN episode_to > episode_from THEN '-E' || lpad(episode_to::VARCHAR, 2, '0') ELSE '' END, ''), ''), quality, source, hdr, codec) AS label FROM f""")
 def x10_fingerprint(spark, d):
-    return editions(spark, d).select("p_partkey", E.fingerprint(F.col("e")).alias("fingerprint"), E.edition_label(F.col("e")).alias("label"))
+    return editions(spark, d, E.fingerprint(F.col("e")).alias("fingerprint"), E.edition_label(F.col("e")).alias("label"))
 
 
 @query(EDITIONS + "SELECT p_partkey, CASE WHEN season_from IS NOT NULL OR episode_from IS NOT NULL OR complete THEN 'tv' WHEN cue THEN 'unknown' ELSE 'movie' END AS kind FROM e")
 def x8_item_kind(spark, d):
-    return editions(spark, d).select("p_partkey", E.item_kind(F.col("e"), F.concat_ws(" ", "r", "f")).alias("kind"))
+    return whole_editions(spark, d).select("p_partkey", E.item_kind(F.col("e"), F.concat_ws(" ", "r", "f")).alias("kind"))
 
 
 @query(EDITIONS + """SELECT p_partkey, CASE quality WHEN '2160p' THEN '4K' WHEN '1080p' THEN '1080p' WHEN '720p' THEN '720p' END AS resolution,
   CASE hdr WHEN 'dv_hdr' THEN 'DV/HDR' WHEN 'sdr' THEN 'SDR' END AS dynamic_range, CASE source WHEN 'webdl' THEN 'WEB-DL' WHEN 'bluray' THEN 'BluRay' WHEN 'remux' THEN 'BDRemux' WHEN 'hdtv' THEN 'HDTV' END AS source FROM e""")
 def x16_specs(spark, d):
-    e = editions(spark, d).select("p_partkey", E.spec_chips(F.col("e.quality"), F.col("e.hdr"), F.col("e.source")).alias("x"))
+    e = whole_editions(spark, d).select("p_partkey", E.spec_chips(F.col("e.quality"), F.col("e.hdr"), F.col("e.source")).alias("x"))
     return e.select("p_partkey", "x.*")
 
 
