@@ -136,7 +136,7 @@ def x8_item_kind(spark, d):
 @query(EDITIONS + """SELECT p_partkey, CASE quality WHEN '2160p' THEN '4K' WHEN '1080p' THEN '1080p' WHEN '720p' THEN '720p' END AS resolution,
   CASE hdr WHEN 'dv_hdr' THEN 'DV/HDR' WHEN 'sdr' THEN 'SDR' END AS dynamic_range, CASE source WHEN 'webdl' THEN 'WEB-DL' WHEN 'bluray' THEN 'BluRay' WHEN 'remux' THEN 'BDRemux' WHEN 'hdtv' THEN 'HDTV' END AS source FROM e""")
 def x16_specs(spark, d):
-    e = whole_editions(spark, d).select("p_partkey", E.spec_chips(F.col("e.quality"), F.col("e.hdr"), F.col("e.source")).alias("x"))
+    e = editions(spark, d, E.spec_chips(F.col("e.quality"), F.col("e.hdr"), F.col("e.source")).alias("x"))
     return e.select("p_partkey", "x.*")
 
 
