@@ -115,7 +115,7 @@ def whole_editions(spark, d):
 
 @query(EDITIONS + f"SELECT p_partkey, {', '.join(FIELDS)}, unparsed FROM e")
 def x7_merge_editions(spark, d):
-    return whole_editions(spark, d).select("p_partkey", *[f"e.{n}" for n in FIELDS], "e.unparsed")
+    return editions(spark, d, *[f"e.{n}" for n in FIELDS], "e.unparsed")
 
 
 @query(EDITIONS + """, f AS (SELECT *, CASE WHEN tags LIKE '60fps%' THEN '60fps' ELSE '' END AS x FROM e)
