@@ -109,10 +109,6 @@ def editions(spark, d, *columns):
     return parsed_once(remarks(spark, d), ["r", "f"], parse).drop("r", "f")
 
 
-def whole_editions(spark, d):
-    return remarks(spark, d).select("*", E.parse_edition(F.col("r"), F.col("f")).alias("e"))
-
-
 @query(EDITIONS + f"SELECT p_partkey, {', '.join(FIELDS)}, unparsed FROM e")
 def x7_merge_editions(spark, d):
     return editions(spark, d, *[f"e.{n}" for n in FIELDS], "e.unparsed")
@@ -130,7 +126,7 @@ def x10_fingerprint(spark, d):
 
 @query(EDITIONS + "SELECT p_partkey, CASE WHEN season_from IS NOT NULL OR episode_from IS NOT NULL OR complete THEN 'tv' WHEN cue THEN 'unknown' ELSE 'movie' END AS kind FROM e")
 def x8_item_kind(spark, d):
-    return whole_editions(spark, d).select("p_partkey", E.item_kind(F.col("e"), F.concat_ws(" ", "r", "f")).alias("kind"))
+    return editions(spark, d, E.item_kind(F.col("e"), F.concat_ws(" ", "r", "f")).alias("kind"))
 
 
 @query(EDITIONS + """SELECT p_partkey, CASE quality WHEN '2160p' THEN '4K' WHEN '1080p' THEN '1080p' WHEN '720p' THEN '720p' END AS resolution,

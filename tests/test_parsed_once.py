@@ -28,7 +28,7 @@ def test_only_what_matched_is_cast(spark):
     assert "try_cast(regexp_extract" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
-PARSED = ["x10_fingerprint", "x16_specs", "x7_merge_editions"]
+PARSED = ["x10_fingerprint", "x16_specs", "x7_merge_editions", "x8_item_kind"]
 
 
 @pytest.mark.parametrize("name", PARSED)
