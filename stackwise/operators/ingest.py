@@ -76,10 +76,8 @@ def fold_library(rows: DataFrame, known_kinds: tuple[str, ...] = ()) -> dict[str
     if known_kinds:
         rows = rows.where(F.col("kind").isin(*known_kinds))
     r = repair_shifted(rows).select("*", F.posexplode(split_links(F.coalesce("link", F.lit("")))).alias("fragment", "part"))
-    r = r.withColumns({"t": parse_title(F.col("title"), F.col("preferred")), "e": parse_edition(F.coalesce("note", F.lit("")), F.coalesce("title", F.lit(""))), "l": parse_link(F.col("part"), F.col("code"))})
-    kind = item_kind(F.col("e"), F.concat_ws(" ", "title", "preferred", "note"))
-    r = r.withColumns({"kind": kind, "fingerprint": fingerprint(F.col("e")), "link_hash": canonical_hash(F.col("l.canonical")), "provider": F.col("l.provider")})
-    r = r.withColumn("identity", identity(F.col("kind"), F.lit(None).cast("string"), F.col("t.title"), F.col("t.year")))
+    r = parsed_once(r.drop("kind"), ["title", "preferred", "note"], _named).withColumn("l", parse_link(F.col("part"), F.col("code")))
+    r = r.withColumns({"link_hash": canonical_hash(F.col("l.canonical")), "provider": F.col("l.provider")})
     reasons = F.array_compact(F.array(F.when(F.col("e.unparsed"), "unparsed_edition"), F.when(F.col("provider") == "unknown", "unknown_provider"), F.when(F.col("created").isNull(), "timestamp_missing"), F.when(F.col("l.conflict"), "access_code_conflict"), F.when(F.col("repaired"), "shifted_row")))
     # a number for each place in the order, nulls last
     main = F.when(F.col("source_priority") == 0, F.coalesce("created", F.lit(2**62))).otherwise(0)
@@ -110,5 +108,13 @@ def fold_library(rows: DataFrame, known_kinds: tuple[str, ...] = ()) -> dict[str
     return {"items": items, "editions": editions, "links": links, "provenance": marked.select("source_priority", "row_no", "fragment", *key, "identity", "fingerprint", "reasons")}
 
 
+def _named(texts: DataFrame) -> DataFrame:
+    """What title, preferred and note say of item and edition."""
+    e = parse_edition(F.coalesce("note", F.lit("")), F.coalesce("title", F.lit("")))
+    r = texts.withColumns({"t": parse_title(F.col("title"), F.col("preferred")), "e": e})
+    r = r.withColumns({"kind": item_kind(F.col("e"), F.concat_ws(" ", "title", "preferred", "note")), "fingerprint": fingerprint(F.col("e"))})
+    return r.withColumn("identity", identity(F.col("kind"), F.lit(None).cast("string"), F.col("t.title"), F.col("t.year")))
+
+
 def holder_created(links: DataFrame) -> DataFrame:
     return links.groupBy("holder").agg(F.min("created").alias("created"), F.count("*").alias("links"), F.count_if(F.col("deleted_at").isNull()).alias("open_links"))
