@@ -76,8 +76,9 @@ def fold_library(rows: DataFrame, known_kinds: tuple[str, ...] = ()) -> dict[str
     if known_kinds:
         rows = rows.where(F.col("kind").isin(*known_kinds))
     r = repair_shifted(rows).select("*", F.posexplode(split_links(F.coalesce("link", F.lit("")))).alias("fragment", "part"))
-    r = parsed_once(r.drop("kind"), ["title", "preferred", "note"], _named).withColumn("l", parse_link(F.col("part"), F.col("code")))
-    r = r.withColumns({"link_hash": canonical_hash(F.col("l.canonical")), "provider": F.col("l.provider")})
+    # links first, while rows are narrow
+    r = parsed_once(r.drop("kind"), ["part", "code"], _linked)
+    r = parsed_once(r, ["title", "preferred", "note"], _named)
     reasons = F.array_compact(F.array(F.when(F.col("e.unparsed"), "unparsed_edition"), F.when(F.col("provider") == "unknown", "unknown_provider"), F.when(F.col("created").isNull(), "timestamp_missing"), F.when(F.col("l.conflict"), "access_code_conflict"), F.when(F.col("repaired"), "shifted_row")))
     # a number for each place in the order, nulls last
     main = F.when(F.col("source_priority") == 0, F.coalesce("created", F.lit(2**62))).otherwise(0)
@@ -108,6 +109,11 @@ def fold_library(rows: DataFrame, known_kinds: tuple[str, ...] = ()) -> dict[str
     return {"items": items, "editions": editions, "links": links, "provenance": marked.select("source_priority", "row_no", "fragment", *key, "identity", "fingerprint", "reasons")}
 
 
+def _linked(texts: DataFrame) -> DataFrame:
+    r = texts.withColumn("l", parse_link(F.col("part"), F.col("code")))
+    return r.withColumns({"link_hash": canonical_hash(F.col("l.canonical")), "provider": F.col("l.provider")})
+
+
 def _named(texts: DataFrame) -> DataFrame:
     """What title, preferred and note say of item and edition."""
     e = parse_edition(F.coalesce("note", F.lit("")), F.coalesce("title", F.lit("")))
