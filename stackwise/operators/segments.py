@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.manifests import Manifests
-from .search import BUCKETS, Index, document_keys, postings, weighted, with_documents, write_terms
+from .search import BUCKETS, Index, document_keys, listed, named, packed, unpacked, weighted, write_terms
 
 # fixed values: the batch, the week between two reweightings, their hours (UTC+8), the pause after a failure
 BATCH = 10
@@ -127,10 +127,14 @@ class Maintained:
         ids = spark.read.parquet(f"{at}/touched")
         seq, first = (state["segments"][-1]["seq"] + 1 if state["segments"] else 1), not state["segments"]
         docs = docs.where("doc_id is not null") if first else docs.join(ids, "doc_id", "left_semi")
-        keys = document_keys(docs, self.charmap)
-        with_documents(postings(docs, self.charmap), keys).write.parquet(f"{at}/postings")
-        p = spark.read.parquet(f"{at}/postings")
-        forward = p.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "kind")).alias("terms"))
+        # a document's terms are counted in its row, which has all that the segment keeps of it
+        counted = document_keys(docs, self.charmap, packs=packed(docs, 1, charmap=self.charmap))
+        counted.select("doc_id", "doc", "names", F.get("packs", 0).alias("p")).write.parquet(f"{at}/postings")
+        keys = spark.read.parquet(f"{at}/postings")
+        p = keys.where("p is not null").select("doc_id", "doc", "p.*").drop("bucket", "part", "named")
+        forward = p.select("doc_id", "dl", listed(p).alias("terms"))
+        p = unpacked(p)
+        p = p.withColumn("doc", F.when(named(p), F.col("doc")))
         forward.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{at}/forward")
         forward = spark.read.parquet(f"{at}/forward")
         signed = lambda rows, sign: rows.select(F.explode("terms").alias("t"), F.lit(sign).cast("long").alias("df")).select("t.term", "t.kind", "df")
